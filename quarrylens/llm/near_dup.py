@@ -63,7 +63,7 @@ def bands_of(sketch: np.ndarray) -> np.ndarray:
     parts = sketch.reshape(BANDS, -1).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(parts.shape[1]):
-        key = mix(key ^ (parts[:, k] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)))
+        key = mix((key ^ parts[:, k]) * np.uint64(0xBF58476D1CE4E5B9))
     return key.view(np.int64)
 
 
