@@ -189,7 +189,7 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
         for x in live:
             flow(x, uses)
         rows = sorted(uses)
-        return pd.DataFrame({"function": [key[0]] * len(rows), "source": [r[0] for r in rows], "target": [r[1] for r in rows], "symbol": [r[2] for r in rows]})
+        return pd.DataFrame({"function": [key[0]] * len(rows), "source": [r[0] for r in rows], "target": [r[1] for r in rows], "symbol": [r[2] for r in rows]}).astype({c: object for c in ("source", "target", "symbol")})
 
     kind = dict(blocks.dtypes)["function"]
     flat = blocks.select("function", "block", F.col("kind"), F.posexplode_outer("events").alias("at", "e")).select("function", "block", "kind", "at", F.col("e.kind").alias("event"), "e.symbol", "e.node")
