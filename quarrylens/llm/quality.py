@@ -25,6 +25,9 @@ MIN_GROUP = 500
 #: that would be rejected.
 SUPPORT, ROUNDS, REJECT = 0.75, 4, 1e-9
 FEATURES = ("f_words", "f_chars", "f_symbols", "f_lines", "f_repeats")
+#: Least variance of each statistic. Most texts have no symbols and no repeats, so their spread in the core of a group is
+#: nothing; some repeated lines or phrases do not make a text an outlier, a share of symbols like that of words does.
+LEAST_VARIANCE = (0.05, 0.0016, 0.12, 1.0, 1.0)
 
 
 def _windows(words: Column) -> Column:
@@ -85,16 +88,16 @@ def _total(columns) -> Column:
     return functools.reduce(operator.add, columns)
 
 
-def _inverse_factor(moments: DataFrame, floor: float) -> DataFrame:
+def _inverse_factor(moments: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """From means m_i and covariances s_ij: w_ij, the inverse of the lower Cholesky factor, column by column.
-    ``floor`` is added to each variance: a statistic that hardly varies in a group cannot reject by noise alone."""
+    ``floors`` are added to the variances: a statistic that hardly varies in a group cannot reject by noise alone."""
     d = len(FEATURES)
     out = moments
     for i in range(d):
         for j in range(i + 1):
-            s = F.col(f"s_{i}_{j}") + (F.lit(floor) if i == j else F.lit(0.0))
+            s = F.col(f"s_{i}_{j}") + F.lit(floors[i] if i == j else 0.0)
             rest = s - _total([F.lit(0.0)] + [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)])
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floor / 10))) if i == j else rest / F.col(f"l_{j}_{j}"))
+            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] / 10))) if i == j else rest / F.col(f"l_{j}_{j}"))
     for i in range(d):
         for j in range(i + 1):
             rest = _total([F.lit(1.0 if i == j else 0.0)] + [-F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)])
@@ -114,7 +117,7 @@ def chi2_quantile(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + z * (2 / (9 * d)) ** 0.5) ** 3
 
 
-def estimates(rows: DataFrame, support: float = SUPPORT, rounds: int = ROUNDS, floor: float = 0.01) -> DataFrame:
+def estimates(rows: DataFrame, support: float = SUPPORT, rounds: int = ROUNDS, floors: tuple[float, ...] = LEAST_VARIANCE) -> DataFrame:
     """Minimum-covariance-determinant location and scatter per ``grp``, as means m_i and inverse factors w_ij.
 
     Deterministic concentration steps: start from each group's medians and spreads, then repeatedly take the
@@ -130,13 +133,13 @@ def estimates(rows: DataFrame, support: float = SUPPORT, rounds: int = ROUNDS, f
         "grp", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(d)],
         *[(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in pairs],
     )
-    model = materialize(_inverse_factor(start, floor), "mcd")
+    model = materialize(_inverse_factor(start, floors), "mcd")
     for _ in range(rounds):
         measured = rows.join(model, "grp").withColumn("d2", _distance()).select("grp", "d2", *FEATURES)
         cut = measured.groupBy("grp").agg(F.percentile_approx("d2", support, 10_000).alias("cut"))
         inner = measured.join(cut, "grp").where("d2 <= cut")
         moments = inner.groupBy("grp").agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s_{i}_{j}") for i, j in pairs])
-        model = materialize(_inverse_factor(moments, floor), "mcd")
+        model = materialize(_inverse_factor(moments, floors), "mcd")
     median = rows.join(model, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10_000).alias("med"))
     scale = F.greatest(F.col("med") / chi2_quantile(0.5, d), F.lit(1.0))
     return materialize(model.join(median.withColumn("scale", scale).drop("med"), "grp"), "mcd")
