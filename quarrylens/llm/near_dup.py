@@ -229,9 +229,10 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns."""
-    kept = near_duplicates(documents, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    is_same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
-    return documents.join(kept, is_same, "left_semi")
+    kept = near_duplicates(documents, percent).where("kept").select("doc_id", "text_hash").distinct().alias("_k")
+    rows = documents.alias("_d")
+    is_same = F.col("_d.doc_id").cast("long").eqNullSafe(F.col("_k.doc_id")) & (F.xxhash64(F.col("_d.text").cast("string")) == F.col("_k.text_hash"))
+    return rows.join(kept, is_same, "left_semi")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -62,6 +62,9 @@ def _swept(spans: Column, forward: bool) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["out"])
 
 
+FOUND = ("base", "weak", "linked")
+
+
 def scan(documents: DataFrame, scope: int = SCOPE_CHARS) -> DataFrame:
     """Add ``base``, ``weak`` and ``linked`` to every document: arrays of (start, stop, kind) by start, then kind.
 
@@ -76,7 +79,14 @@ def scan(documents: DataFrame, scope: int = SCOPE_CHARS) -> DataFrame:
     empty; a text without parts has empty arrays; repeated rows are scanned once each; all input columns stay (new
     ones replace columns of the same name).
     """
-    found = documents.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = _scan(documents, scope)
+    return found.select(*[F.col(f"_row.`{c}`") for c in documents.columns if c not in FOUND], *FOUND)
+
+
+def _scan(documents: DataFrame, scope: int) -> DataFrame:
+    """``_row`` (all input columns), and what ``scan`` adds."""
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    found = documents.select(row.alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     found = found.withColumn("base", F.sort_array(F.concat(*[_spans(F.col("_text"), i, p, least, 1 if k == "assign" else 0) for i, (k, p, least) in enumerate(BASE)])))
     found = found.withColumn("_weak", F.concat(*[_spans(F.col("_text"), len(BASE) + i, p) for i, (_, p) in enumerate(WEAK)]))
     found = found.withColumn("_all", F.when(F.size("_weak") + F.size("base") > 1, F.sort_array(F.concat("base", "_weak"))).otherwise(F.array().cast(_SPAN)))
@@ -105,7 +115,7 @@ def scan(documents: DataFrame, scope: int = SCOPE_CHARS) -> DataFrame:
     weak = F.filter("_all", lambda s: (of(s, ("login", "endpoint")) & near(s, "s")) | (of(s, ("blob",)) & near(s, "i")))
     linked = F.filter("_all", lambda s: of(s, IDENTIFIERS) & near(s, "s"))
     found = found.withColumn("weak", F.transform(weak, plain)).withColumn("linked", F.sort_array(F.array_distinct(F.transform(linked, hull))))
-    return found.drop("_text", "_weak", "_all")
+    return found.select("_row", *FOUND)
 
 
 def _label(spans: Column) -> Column:
@@ -133,9 +143,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, scope: int = SCOPE_CHARS, mark: str = "[SECRET]") -> DataFrame:
     """Documents with every reported base and weak span replaced by ``mark`` (overlapping spans by one), other
     columns and rows unchanged; a null text stays null."""
-    names = documents.columns
-    found = scan(documents, scope).withColumn("_spans", F.sort_array(F.concat("base", "weak")))
-    text = F.col("text").cast("string")
+    found = _scan(documents, scope).withColumn("_spans", F.sort_array(F.concat("base", "weak")))
+    text = F.col("_row.text").cast("string")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -143,4 +152,5 @@ def redact(documents: DataFrame, scope: int = SCOPE_CHARS, mark: str = "[SECRET]
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), kept.alias("out"))
 
     done = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(text)).select(*names)
+    new = F.when(F.size("_spans") > 0, done).otherwise(text)
+    return found.select(*[new.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in documents.columns])
