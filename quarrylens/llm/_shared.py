@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @functools.cache
 def _own_folder() -> str:
@@ -28,10 +30,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage, survives lost
-    executors, and is computed once however often it is used."""
+    executors, and is computed once however often it is used. The write's own shuffle files are freed when it ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if held is None else spark.conf.set(_FREE, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
