@@ -134,7 +134,7 @@ def topological_orders(edges: DataFrame, graph: str = "graph") -> DataFrame:
                     heapq.heappush(ready, t)
         if len(order) < len(waits):
             order = []
-        return pd.DataFrame({graph: [pdf[graph].iloc[0]] * len(order), "node": order, "position": range(len(order))})
+        return pd.DataFrame({graph: pd.Series([pdf[graph].iloc[0]] * len(order), dtype=pdf[graph].dtype), "node": pd.Series(order, dtype=pdf["source"].dtype), "position": range(len(order))})
 
     kind = dict(edges.dtypes)
     return edges.groupBy(graph).applyInPandas(run, f"{graph} {kind[graph]}, node {kind['source']}, position long")

@@ -46,9 +46,10 @@ def line_count(content: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """The inventory of a source tree: file (relative path), language, lines, size, mtime (ms), hash."""
+    """The inventory of a source tree: file (relative path), language, lines, size, mtime (ms), hash. Spark's file
+    reader leaves out files of no bytes."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
+    base = root.rstrip("/") + "/"
     path = F.substring_index(F.col("path"), base, -1)
     inside = F.split(path, "/")
     folders = F.slice(inside, 1, F.size(inside) - 1)
