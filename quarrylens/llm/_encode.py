@@ -8,13 +8,32 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import struct
 
 import numpy as np
 
 _ROOM = 500_000  # remembered chunks per worker
 _LONG = 64  # longer chunks are encoded but not remembered
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
+#: Beyond these letters lowering or composing text could depend on the tokenizer's own tables.
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_ENDS = string.punctuation
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable bytes for themselves, the
+    others in order from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{b: chr(b) for b in plain}, **{b: chr(0x100 + i) for i, b in enumerate(rest)}}
+
+
+_LETTERS = _byte_letters()
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkEncoder:
@@ -30,13 +49,15 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = kind
         self.known: dict[str, bytes] = {}
-        self.head: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.runs: dict[str, bytes] = {}
+        self._newline = self._ids(["\n"])[0]
         if kind == "byte":  # a character of a vocabulary entry stands for a byte
             sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}
             self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [_pack(x.ids) for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _joined_ids(self, chunks: list[str]) -> list[bytes]:
         """The ids of chunks that start with a space and end with none, encoded as one text (which is cut just
@@ -49,8 +70,41 @@ class ChunkEncoder:
             out += [x.tobytes() for x in np.split(ids, ends[:-1])]
         return out
 
+    def _model_ids(self, run: str) -> bytes:
+        """The ids of one pre-token, which the model takes as it is."""
+        if run.isascii():
+            letters = _LETTERS[32] + run[1:] if run[0] == " " else run
+        else:
+            letters = run.encode().decode("latin-1").translate(_LETTERS)
+        return _pack([t.id for t in self.model.tokenize(letters)])
+
+    def _plain(self, prefix: str, chunk: str) -> bytes | None:
+        """The ids of letters, ASCII sentence marks after them or none: one pre-token and another."""
+        core = chunk.rstrip(_ENDS)
+        if not core.isalpha():
+            if self.kind == "byte" and "\n" in chunk:  # a single newline between others is a pre-token
+                first, *rest = chunk.split("\n")
+                parts = [self._plain(prefix, first), *[self._plain("", x) for x in rest]]
+                return None if None in parts else self._newline.join(parts)
+            return None
+        if core == chunk:
+            return self._model_ids(prefix + chunk)
+        marks = chunk[len(core) :]
+        if marks not in self.runs:
+            self.runs[marks] = self._model_ids(marks)
+        return ((prefix or self.kind == "word") and self.known.get(core) or self._model_ids(prefix + core)) + self.runs[marks]
+
     def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
+        new, prefix = [], "" if self.kind == "word" else " "
+        for c in chunks:
+            if c not in self.known:
+                ids = self._plain(prefix, c) if self.kind == "byte" or (c.islower() and not _BEYOND_LATIN.search(c)) else None
+                if ids is None:
+                    new.append(c)
+                else:
+                    self.known[c] = ids
+        if len(self.runs) > 10_000:
+            self.runs.clear()
         if self.kind == "word":
             self.known.update(zip(new, self._ids(new), strict=True))
             return
@@ -61,8 +115,8 @@ class ChunkEncoder:
 
     def _cut(self, text: str) -> list[str]:
         if self.kind == "word":
-            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        return _SPACE.split(text) if _ODD.search(text) else text.split(" ")
+            return (text if _BEYOND_LATIN.search(text) else text.lower()).replace("\n", " ").split(" ")
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -72,8 +126,12 @@ class ChunkEncoder:
             self._learn(recent)
             out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
         else:
-            heads = self._ids([c[0] for c in cut])
-            recent = set().union(*(c[1:] for c in cut))
+            recent = set().union(*cut)
+            odd = {c for c in recent if not c or c[0].isspace() or c[-1].isspace()}
+            if odd:  # not every space stands alone
+                cut = [c if odd.isdisjoint(c) else _SPACE.split(t) for c, t in zip(cut, texts, strict=True)]
+            heads = [self._plain("", c[0]) or self._ids([c[0]])[0] for c in cut]
+            recent = set().union(*(c[1:] for c in cut)) if odd else recent
             self._learn(recent)
             out = [h + b"".join(map(self.known.__getitem__, c[1:])) for h, c in zip(heads, cut, strict=True)]
         if len(self.known) > _ROOM:

@@ -99,8 +99,8 @@ def read_token_files(spark: SparkSession, folder: str, step: int = 256) -> DataF
                     bodies = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                     yield pa.record_batch([pa.array(keys, mask=keys == NO_ID), pa.array(row["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(bodies, pa.binary())], names=DOCS.names)
 
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    return manifest.select("path", "width", "base", "shard").repartition(F.col("shard")).mapInArrow(run, DOCS)
+    manifest = spark.read.parquet(f"{folder}/manifest").select("path", "width", "base")
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, DOCS)  # a task per shard
 
 
 def round_trip(documents: DataFrame, tokenizer_path: str, kind: str = "byte", end_id: int = 0) -> DataFrame:

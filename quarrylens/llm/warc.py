@@ -167,7 +167,7 @@ def read_records(spark: SparkSession, folder: str, batch_bytes: int = 8 << 20) -
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
     manifest = spark.read.parquet(f"{folder}/manifest").select("path")
-    return manifest.repartition(F.col("path")).mapInArrow(run, RECORDS)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, RECORDS)  # a task per file
 
 
 def assemble(records: DataFrame) -> DataFrame:
