@@ -228,20 +228,20 @@ class PageModel:
         return " ".join(t for own, parts in blocks if odds[own] > 0 and (t := " ".join("".join(parts).split())))
 
 
-def train(pages: list[str], penalty: float = 1e-4, steps: int = 120, rate: float = 0.25) -> PageModel:
+def train(pages: list[str], penalty: float = 1e-5, steps: int = 400, rate: float = 0.3, batch: int = 40) -> PageModel:
     """Weights of largest penalised likelihood of the labels of whole trees: the gradient compares labels with
-    the marginals of elements and edges that sum-product gives. Adam steps on all pages at once. ``pages`` is the
-    bounded training sample."""
+    the marginals of elements and edges that sum-product gives. Adam steps of falling rate over ``batch`` pages in
+    turn. ``pages`` is the bounded training sample."""
     trees = [parse(page)[0] for page in pages]
     owned = [[features(e) for e in t[1:]] for t in trees]
     f, k = len(_FEATURES), len(EDGES)
-    total = sum(len(t) for t in owned)
     beta, first, second = np.zeros(f + 2 * k), np.zeros(f + 2 * k), np.zeros(f + 2 * k)
     beta[f:] = 1.0
     model = lambda: PageModel(beta[:f].tolist(), beta[f : f + k].tolist(), beta[f + k :].tolist())
     for step in range(1, steps + 1):
         now, grad = model(), np.zeros(f + 2 * k)
-        for tree, rows in zip(trees, owned, strict=True):
+        turn = [(step * batch + j) % len(trees) for j in range(min(batch, len(trees)))]
+        for tree, rows in [(trees[j], owned[j]) for j in turn]:
             odds, kinds, below, _, outside = now.infer(tree)
             for i, row in enumerate(rows, 1):
                 gap = float(tree[i].label) - _sigmoid(odds[i])
@@ -256,15 +256,15 @@ def train(pages: list[str], penalty: float = 1e-4, steps: int = 120, rate: float
                 mine, above = tree[i].label, tree[tree[i].parent].label
                 grad[f + c] += float(mine and above) - weights[3] / t
                 grad[f + k + c] += float(not mine and not above) - weights[0] / t
-        grad = grad / total - penalty * beta
+        grad = grad / sum(len(owned[j]) for j in turn) - penalty * beta
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
-        beta = beta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        beta = beta + rate * (1 - step / (steps + 10)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return model()
 
 
 @functools.cache
-def default_model(n_pages: int = 250) -> PageModel:
+def default_model(n_pages: int = 800) -> PageModel:
     """The model trained on ``n_pages`` labelled pages; every worker gets the same one from the driver."""
     from quarrylens.llm.html_training import labelled_pages
 

@@ -12,7 +12,7 @@ _WORDS = "river stone market letter garden winter story engine window paper silv
 
 def _sentence(r: random.Random) -> str:
     words = [r.choice(_WORDS) for _ in range(r.randint(4, 18))]
-    return " ".join(words).capitalize() + r.choice(".....!?")
+    return " ".join(words).capitalize() + r.choice([".", ".", ".", ".", "!", "?", "", ","])
 
 
 def _paragraphs(r: random.Random, tag: str = "p") -> str:
@@ -63,9 +63,9 @@ def labelled_page(r: random.Random) -> str:
     """One page; elements with data-main are content."""
     body = "<br>".join(_sentence(r) for _ in range(r.choice([1, 3, 30]))) if r.random() < 0.15 else _paragraphs(r)
     if r.random() < 0.2:
-        body = f"<p>{_sentence(r)}</p>" if r.random() < 0.5 else f"<p>{' '.join(_sentence(r) for _ in range(60))}</p>"
-    inner = f"<h1>{_sentence(r)}</h1>{body}"
-    if r.random() < 0.25:
+        body = r.choice([f"<p>{_sentence(r)}</p>", f"<p>{r.choice(_WORDS)}</p>", _sentence(r)]) if r.random() < 0.6 else f"<p>{' '.join(_sentence(r) for _ in range(60))}</p>"
+    inner = f"<h1>{_sentence(r)}</h1>{body}" if r.random() < 0.7 else body
+    for _ in range(r.choice([0, 0, 0, 1, 2, 3])):
         inner += _side(r).replace(">", " data-side>", 1)
     if r.random() < 0.1:
         inner = f'<header data-side class="site"><p>{_sentence(r)}</p></header>' + inner
@@ -83,12 +83,13 @@ def labelled_page(r: random.Random) -> str:
     )()
     before = "".join(_side(r) for _ in range(r.randint(0, 3)))
     after = "".join(_side(r) for _ in range(r.randint(0, 3)))
-    header = f"<header><p>{_sentence(r)}</p>{_links(r, 3)}</header>" if r.random() < 0.5 else ""
+    title = r.choice([f"<p>{_sentence(r)}</p>", f"<h1>{r.choice(_WORDS)}</h1>", f"<h1><a href=/>{r.choice(_WORDS)} {r.choice(_WORDS)}</a></h1>"])
+    header = f"<header>{title}{_links(r, 3) if r.random() < 0.7 else ''}</header>" if r.random() < 0.5 else ""
     footer = f'<{(t := r.choice(["footer", "footer", "div"]))}{" class=footer" if t == "div" else ""}>&copy; {_sentence(r)} {_links(r, 2) if r.random() < 0.5 else ""}</{t}>' if r.random() < 0.9 else ""
     page = f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title></head><body>{header}{before}{main}{after}{footer}</body></html>"
     return page[: r.randint(len(page) // 2, len(page))] if r.random() < 0.1 else page
 
 
-def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(n: int, seed: int = 7) -> list[str]:
     r = random.Random(seed)
     return [labelled_page(r) for _ in range(n)]
