@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import decontaminate, html_text, near_dup, packing, quality, repeats, secrets, token_counts, token_files, warc
+from quarrylens.llm import decontaminate, html_text, near_dup, oracles, packing, quality, repeats, secrets, token_counts, token_files, warc
 from quarrylens.llm._shared import table
 
 
@@ -62,4 +62,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_secrets, op3_packing, op4_warc, op5_repeats, op6_quality, op7_decontaminate, op8_near_dup, op9_token_counts, op10_html_text, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_secrets": oracles.op2(), "op4_warc": oracles.OP4, "op5_repeats": oracles.OP5, "op8_near_dup": oracles.OP8}

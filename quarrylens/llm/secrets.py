@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,23 +16,23 @@ BASE = (("assign", ASSIGN, 8), ("access", r"AKIA[A-Z0-9]+", 16), ("hex", r"[0-9a
 #: Weak candidates: of no weight alone.
 WEAK = (
     ("login", r"""(?:[Uu]ser(?:[Nn]ame|_[Nn]ame|_?[Ii][Dd])?|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount_?[Ii][Dd]|[Tt]enant_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""),
-    ("blob", r"""(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40,}={0,2}"""),
+    ("blob", r"""[A-Za-z0-9+/]{40,}={0,2}"""),
     ("endpoint", r"""(?:https?|ftps?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x00-\x20"'<>]{4,}"""),
 )
+#: What a match must also hold.
+NEEDS = {"blob": (r"[0-9]", r"[A-Z]", r"[a-z]")}
 KINDS = [k for k, *_ in BASE] + [k for k, _ in WEAK]
 IDENTIFIERS, SECRETS, ENDPOINTS = ("access", "login"), ("assign", "hex", "blob"), ("endpoint",)
-#: What must stand within the scope for a weak candidate to count.
-COMPLEMENT = {"login": SECRETS, "blob": IDENTIFIERS, "endpoint": SECRETS}
 _SPAN = "array<struct<start:bigint,stop:bigint,kind:int>>"
 
 
-def _spans(text: Column, kind: int, pattern: str, least: int = 0, group: int = 0) -> Column:
+def _spans(text: Column, kind: int, pattern: str, least: int = 0, group: int = 0, needs: tuple[str, ...] = ()) -> Column:
     """The leftmost non-overlapping matches, as (start, stop, kind) in code points. The pieces between the matches
     give their places: a match starts where all pieces and matches before it end."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    lengths = F.transform(F.arrays_zip(between.alias("b"), found.alias("m"), parts.alias("p")), lambda x: F.struct(F.length(x["b"]).cast("long").alias("b"), F.coalesce(F.length(x["m"]), F.lit(0)).cast("long").alias("m"), F.coalesce(F.length(x["p"]), F.lit(0)).alias("p")))
+    lengths = F.transform(F.arrays_zip(between.alias("b"), found.alias("m"), parts.alias("p")), lambda x: F.struct(F.length(x["b"]).cast("long").alias("b"), F.coalesce(F.length(x["m"]), F.lit(0)).cast("long").alias("m"), F.when(functools.reduce(operator.and_, [x["m"].rlike(n) for n in needs], F.lit(True)), F.coalesce(F.length(x["p"]), F.lit(0))).otherwise(F.lit(-1)).alias("p")))
     empty = F.array().cast(_SPAN)
     start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
 
@@ -88,7 +91,7 @@ def _scan(documents: DataFrame, scope: int) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     found = documents.select(row.alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     found = found.withColumn("base", F.sort_array(F.concat(*[_spans(F.col("_text"), i, p, least, 1 if k == "assign" else 0) for i, (k, p, least) in enumerate(BASE)])))
-    found = found.withColumn("_weak", F.concat(*[_spans(F.col("_text"), len(BASE) + i, p) for i, (_, p) in enumerate(WEAK)]))
+    found = found.withColumn("_weak", F.concat(*[_spans(F.col("_text"), len(BASE) + i, p, needs=NEEDS.get(k, ())) for i, (k, p) in enumerate(WEAK)]))
     found = found.withColumn("_all", F.when(F.size("_weak") + F.size("base") > 1, F.sort_array(F.concat("base", "_weak"))).otherwise(F.array().cast(_SPAN)))
     found = found.withColumn("_all", _swept(F.col("_all"), True)).withColumn("_all", F.reverse(_swept(F.reverse("_all"), False)))
 
