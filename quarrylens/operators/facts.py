@@ -178,3 +178,22 @@ def unit_reasons(covers_before: DataFrame, units_before: DataFrame, covers_after
         .when(F.col("still").isNull(), "coverage_lost")
     )
     return rows.withColumn("r", reason).groupBy("file").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("ord"))).alias("unit_reason"), F.count(F.lit(1)).alias("contributors"))
+
+
+def findings_in_functions(findings: DataFrame, functions: DataFrame) -> DataFrame:
+    """Findings (file, line) with the functions (file, start_line, end_line) that hold them: a range join within the
+    file."""
+    f = functions.withColumnRenamed("file", "_file")
+    return findings.join(f, (F.col("file") == F.col("_file")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("_file")
+
+
+def native_findings(facts_: DataFrame, files: DataFrame, severities: DataFrame) -> DataFrame:
+    """Facts of a native front end (file, line, column, rule_id, evidence) as findings: those in the inventory, at full
+    confidence, with their rule's severity; facts of unknown rules are dropped."""
+    known_rules = severities.select("rule_id", "severity")
+    return facts_.join(files.select("file"), "file", "left_semi").join(known_rules, "rule_id").withColumn("confidence", F.lit(1.0))
+
+
+def upsert_runs(runs: DataFrame, folder: str) -> None:
+    """Replace the findings of the runs in ``runs`` (run_id, ...) below ``folder``, leaving other runs as they are."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(folder)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions import lexical, text
-from quarrylens.operators import evaluation, facts, graph
+from quarrylens.operators import dataset, evaluation, facts, graph, reports
 from quarrylens.plans.select import select
 from quarrylens.sources import inventory, snapshots
 from quarrylens.sources.shared import table
@@ -551,3 +551,85 @@ def rule_corpus(spark, d):
     sites = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_linenumber").alias("found"))
     cases = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("positive")).join(sites, "o_orderkey", "left")
     return evaluation.corpus_rates(cases.withColumn("found", F.coalesce("found", F.lit(0))))
+
+
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS lefts, count(*) AS rights FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+def unpaired_labels(spark, d):
+    return dataset.unpaired(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT doc_id, quality, n_chars FROM labels JOIN documents USING (doc_id)")
+def paired_labels(spark, d):
+    labels, docs = table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").select("doc_id", "n_chars")
+    return dataset.pair_exactly(labels, docs.join(labels.select("doc_id"), "doc_id", "left_semi"), "doc_id", "labels")
+
+
+@query("""SELECT l_orderkey, l_linenumber, rule FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'flag']) AS rule, unnest([l_quantity <= 40, l_discount < 0.09, l_returnflag <> 'A']) AS ok FROM lineitem) WHERE NOT ok""")
+def record_violations(spark, d):
+    li = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), "l_quantity", "l_discount", "l_returnflag")
+    rules = {"quantity": F.col("l_quantity") <= 40, "discount": F.col("l_discount") < 0.09, "flag": F.col("l_returnflag") != "A"}
+    return dataset.violations(li, "k", rules).select("k.*", "rule")
+
+
+_TURNS = "t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
+
+
+@query(f"WITH {_TURNS} SELECT conv_id AS function, string_agg(role, ',' ORDER BY place) AS kinds, coalesce(string_agg(place || '-' || (place + 1), ',' ORDER BY place) FILTER (WHERE place < n - 1), '') AS links FROM t GROUP BY 1")
+def graph_records(spark, d):
+    """Conversations as graphs: turns are nodes, each leads to the next."""
+    from pyspark.sql import Window as W
+
+    c = table(spark, d, "conversations")
+    nodes = c.select(F.col("conv_id").alias("function"), F.col("turn").alias("node"), F.col("turn").alias("ord"), F.col("role").alias("kind"))
+    edges = nodes.select("function", F.col("node").alias("source"), F.lead("node").over(W.partitionBy("function").orderBy("node")).alias("target"), F.lit(1).alias("type")).where("target IS NOT NULL")
+    got = dataset.graph_records(nodes, edges)
+    joined = lambda a, f: F.array_join(F.transform(a, f), ",")
+    return got.select("function", joined("nodes", lambda x: x["kind"]).alias("kinds"), joined("edges", lambda x: F.concat_ws("-", x["source"].cast("string"), x["target"].cast("string"))).alias("links"))
+
+
+@query("SELECT l_suppkey AS source, l_partkey AS target, l_linenumber AS type FROM lineitem WHERE l_linenumber IN (1, 2) UNION ALL SELECT l_partkey, l_suppkey, l_linenumber + 4 FROM lineitem WHERE l_linenumber IN (1, 2)")
+def reversed_edges(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("type"))
+    return dataset.with_reverse(e, [1, 2])
+
+
+@query("SELECT event_id, greatest(-1.0, least(1.0, sign(value - 50) * ln(1 + abs(value - 50)) / 10)) AS feature FROM events")
+def number_features(spark, d):
+    return table(spark, d, "events").select("event_id", dataset.number_feature(F.col("value") - 50).alias("feature"))
+
+
+@query("WITH v AS (SELECT word, row_number() OVER (ORDER BY word) AS index FROM (SELECT DISTINCT p_type AS word FROM part WHERE p_partkey % 40 = 0)) SELECT p_partkey, coalesce(index, 0) AS index FROM part LEFT JOIN v ON word = p_type")
+def vocabulary_codes(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("word"))
+    return dataset.encode_words(p, dataset.fit_vocabulary(p.where("p_partkey % 40 = 0"), "word"), "word").select("p_partkey", "index")
+
+
+@query("SELECT event_id, CAST(NULL AS VARCHAR) AS problem FROM events")
+def strict_json(spark, d):
+    return table(spark, d, "events").select("event_id", dataset.json_problem("props").alias("problem"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def change_counts(spark, d):
+    return reports.status_counts(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+@query()
+def canonical_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", dataset.canonical_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT l_orderkey, l_suppkey AS file, CAST(l_linenumber AS BIGINT) AS line, CAST(s_nationkey % 5 + 1 AS BIGINT) AS start_line FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND l_linenumber BETWEEN s_nationkey % 5 + 1 AND s_nationkey % 5 + 3")
+def findings_in_functions(spark, d):
+    findings = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("file"), F.col("l_linenumber").cast("long").alias("line"))
+    start = (F.col("s_nationkey") % 5 + 1).cast("long")
+    functions = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), start.alias("start_line"), (start + 2).alias("end_line"))
+    return facts.findings_in_functions(findings, functions).drop("end_line")
+
+
+@query("SELECT l_suppkey AS file, l_orderkey, l_returnflag AS rule_id, CASE l_returnflag WHEN 'R' THEN 'high' ELSE 'low' END AS severity FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def native_findings(spark, d):
+    seen = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), "l_orderkey", F.col("l_returnflag").alias("rule_id"))
+    inv = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("file"))
+    rules = spark.createDataFrame([("R", "high"), ("A", "low")], "rule_id string, severity string")
+    return facts.native_findings(seen, inv, rules).select("file", "l_orderkey", "rule_id", "severity")

@@ -167,3 +167,36 @@ def test_seeded_split():
     assert evaluation.partition_sizes(3, 0.9, 0.05) == (1, 1)
     with pytest.raises(ValueError, match="both classes"):
         evaluation.seeded_split({f"g{i}": {0} for i in range(5)}, 0.6, 0.2, 1)
+
+
+def test_canonical_hash_ignores_layout_and_comments(spark):
+    from quarrylens.operators import dataset
+
+    texts = ["int f(){return 1;}", "int  f ( ) {\n // c\n return /* x */ 1 ; }", "int f(){return 2;}", "#if 1\nint f(){return 1;}", 'auto s = R"x(a // b)x";', 'auto s=R"x(a // b)x" ;', 'auto s=R"x(a  // b)x";']
+    h = [r.h for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", dataset.canonical_hash(F.col("t")).alias("h")).orderBy("i").collect()]
+    assert h[0] == h[1] and len({h[0], h[2], h[3]}) == 3 and h[4] == h[5] != h[6]
+
+
+def test_readers_and_checks(spark, tmp_path):
+    import zipfile
+
+    from quarrylens.operators import dataset
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/a.c", "1")
+        z.writestr("b.c", "2")
+    assert sorted((r.member, bytes(r.content)) for r in dataset.zip_members(spark, f"file:{tmp_path}/a.zip").collect()) == [("b.c", b"2"), ("x/a.c", b"1")]
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../a.c", "1")
+    with pytest.raises(PySparkException, match="unsafe"):
+        dataset.zip_members(spark, f"file:{tmp_path}/bad.zip").collect()
+    lines = spark.createDataFrame([(0, '{"a": 1}'), (1, '{"a": 1, "a": 2}'), (2, '{"a": NaN}'), (3, "[1]"), (4, "{")], "i int, t string")
+    assert [r.p is None for r in lines.select("i", dataset.json_problem("t").alias("p")).orderBy("i").collect()] == [True, False, False, False, False]
+    data = spark.createDataFrame([(bytearray("é中".encode()),), (bytearray("中文".encode("gb18030")),)], "c binary")
+    assert [tuple(r.d) for r in data.select(dataset.decoded("c").alias("d")).collect()] == [("é中", "utf-8"), ("中文", "gb18030")]
+    one, two = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int")
+    with pytest.raises(PySparkException, match="one to one"):
+        dataset.pair_exactly(one, two, "k", "rows").collect()
+    graphs = spark.createDataFrame([("f.c", "a", "int a()"), ("f.c", "a", "int a(int)")], "file string, function string, signature string")
+    labels = spark.createDataFrame([("f.c", "a", "int a(int)", 1)], "file string, function string, signature string, label int")
+    assert [(r.signature, r.label) for r in dataset.join_labels(graphs, labels).collect()] == [("int a(int)", 1)]
