@@ -12,7 +12,7 @@ from quarrylens.llm._textkit import grams, mix, row_of, slices, sliding_min, val
 
 WINDOW, GRAM = 20, 6
 #: Contexts of one anchor above which its windows are grouped by hash over the cluster, and contexts per automaton.
-HOT_CONTEXTS, SHARD_CONTEXTS = 2000, 4000
+HOT_CONTEXTS, SHARD_CONTEXTS = 20_000, 4000
 _REACH = WINDOW - GRAM  # words of context before an anchor; WINDOW - 1 come after its first word
 _LOW = -(1 << 63)
 _SPOT = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("words", pa.string())])
@@ -206,7 +206,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     place = F.struct("did", "th", "lo")
     starts = windows.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.max(place).alias("g")).where("f < g").select("w1", "w2", "f")
     hot = windows.join(starts, ["w1", "w2"]).where(place > F.col("f")).select("did", "th", "lo", (F.col("lo") + WINDOW).alias("hi"))
-    marks = later.unionByName(cold).unionByName(hot).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    marks = materialize(later.unionByName(cold).unionByName(hot).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
     done = docs.join(marks, ["did", "th"], "left").select("did", "th", "text", "marks").mapInArrow(_remove, "did long, kept string, n_words long, n_removed long")
     return done.select(F.when(F.col("did") != _LOW, F.col("did")).alias("doc_id"), "kept", "n_words", "n_removed")
 
