@@ -222,7 +222,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     rooted = materialize(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(least, "root").select("key", "component_id")
-    out = sketched.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).otherwise(F.expr("cast(uuid() as binary)")).alias("key")).join(classes, "key", "left")
+    out = sketched.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).otherwise(F.concat_ws("-", F.lit("none"), F.col("doc_id").cast("string")).cast("binary")).alias("key")).join(classes, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "text_hash", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
