@@ -1,32 +1,43 @@
-"""The pipeline over the small tables, against its stages' decisions checked one by one."""
+"""The pipeline over the small tables: each stage's decisions take effect on what its predecessor kept."""
 
 import corpus_pipeline
+import pytest
+from tokenizers import Tokenizer
+
 from quarrylens.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_and_result(spark):
+def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_decontamination", "secret_scans", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, now, counts = docs.columns, docs, [docs.count()]
+    now, counts = docs, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         rows = stage(spark, now, SF)
-        assert rows.columns == names, name
+        assert rows.columns == docs.columns, name
         now = spark.createDataFrame(rows.collect(), docs.schema)
         counts.append(now.count())
     assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4] > 0
-    pieces = corpus_pipeline.run(spark, SF)
-    totals = {r.doc_id: r.n for r in pieces.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
-    assert set(totals) == {r.doc_id for r in now.collect()}
-    from tokenizers import Tokenizer
-
+    texts = {r.doc_id: r.text for r in now.collect()}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+    totals: dict[int, int] = {}
+    for p in pieces:
+        totals[p.doc_id] = totals.get(p.doc_id, 0) + p.length
     whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    assert totals == {r.doc_id: len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in now.collect()}
+    assert totals == {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+
+
+def test_run_writes_and_rereads_each_stage(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("benchmark_decontamination", "packing")])
+    got = corpus_pipeline.run(spark, SF)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    clean = corpus_pipeline.benchmark_decontamination(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.select("doc_id").collect()}
 
 
-def test_odd_documents(spark, make):
-    df = make([(None, None), (1, ""), (1, ""), (2, "word " * 70)])
-    for name, stage in corpus_pipeline.STAGES:
-        df = stage(spark, df, SF)
-        df = spark.createDataFrame(df.collect(), df.schema)
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_documents(spark, make, name):
+    df = make([(None, None), (1, ""), (1, ""), (2, "word " * 70), (3, " \n")])
+    assert dict(corpus_pipeline.STAGES)[name](spark, df, SF).count() >= 0
+    assert dict(corpus_pipeline.STAGES)[name](spark, df.limit(0), SF).count() == 0
