@@ -25,6 +25,24 @@ _NOT_NAMES = frozenset("if for while switch catch return sizeof".split())
 _FUNCTIONS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("start_line", "end_line", "complexity", "parameters")]]))
 IDENTIFIER = r"[A-Za-z_]\w*"
 
+#: What the rules look for. Group 1 is the name where there is one, group 2 a size or an index.
+DANGEROUS_CALL = r"\b(gets|strcpy|strcat|sprintf)\s*\("
+ARRAY_DECLARED = rf"\b(?:char|short|int|long|float|double|bool|unsigned|signed)(?:\s+\w+)*\s+({IDENTIFIER})\s*\[\s*(\d+)\s*\]"
+ARRAY_USED = rf"\b({IDENTIFIER})\s*\[\s*(\d+)\s*\]"
+ALLOCATED = rf"\b({IDENTIFIER})\s*=\s*(?:new\b|(?:malloc|calloc|realloc)\s*\()"
+DELETED = rf"\bdelete\s*(?:\[\s*\])?\s*({IDENTIFIER})\b"
+FREED = rf"\bfree\s*\(\s*({IDENTIFIER})\s*\)"
+CONDITION_ASSIGNED = r"\b(?:if|while)\s*\([^)]*(?<![=!<>])=(?!=)[^)]*\)"
+NULL_DECLARED = rf"\b[A-Za-z_]\w*(?:\s*::\s*\w+|[\w:<>,\s])*\s*\*+\s*({IDENTIFIER})\s*=\s*(?:nullptr|NULL)\s*;"
+ARROW_USED = rf"\b({IDENTIFIER})\s*->"
+STAR_USED = rf"(?<![\w*])\*\s*({IDENTIFIER})\b"
+POINTER_ASSIGNED = rf"(?<![*&.\w])\b({IDENTIFIER})\s*=\s*(?!(?:nullptr|NULL)\b)"
+SCALAR_DECLARED = rf"^\s*(?:(?:unsigned|signed|long|short)\s+)*(?:bool|char|wchar_t|short|int|long|float|double|size_t)\s+({IDENTIFIER})\s*;\s*$"
+NAME_USED = rf"\b({IDENTIFIER})\b"
+NAME_STORED = (rf"\b({IDENTIFIER})\s*=(?!=)", rf">>\s*({IDENTIFIER})\b", rf"&\s*({IDENTIFIER})\b")
+FILE_OPENED = rf"\bFILE\s*\*\s*({IDENTIFIER})\s*=\s*fopen\s*\("
+FILE_CLOSED = rf"\bfclose\s*\(\s*({IDENTIFIER})\s*\)"
+
 
 def mask_text(text: str) -> str:
     """Comments and literals as spaces; length and newlines stay."""
@@ -92,15 +110,14 @@ def _finding(rows: DataFrame, rule: str, severity: str, confidence: float = 1.0)
 
 
 def dangerous_calls(rows: DataFrame) -> DataFrame:
-    return _finding(matches(rows, r"\b(gets|strcpy|strcat|sprintf)\s*\(", {"call": 1}), "DG001", "high")
+    return _finding(matches(rows, DANGEROUS_CALL, {"call": 1}), "DG001", "high")
 
 
 def literal_bounds(rows: DataFrame) -> DataFrame:
     """Literal indexes at or above the size in the last declaration of the name, not on that declaration's line."""
-    kinds = "char|short|int|long|float|double|bool|unsigned|signed"
-    declared = matches(rows, rf"\b(?:{kinds})(?:\s+\w+)*\s+({IDENTIFIER})\s*\[\s*(\d+)\s*\]", {"name": 1, "size": 2})
+    declared = matches(rows, ARRAY_DECLARED, {"name": 1, "size": 2})
     last = declared.groupBy("file", "name").agg(F.max_by(F.struct("size", "line"), F.struct("line", "column")).alias("d"))
-    used = matches(rows, rf"\b({IDENTIFIER})\s*\[\s*(\d+)\s*\]", {"name": 1, "index": 2})
+    used = matches(rows, ARRAY_USED, {"name": 1, "index": 2})
     number = lambda c: F.col(c).cast("decimal(38,0)")
     bad = used.join(last, ["file", "name"]).where((F.col("line") != F.col("d.line")) & (number("index") >= number("d.size")))
     return _finding(bad, "DG002", "critical")
@@ -114,14 +131,14 @@ def _unreleased(opened: DataFrame, released: DataFrame) -> DataFrame:
 
 
 def unreleased_memory(rows: DataFrame) -> DataFrame:
-    opened = matches(rows, rf"\b({IDENTIFIER})\s*=\s*(?:new\b|(?:malloc|calloc|realloc)\s*\()", {"name": 1})
-    deleted = matches(rows, rf"\bdelete\s*(?:\[\s*\])?\s*({IDENTIFIER})\b", {"name": 1})
-    freed = matches(rows, rf"\bfree\s*\(\s*({IDENTIFIER})\s*\)", {"name": 1})
+    opened = matches(rows, ALLOCATED, {"name": 1})
+    deleted = matches(rows, DELETED, {"name": 1})
+    freed = matches(rows, FREED, {"name": 1})
     return _finding(_unreleased(opened, deleted.unionByName(freed)), "DG003", "medium", 0.55)
 
 
 def condition_assignments(rows: DataFrame) -> DataFrame:
-    found = matches(rows, r"\b(?:if|while)\s*\([^)]*(?<![=!<>])=(?!=)[^)]*\)", {})
+    found = matches(rows, CONDITION_ASSIGNED, {})
     return _finding(found.groupBy("file", "line").agg(F.min("column").alias("column"), F.first("original").alias("original")), "DG004", "medium", 0.8)
 
 
@@ -136,24 +153,24 @@ def _first_use(declared: DataFrame, uses: DataFrame, kills: DataFrame) -> DataFr
 
 
 def null_dereferences(rows: DataFrame) -> DataFrame:
-    declared = matches(rows, rf"\b[A-Za-z_]\w*(?:\s*::\s*\w+|[\w:<>,\s])*\s*\*+\s*({IDENTIFIER})\s*=\s*(?:nullptr|NULL)\s*;", {"name": 1}).withColumn("last", F.col("scope_end"))
-    arrow = matches(rows, rf"\b({IDENTIFIER})\s*->", {"name": 1})
-    star = matches(rows, rf"(?<![\w*])\*\s*({IDENTIFIER})\b", {"name": 1})
-    kills = matches(rows, rf"(?<![*&.\w])\b({IDENTIFIER})\s*=\s*(?!(?:nullptr|NULL)\b)", {"name": 1})
+    declared = matches(rows, NULL_DECLARED, {"name": 1}).withColumn("last", F.col("scope_end"))
+    arrow = matches(rows, ARROW_USED, {"name": 1})
+    star = matches(rows, STAR_USED, {"name": 1})
+    kills = matches(rows, POINTER_ASSIGNED, {"name": 1})
     return _finding(_first_use(declared, arrow.unionByName(star), kills), "DG005", "critical", 0.9)
 
 
 def uninitialised(rows: DataFrame) -> DataFrame:
-    declared = matches(rows, rf"^\s*(?:(?:unsigned|signed|long|short)\s+)*(?:bool|char|wchar_t|short|int|long|float|double|size_t)\s+({IDENTIFIER})\s*;\s*$", {"name": 1})
+    declared = matches(rows, SCALAR_DECLARED, {"name": 1})
     declared = declared.withColumn("last", F.least("scope_end", F.col("line") + 80))
-    uses = matches(rows, rf"\b({IDENTIFIER})\b", {"name": 1})
-    stores = [matches(rows, p, {"name": 1}) for p in (rf"\b({IDENTIFIER})\s*=(?!=)", rf">>\s*({IDENTIFIER})\b", rf"&\s*({IDENTIFIER})\b")]
+    uses = matches(rows, NAME_USED, {"name": 1})
+    stores = [matches(rows, p, {"name": 1}) for p in NAME_STORED]
     return _finding(_first_use(declared, uses, stores[0].unionByName(stores[1]).unionByName(stores[2])), "DG006", "high", 0.75)
 
 
 def unclosed_files(rows: DataFrame) -> DataFrame:
-    opened = matches(rows, rf"\bFILE\s*\*\s*({IDENTIFIER})\s*=\s*fopen\s*\(", {"name": 1})
-    return _finding(_unreleased(opened, matches(rows, rf"\bfclose\s*\(\s*({IDENTIFIER})\s*\)", {"name": 1})), "DG007", "high", 0.8)
+    opened = matches(rows, FILE_OPENED, {"name": 1})
+    return _finding(_unreleased(opened, matches(rows, FILE_CLOSED, {"name": 1})), "DG007", "high", 0.8)
 
 
 #: rule id, severity, function

@@ -73,6 +73,9 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
 
 
+#: Why a suppression hid nothing, in the order they are looked at.
+UNUSED = ("file is missing or excluded", "source changed; review the issue again", "rule disabled", "no matching issue; check parse coverage, active configuration or whether the issue was fixed")
+
 _SITE = ["rule_id", "file", "line", "column"]
 
 
@@ -95,10 +98,10 @@ def unused_suppressions(issues: DataFrame, files: DataFrame, suppressions: DataF
     first = joined.where(live).groupBy(*_SITE).agg(F.min("ord").alias("_first"))
     joined = joined.join(first, _SITE, "left").where(~live | (F.col("ord") != F.col("_first")))
     reason = (
-        F.when(F.col("_hash").isNull(), "file is missing or excluded")
-        .when(F.col("_hash") != F.col("source_hash"), "source changed; review the issue again")
-        .when(F.col("_off").isNotNull(), "rule disabled")
-        .otherwise("no matching issue; check parse coverage, active configuration or whether the issue was fixed")
+        F.when(F.col("_hash").isNull(), UNUSED[0])
+        .when(F.col("_hash") != F.col("source_hash"), UNUSED[1])
+        .when(F.col("_off").isNotNull(), UNUSED[2])
+        .otherwise(UNUSED[3])
     )
     return joined.select("ord", *_SITE, reason.alias("why"))
 
