@@ -185,7 +185,8 @@ def assemble(records: DataFrame) -> DataFrame:
     main = records.where(F.col("record_type").isin("response", "revisit")).select(
         F.col("record_id").alias("capture"), F.struct("record_type", "record_id", "refers_to", "target_uri", "payload_digest", "body").alias("response")
     )
-    return main.join(parts["request"], "capture", "left").join(parts["metadata"], "capture", "left")
+    # records come from a small manifest, so their estimated size says nothing: never broadcast them
+    return main.join(parts["request"].hint("merge"), "capture", "left").join(parts["metadata"].hint("merge"), "capture", "left")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
