@@ -33,7 +33,7 @@ ALLOCATED = rf"\b({IDENTIFIER})\s*=\s*(?:new\b|(?:malloc|calloc|realloc)\s*\()"
 DELETED = rf"\bdelete\s*(?:\[\s*\])?\s*({IDENTIFIER})\b"
 FREED = rf"\bfree\s*\(\s*({IDENTIFIER})\s*\)"
 CONDITION_ASSIGNED = r"\b(?:if|while)\s*\([^)]*(?<![=!<>])=(?!=)[^)]*\)"
-NULL_DECLARED = rf"\b[A-Za-z_]\w*(?:\s*::\s*\w+|[\w:<>,\s])*\s*\*+\s*({IDENTIFIER})\s*=\s*(?:nullptr|NULL)\s*;"
+NULL_DECLARED = rf"\b[A-Za-z_][\w:<>,\s]*\*+\s*({IDENTIFIER})\s*=\s*(?:nullptr|NULL)\s*;"
 ARROW_USED = rf"\b({IDENTIFIER})\s*->"
 STAR_USED = rf"(?<![\w*])\*\s*({IDENTIFIER})\b"
 POINTER_ASSIGNED = rf"(?<![*&.\w])\b({IDENTIFIER})\s*=\s*(?!(?:nullptr|NULL)\b)"
@@ -115,7 +115,7 @@ def dangerous_calls(rows: DataFrame) -> DataFrame:
 
 def literal_bounds(rows: DataFrame) -> DataFrame:
     """Literal indexes at or above the size in the last declaration of the name, not on that declaration's line."""
-    declared = matches(rows, ARRAY_DECLARED, {"name": 1, "size": 2})
+    declared = matches(rows.where(F.contains("code", F.lit("["))), ARRAY_DECLARED, {"name": 1, "size": 2})
     last = declared.groupBy("file", "name").agg(F.max_by(F.struct("size", "line"), F.struct("line", "column")).alias("d"))
     used = matches(rows, ARRAY_USED, {"name": 1, "index": 2})
     number = lambda c: F.col(c).cast("decimal(38,0)")
@@ -153,7 +153,7 @@ def _first_use(declared: DataFrame, uses: DataFrame, kills: DataFrame) -> DataFr
 
 
 def null_dereferences(rows: DataFrame) -> DataFrame:
-    declared = matches(rows, NULL_DECLARED, {"name": 1}).withColumn("last", F.col("scope_end"))
+    declared = matches(rows.where(F.col("code").rlike("=\\s*(?:nullptr|NULL)")), NULL_DECLARED, {"name": 1}).withColumn("last", F.col("scope_end"))
     arrow = matches(rows, ARROW_USED, {"name": 1})
     star = matches(rows, STAR_USED, {"name": 1})
     kills = matches(rows, POINTER_ASSIGNED, {"name": 1})

@@ -11,12 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: the tokens of the source language, comments first.
+#: Fixed value: the tokens of the source language, comments first. Literals are written as unrolled loops, which need no
+#: stack however long they are.
 TOKENS = (
     r"//[^\n]*|/\*[\s\S]*?\*/"
     r'|(?:u8|u|U|L)?R"(?<delim>[^\s()\\]{0,16})\([\s\S]*?\)\k<delim>"'
-    r'|(?:u8|u|U|L)?"(?:\\.|[^"\\])*"'
-    r"|(?:u8|u|U|L)?'(?:\\.|[^'\\])*'"
+    r'|(?:u8|u|U|L)?"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    r"|(?:u8|u|U|L)?'[^'\\]*+(?:\\.[^'\\]*+)*+'"
     r"|[A-Za-z_]\w*"
     r"|(?:\d+(?:\.\d*)?|\.\d+)(?:[eEpP][+-]?\d+)?[a-zA-Z0-9_]*"
     r"|>>=|<<=|->\*|<=>|\.\.\.|::|->|\.\*|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\|"

@@ -285,7 +285,7 @@ def policy_unused(spark, d):
 
 
 _SIDE_SQL = """SELECT l_returnflag AS rule_id, CAST(l_suppkey AS VARCHAR) AS file, CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS symbol_id, l_linestatus AS detector,
- CASE WHEN l_linenumber = 6 THEN '[AST node: x]' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS evidence, {line} AS line, l_linenumber AS col, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, {sup} AS sup FROM lineitem WHERE {where}"""
+ CASE WHEN l_linenumber = 6 THEN '[AST node: x]' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS evidence, {line} AS line, l_linenumber AS col, (((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS ord, {sup} AS sup FROM lineitem WHERE {where}"""
 _BEFORE = _SIDE_SQL.format(line="CAST(l_orderkey % 9 AS INT)", sup="l_tax > 0.07", where="l_orderkey % 11 <> 3")
 _AFTER = _SIDE_SQL.format(line="CAST(CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey % 9 + 1 ELSE l_orderkey % 9 END AS INT)", sup="l_tax > 0.06", where="l_orderkey % 13 <> 5")
 _MATCH = f"""WITH b0 AS ({_BEFORE}), a0 AS ({_AFTER}),
@@ -303,7 +303,7 @@ def _side(spark, d, line, sup, where):
     li = table(spark, d, "lineitem").where(where)
     return li.select(
         F.col("l_returnflag").alias("rule_id"), F.col("l_suppkey").cast("string").alias("file"), F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_partkey").cast("string")).alias("symbol_id"), F.col("l_linestatus").alias("detector"),
-        F.when(F.col("l_linenumber") == 6, "[AST node: x]").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("evidence"), F.expr(line).cast("int").alias("line"), F.col("l_linenumber").alias("column"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("ord"), F.expr(sup).alias("suppressed"),
+        F.when(F.col("l_linenumber") == 6, "[AST node: x]").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("evidence"), F.expr(line).cast("int").alias("line"), F.col("l_linenumber").alias("column"), ((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("ord"), F.expr(sup).alias("suppressed"),
     )
 
 
