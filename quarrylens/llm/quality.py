@@ -169,7 +169,9 @@ def fit(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 def _verdict(keyed: DataFrame, model: DataFrame, reject: float) -> DataFrame:
     judged = keyed.join(model, ["gl", "gs"], "left").withColumn("distance", _distance() / F.col("scale"))
     limit = chi2_quantile(1 - reject, len(FEATURES))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
+    # one expression over both sides of the join: as a conjunction, a filter on it would be pushed down in part and would
+    # compute the statistics again
+    return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= limit, F.lit(True))))
 
 
 def _narrow(documents: DataFrame) -> DataFrame:
