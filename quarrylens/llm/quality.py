@@ -84,6 +84,11 @@ def _features(stats: DataFrame) -> DataFrame:
     )
 
 
+def _compact(df: DataFrame, name: str) -> DataFrame:
+    """Written in files of a good size: Spark sees how small a table of estimates is and may broadcast it."""
+    return materialize(df.hint("rebalance"), name)
+
+
 def _total(columns) -> Column:
     return functools.reduce(operator.add, columns)
 
@@ -91,17 +96,18 @@ def _total(columns) -> Column:
 def _inverse_factor(moments: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """From means m_i and covariances s_ij: w_ij, the inverse of the lower Cholesky factor, column by column.
     ``floors`` are added to the variances: a statistic that hardly varies in a group cannot reject by noise alone."""
-    d = len(FEATURES)
-    out = moments
-    for i in range(d):
-        for j in range(i + 1):
-            s = F.col(f"s_{i}_{j}") + F.lit(floors[i] if i == j else 0.0)
-            rest = s - _total([F.lit(0.0)] + [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)])
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] / 10))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    d, out = len(FEATURES), moments
+
+    def rest(i: int, j: int) -> Column:
+        s = F.col(f"s_{i}_{j}") + F.lit(floors[i] if i == j else 0.0)
+        return s - _total([F.lit(0.0)] + [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)])
+
+    for j in range(d):
+        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(floors[j] / 10))))
+        out = out.withColumns({f"l_{i}_{j}": rest(i, j) / F.col(f"l_{j}_{j}") for i in range(j + 1, d)})
     for i in range(d):
-        for j in range(i + 1):
-            rest = _total([F.lit(1.0 if i == j else 0.0)] + [-F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)])
-            out = out.withColumn(f"w_{i}_{j}", rest / F.col(f"l_{i}_{i}"))
+        left = {j: _total([F.lit(1.0 if i == j else 0.0)] + [-F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)]) for j in range(i + 1)}
+        out = out.withColumns({f"w_{i}_{j}": x / F.col(f"l_{i}_{i}") for j, x in left.items()})
     return out.select("grp", *[f"m_{i}" for i in range(d)], *[f"w_{i}_{j}" for i in range(d) for j in range(i + 1)])
 
 
@@ -133,16 +139,16 @@ def estimates(rows: DataFrame, support: float = SUPPORT, rounds: int = ROUNDS, f
         "grp", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(d)],
         *[(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in pairs],
     )
-    model = materialize(_inverse_factor(start, floors), "mcd")
+    model = _compact(_inverse_factor(start, floors), "mcd")
     for _ in range(rounds):
         measured = rows.join(model, "grp").withColumn("d2", _distance()).select("grp", "d2", *FEATURES)
         cut = measured.groupBy("grp").agg(F.percentile_approx("d2", support, 10_000).alias("cut"))
         inner = measured.join(cut, "grp").where("d2 <= cut")
         moments = inner.groupBy("grp").agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s_{i}_{j}") for i, j in pairs])
-        model = materialize(_inverse_factor(moments, floors), "mcd")
+        model = _compact(_inverse_factor(moments, floors), "mcd")
     median = rows.join(model, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10_000).alias("med"))
     scale = F.greatest(F.col("med") / chi2_quantile(0.5, d), F.lit(1.0))
-    return materialize(model.join(median.withColumn("scale", scale).drop("med"), "grp"), "mcd")
+    return _compact(model.join(median.withColumn("scale", scale).drop("med"), "grp"), "mcd")
 
 
 def _name(c: str) -> Column:
@@ -161,7 +167,7 @@ def fit(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     grp = F.when(F.col("n") >= min_group, F.concat_ws("/", "gl", "gs")).when(F.col("n_lang") >= min_group, F.concat_ws("/", "gl", F.lit("*"))).otherwise("*/*")
     groups = sizes.join(by_lang, "gl", "left").select("gl", "gs", "n", grp.alias("grp"))
     enough = groups.groupBy("grp").agg(F.sum("n").alias("n_grp")).where(F.col("n_grp") >= min_group)
-    groups = materialize(groups.join(enough, "grp", "left_semi").select("gl", "gs", "grp"), "groups")
+    groups = _compact(groups.join(enough, "grp", "left_semi").select("gl", "gs", "grp"), "groups")
     rows = passing.join(groups, ["gl", "gs"]).select("grp", *FEATURES)
     return groups.join(estimates(rows), "grp").drop("grp")
 
@@ -194,7 +200,7 @@ def judge(documents: DataFrame, reject: float = REJECT, min_group: int = MIN_GRO
 def keep_good(documents: DataFrame, reject: float = REJECT, min_group: int = MIN_GROUP) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns: estimates first, then each row is judged where it
     is scanned, so no text is shuffled."""
-    model = materialize(fit(_narrow(documents), min_group), "fit")
+    model = _compact(fit(_narrow(documents), min_group), "fit")
     names = documents.columns
     rows = add_statistics(documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text", "lang", "source"))
     rows = rows.select("_row", _name("lang").alias("gl"), _name("source").alias("gs"), "_q.*")
