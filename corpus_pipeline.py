@@ -8,13 +8,16 @@ from quarrylens.llm import decontaminate, near_dup, packing, quality, secrets
 from quarrylens.llm._shared import new_folder, table
 from quarrylens.llm.queries import tokenizer_path
 
+#: The general rule of near copies: similarity of 0.8 or more (op8's own contract has 0.85).
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ SHINGLE, PERCENT = 5, 85
 REGISTERS, BANDS = 128, 32
 #: SetSketch parameters: base, rate and the truncation q + 1 of the registers.
 SKETCH_BASE, SKETCH_RATE, SKETCH_TOP = 1.02, 20.0, 4095
-#: A pair whose likeliest similarity lies this far below the threshold is not verified (over five deviations).
+#: A pair whose likeliest similarity lies this far below a threshold of 0.85 is not verified (five deviations); at other
+#: thresholds the margin is as many deviations wide.
 MARGIN = 0.16
 #: Shingles of one block in the verification of a large group of candidates.
 BLOCK_SHINGLES = 600_000
@@ -93,6 +94,7 @@ def link(sets: list[np.ndarray], percent: int = PERCENT, sides: np.ndarray | Non
     alone = np.array([(counts[np.searchsorted(every, s)] == 1).sum() for s in sets], np.float64)
     sketches = np.stack([registers(s) for s in sets]) if n else np.zeros((0, REGISTERS), np.uint16)
     least = percent / 100
+    margin = MARGIN * np.sqrt(least * (1 - least) / (0.85 * 0.15))
     parent = list(range(n))
 
     def root(a: int) -> int:
@@ -114,7 +116,7 @@ def link(sets: list[np.ndarray], percent: int = PERCENT, sides: np.ndarray | Non
         own, theirs = sketches[i], sketches[others]
         equal = (theirs == own).sum(1)
         more = (theirs < own).sum(1)
-        likely = _slope(least - MARGIN, sizes[i], sizes[others], more, REGISTERS - equal - more, equal) >= 0
+        likely = _slope(least - margin, sizes[i], sizes[others], more, REGISTERS - equal - more, equal) >= 0
         others, equal = others[likely], equal[likely]
         for j in others[np.argsort(-equal, kind="stable")].tolist():
             if root(i) == root(j):
@@ -204,7 +206,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
        joined by its least node only, never by all pairs. 3. Loose groups: components of those stars. 4. Within a
        loose group, pairs pass exact bounds, the joint likelihood of their registers, then the full sets
        (``_verify``); a spanning forest of true links comes out. 5. Components of the true links.
-    At similarity 0.85 or more a pair misses all bands with probability under 1e-10.
+    At similarity 0.85 or more a pair misses all bands with probability under 1e-10, at 0.8 under 1e-7.
 
     Null or wordless text: an empty set, linked with nothing. Null doc_id: takes part; its component is the least
     id in reach, if any. Rows that repeat a doc_id are judged by their own texts, and rows of the least doc_id of

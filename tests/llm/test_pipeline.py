@@ -1,5 +1,7 @@
 """The pipeline over the small tables: each stage's decisions take effect on what its predecessor kept."""
 
+import re
+
 import corpus_pipeline
 import pytest
 from tokenizers import Tokenizer
@@ -41,3 +43,39 @@ def test_odd_documents(spark, make, name):
     df = make([(None, None), (1, ""), (1, ""), (2, "word " * 70), (3, " \n")])
     assert dict(corpus_pipeline.STAGES)[name](spark, df, SF).count() >= 0
     assert dict(corpus_pipeline.STAGES)[name](spark, df.limit(0), SF).count() == 0
+
+
+def kept_at(texts, percent):
+    """The least id of each group of texts linked at 100 * intersection >= percent * union of five-word shingles, and
+    the number of links, by brute force."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent, links, ids = {i: i for i in sets}, 0, sorted(sets)
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            a, b = len(sets[i]), len(sets[j])
+            if 100 * min(a, b) < percent * max(a, b) or not a:
+                continue
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (a + b - both):
+                links += 1
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i for i in ids if root(i) == i}, links
+
+
+def test_near_copies_from_similarity_0_8_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, links = kept_at({r.doc_id: r.text for r in docs.collect()}, 80)
+    strict, fewer = kept_at({r.doc_id: r.text for r in docs.collect()}, 85)
+    assert links > fewer and len(want) < len(strict)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()} == want
