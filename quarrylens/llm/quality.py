@@ -19,8 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Rows below which a group is pooled with the small groups of its language, and those with one another.
-MIN_GROUP = 500
+#: Rows from which an estimate of the five statistics is a group's own: ten a statistic. Smaller groups share an estimate.
+MIN_GROUP = 50
 #: Share of rows that the estimate rests on, rounds of concentration, and the share of a clean normal population
 #: that would be rejected.
 SUPPORT, ROUNDS, REJECT = 0.75, 4, 1e-9
@@ -158,18 +158,28 @@ def _name(c: str) -> Column:
 def fit(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The estimates that hold for each language and source of ``stats`` (gl, gs, base_failed and FEATURES).
 
-    A group is a language and source with at least ``min_group`` rows that pass the base rules; smaller ones are
-    pooled by language, those again with one another; a pool that stays below has no estimate.
+    The rows of an estimate are the first of these with at least ``min_group`` rows that pass the base rules: the language
+    and source; the language's sources that are too small; the language; the languages that are too small; else all
+    passing rows, however few. So every language and source with a passing row has an estimate; the least variances
+    keep one over few rows steady.
     """
     passing = stats.where(~F.col("base_failed"))
-    sizes = passing.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = sizes.where(F.col("n") < min_group).groupBy("gl").agg(F.sum("n").alias("n_lang"))
-    grp = F.when(F.col("n") >= min_group, F.concat_ws("/", "gl", "gs")).when(F.col("n_lang") >= min_group, F.concat_ws("/", "gl", F.lit("*"))).otherwise("*/*")
-    groups = sizes.join(by_lang, "gl", "left").select("gl", "gs", "n", grp.alias("grp"))
-    enough = groups.groupBy("grp").agg(F.sum("n").alias("n_grp")).where(F.col("n_grp") >= min_group)
-    groups = _compact(groups.join(enough, "grp", "left_semi").select("gl", "gs", "grp"), "groups")
-    rows = passing.join(groups, ["gl", "gs"]).select("grp", *FEATURES)
-    return groups.join(estimates(rows), "grp").drop("grp")
+    sizes = _compact(passing.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    small = F.col("n") < min_group
+    by_lang = sizes.groupBy("gl").agg(F.sum("n").alias("n_lang"), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("n_small"))
+    rare = F.col("n_lang") < min_group
+    total = by_lang.agg(F.coalesce(F.sum(F.when(rare, F.col("n_lang"))), F.lit(0)).alias("n_rare"))
+    groups = sizes.join(by_lang, "gl").crossJoin(F.broadcast(total))
+    own, sources, lang = F.concat_ws("/", "gl", "gs"), F.concat_ws("/", "gl", F.lit("*")), F.concat_ws("/", "gl", F.lit("**"))
+    few_sources, few_languages = F.col("n_small") < min_group, F.col("n_rare") < min_group
+    grp = F.when(~small, own).when(~few_sources, sources).when(~rare, lang).when(~few_languages, F.lit("*/*")).otherwise(F.lit("**/**"))
+    takes_part = [
+        F.when(~small, own), F.when(small & ~few_sources, sources), F.when((F.col("n_small") > 0) & few_sources & ~rare, lang),
+        F.when(rare & ~few_languages, F.lit("*/*")), F.when((F.col("n_rare") > 0) & few_languages, F.lit("**/**")),
+    ]
+    groups = _compact(groups.select("gl", "gs", grp.alias("grp"), F.filter(F.array(*takes_part), lambda g: g.isNotNull()).alias("grps")), "groups")
+    rows = passing.join(groups, ["gl", "gs"]).select(F.explode("grps").alias("grp"), *FEATURES)
+    return groups.join(estimates(rows), "grp").drop("grp", "grps")
 
 
 def _verdict(keyed: DataFrame, model: DataFrame, reject: float) -> DataFrame:
@@ -177,7 +187,7 @@ def _verdict(keyed: DataFrame, model: DataFrame, reject: float) -> DataFrame:
     limit = chi2_quantile(1 - reject, len(FEATURES))
     # one expression over both sides of the join: as a conjunction, a filter on it would be pushed down in part and would
     # compute the statistics again
-    return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= limit, F.lit(True))))
+    return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("distance") <= limit))
 
 
 def _narrow(documents: DataFrame) -> DataFrame:
@@ -187,8 +197,8 @@ def _narrow(documents: DataFrame) -> DataFrame:
 
 
 def judge(documents: DataFrame, reject: float = REJECT, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, the statistics, ``distance`` (squared robust Mahalanobis, null where no estimate holds) and ``kept``
-    of every document: false if base_failed, else false if the distance is beyond the ``1 - reject`` quantile.
+    """doc_id, the statistics, ``distance`` (squared robust Mahalanobis, null only where no row of the language and source
+    passes the base rules) and ``kept`` of every document: false if base_failed, else false if the distance is beyond the ``1 - reject`` quantile.
 
     Null lang or source is a group of its own; null text has no words and fails the base rules; repeated rows count
     and are judged once each; other columns are ignored; an empty table gives no rows.

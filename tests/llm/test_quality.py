@@ -73,3 +73,19 @@ def test_empty_and_null_groups(spark, make):
     assert quality.judge(make([])).count() == 0
     df = make([(None, "a " * 60), (1, "b c"), (1, "b c")]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
     assert quality.judge(df).count() == 3
+
+
+def test_rare_languages_and_small_tables_are_judged(spark, make):
+    """Every passing document has a distance, and a planted outlier goes: in a language with too few rows beside a large
+    one, in several rare languages, and in a table smaller than any group."""
+    r = random.Random(6)
+    words = [f"word{k}" for k in range(900)]
+    clean = lambda n: [" ".join(r.choices(words, k=r.randint(80, 200))) for _ in range(n)]
+    noisy = lambda: " ".join(w + "#$%*" * 12 for w in r.choices(words, k=120))
+    for sizes in ({"en": 300, "fr": 20}, {"de": 30, "en": 300, "es": 30}, {"en": 12}, {"en": 1}):
+        rows = [(lang, t) for lang, n in sizes.items() for t in clean(n)]
+        bad = [(lang, noisy()) for lang, n in sizes.items() if n > 1]
+        df = spark.createDataFrame([(i, t, lang, f"s{i % 7}") for i, (lang, t) in enumerate(rows + bad)], "doc_id long, text string, lang string, source string")
+        found = quality.judge(df).collect()
+        assert all(x.distance is not None for x in found)
+        assert {x.doc_id for x in found if x.kept} == set(range(len(rows))), sizes
