@@ -89,3 +89,15 @@ def test_rare_languages_and_small_tables_are_judged(spark, make):
         found = quality.judge(df).collect()
         assert all(x.distance is not None for x in found)
         assert {x.doc_id for x in found if x.kept} == set(range(len(rows))), sizes
+
+
+def test_repeated_lines_alone_reject(make):
+    """Among texts without repeats, one of three lines in five repeated goes, though the base rule leaves it; one repeat stays."""
+    r = random.Random(8)
+    words = [f"word{k}" for k in range(900)]
+    own = ["\n".join(" ".join(r.choices(words, k=8)) for _ in range(r.randint(12, 22))) for _ in range(120)]
+    short = lambda n, times: "\n".join([f"again{k}" for k in range(n)] * times)
+    own += [own[0] + "\n" + short(8, 5), own[1] + "\n" + short(1, 2)]
+    found = {x.doc_id: x for x in quality.judge(make(own)).collect()}
+    assert not any(x.base_failed for x in found.values()) and found[120].n_dup_lines == 32
+    assert [i for i, x in found.items() if not x.kept] == [120]
