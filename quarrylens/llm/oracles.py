@@ -52,15 +52,10 @@ def op2() -> str:
     label = f"{names}[kind + 1] || ':' || start || ':' || stop"
     return f"""
 WITH x AS (SELECT doc_id, kind, start, start + size AS stop FROM ({" UNION ALL ".join(found)})), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, kind) AS k FROM x),
-s AS (SELECT a.doc_id, a.k, b.kind IN {of(s.SECRETS)} AS is_secret, b.kind IN {of(s.ENDPOINTS)} AS is_end, b.kind IN {of(s.IDENTIFIERS)} AS is_id, b.start, b.stop, b.k < a.k AS before, b.k AS bk, {near} AS near FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.k <> b.k),
-g AS (SELECT doc_id, k, coalesce(bool_or(near AND is_secret), false) AS has_secret, coalesce(bool_or(near AND is_id), false) AS has_id,
- arg_max(struct_pack(a := start, b := stop), (stop, -bk)) FILTER (WHERE before AND is_secret) AS ps, arg_min(struct_pack(a := start, b := stop), bk) FILTER (WHERE NOT before AND is_secret) AS ns,
- arg_max(struct_pack(a := start, b := stop), (stop, -bk)) FILTER (WHERE before AND is_end) AS pe, arg_min(struct_pack(a := start, b := stop), bk) FILTER (WHERE NOT before AND is_end) AS ne FROM s GROUP BY ALL),
-j AS (SELECT o.*, g.* EXCLUDE (doc_id, k), coalesce(has_secret, false) AS hs, coalesce(has_id, false) AS hi FROM o LEFT JOIN g ON g.doc_id = o.doc_id AND g.k = o.k),
-l AS (SELECT DISTINCT doc_id, {len(s.KINDS)} AS kind,
- least(start, CASE WHEN start - ps.b <= {s.SCOPE_CHARS} THEN ps.a END, CASE WHEN start - pe.b <= {s.SCOPE_CHARS} THEN pe.a END) AS start,
- greatest(stop, CASE WHEN start - ps.b <= {s.SCOPE_CHARS} THEN ps.b END, CASE WHEN ns.a - stop <= {s.SCOPE_CHARS} THEN ns.b END, CASE WHEN start - pe.b <= {s.SCOPE_CHARS} THEN pe.b END, CASE WHEN ne.a - stop <= {s.SCOPE_CHARS} THEN ne.b END) AS stop
- FROM j WHERE kind IN {of(s.IDENTIFIERS)} AND hs),
+s AS (SELECT a.doc_id, a.k, b.kind IN {of(s.SECRETS)} AS is_secret, b.kind IN {of(s.ENDPOINTS)} AS is_end, b.kind IN {of(s.IDENTIFIERS)} AS is_id, b.start, b.stop FROM o a JOIN o b ON a.doc_id = b.doc_id AND {near}),
+g AS (SELECT doc_id, k, bool_or(is_secret) AS hs, bool_or(is_id) AS hi, min(start) FILTER (WHERE is_secret OR is_end) AS lo, max(stop) FILTER (WHERE is_secret OR is_end) AS up FROM s GROUP BY ALL),
+j AS (SELECT o.*, hs, hi, lo, up FROM o JOIN g ON g.doc_id = o.doc_id AND g.k = o.k),
+l AS (SELECT DISTINCT doc_id, {len(s.KINDS)} AS kind, least(start, lo) AS start, greatest(stop, up) AS stop FROM j WHERE kind IN {of(s.IDENTIFIERS)} AND hs),
 a AS (SELECT doc_id, kind, start, stop FROM j WHERE kind < {len(s.BASE)} OR (kind IN {of(("login", "endpoint"))} AND hs) OR (kind IN {of(("blob",))} AND hi) UNION ALL SELECT doc_id, kind, start, stop FROM l),
 t AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, (k, *_) in enumerate(s.BASE))}, string_agg({label}, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < {len(s.BASE)}) AS base, string_agg({label}, ',' ORDER BY start, kind, stop) AS spans FROM a GROUP BY 1)
 SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k, *_ in s.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN t USING (doc_id)"""

@@ -19,13 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Rows from which an estimate of the five statistics is a group's own: ten a statistic. Smaller groups share an estimate.
-MIN_GROUP = 50
-#: Share of rows that the estimate rests on, rounds of concentration, and the share of a clean normal population
-#: that would be rejected.
-SUPPORT, ROUNDS, REJECT = 0.75, 4, 1e-9
+#: Share of a group's rows that its estimate rests on, and the share of a clean normal population that would be rejected.
+SUPPORT, REJECT = 0.75, 1e-9
+#: Rows' worth of weight that the wider population (the language for a source, all texts for a language) has in an estimate.
+PRIOR_ROWS = 50.0
+#: A concentration ends when the log-determinant falls by no more than this.
+LEAST_FALL = 1e-3
 FEATURES = ("f_words", "f_chars", "f_symbols", "f_lines", "f_repeats")
-#: Least variance of each statistic. Most texts have no symbols and no repeats, so their spread in the core of a group is
+#: Variance added to each statistic. Most texts have no symbols and no repeats, so their spread in the core of a group is
 #: nothing; some repeated lines or phrases do not make a text an outlier, a share of symbols like that of words does. Those of
 #: the repeats are about the variance over all passing texts; in a group without any, half the lines or words alone reject.
 LEAST_VARIANCE = (0.05, 0.0016, 0.12, 0.28, 0.28)
@@ -94,28 +95,45 @@ def _total(columns) -> Column:
     return functools.reduce(operator.add, columns)
 
 
-def _inverse_factor(moments: DataFrame, floors: tuple[float, ...]) -> DataFrame:
-    """From means m_i and covariances s_ij: w_ij, the inverse of the lower Cholesky factor, column by column.
-    ``floors`` are added to the variances: a statistic that hardly varies in a group cannot reject by noise alone."""
-    d, out = len(FEATURES), moments
+_D = len(FEATURES)
+_SQUARE = [(i, j) for i in range(_D) for j in range(_D)]
+_MODEL = ("mean", "cov", "inv", "det")
 
-    def rest(i: int, j: int) -> Column:
-        s = F.col(f"s_{i}_{j}") + F.lit(floors[i] if i == j else 0.0)
-        return s - _total([F.lit(0.0)] + [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)])
 
-    for j in range(d):
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(floors[j] / 10))))
-        out = out.withColumns({f"l_{i}_{j}": rest(i, j) / F.col(f"l_{j}_{j}") for i in range(j + 1, d)})
-    for i in range(d):
-        left = {j: _total([F.lit(1.0 if i == j else 0.0)] + [-F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)]) for j in range(i + 1)}
-        out = out.withColumns({f"w_{i}_{j}": x / F.col(f"l_{i}_{i}") for j, x in left.items()})
-    return out.select("grp", *[f"m_{i}" for i in range(d)], *[f"w_{i}_{j}" for i in range(d) for j in range(i + 1)])
+def _model(floors: tuple[float, ...]):
+    """A function that adds the estimate to each row of sums: ``mean``, ``cov`` (row after row), its inverse ``inv`` and log-determinant ``det``.
+
+    ``v`` holds weighted sums over a group's rows, taken from the prior's mean: the weight, the statistics, their products.
+    The prior (mean ``p``, covariances ``t``) takes part as PRIOR_ROWS rows. ``floors`` are added to the variances before
+    inversion: a statistic that hardly varies in a group cannot reject by noise alone. A symmetric matrix is inverted by sweeping
+    out one pivot after the other; the determinant is the product of the pivots.
+    """
+    weight = F.col("v")[0] + PRIOR_ROWS
+    row, column = lambda q: F.floor(q / _D).cast("int"), lambda q: q % _D
+    mean = F.transform("p", lambda x, i: x + F.get("v", i + 1) / weight)
+    cov = F.transform("t", lambda x, q: (F.get("v", q + _D + 1) + PRIOR_ROWS * x) / weight - F.get("v", row(q) + 1) * F.get("v", column(q) + 1) / (weight * weight))
+    full = F.transform("cov", lambda x, q: x + F.when(row(q) == column(q), F.get(F.array(*map(F.lit, floors)), column(q))).otherwise(0.0))
+
+    def sweep(acc: Column, k: Column) -> Column:
+        a, pivot = acc["a"], F.get(acc["a"], k * (_D + 1))
+        at = lambda i, j: F.get(a, i * _D + j)
+
+        def swept(x: Column, q: Column) -> Column:
+            i, j = row(q), column(q)
+            return F.when((i == k) & (j == k), -1.0 / pivot).when((i == k) | (j == k), x / pivot).otherwise(x - at(i, k) * at(k, j) / pivot)
+
+        return F.struct(F.transform(a, swept).alias("a"), (acc["det"] + F.log(pivot)).alias("det"))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(_D - 1)), F.struct(full.alias("a"), F.lit(0.0).alias("det")), sweep).alias("swept")
+    first = [F.col("*"), mean.alias("mean"), cov.alias("cov")]
+    last = [F.transform("swept.a", lambda x: -x).alias("inv"), F.col("swept.det").alias("det")]
+    return lambda sums: sums.select(*first).select("*", done).select(*[c for c in sums.columns if c != "v"], "mean", "cov", *last)
 
 
 def _distance() -> Column:
-    d = len(FEATURES)
-    centred = [F.col(f) - F.col(f"m_{i}") for i, f in enumerate(FEATURES)]
-    return _total([F.pow(_total([F.col(f"w_{i}_{j}") * centred[j] for j in range(i + 1)]), 2) for i in range(d)])
+    """Squared Mahalanobis distance of a row to the estimate beside it."""
+    c = [F.col(f) - F.col("mean")[i] for i, f in enumerate(FEATURES)]
+    return _total([c[i] * c[j] * F.col("inv")[i * _D + j] * (1.0 if i == j else 2.0) for i, j in _SQUARE if j <= i])
 
 
 def chi2_quantile(p: float, d: int) -> float:
@@ -124,68 +142,101 @@ def chi2_quantile(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + z * (2 / (9 * d)) ** 0.5) ** 3
 
 
-def estimates(rows: DataFrame, support: float = SUPPORT, rounds: int = ROUNDS, floors: tuple[float, ...] = LEAST_VARIANCE) -> DataFrame:
-    """Minimum-covariance-determinant location and scatter per ``grp``, as means m_i and inverse factors w_ij.
+def _sums(weight: Column | None = None) -> Column:
+    """Sums over rows of weight, of the statistics from the prior's mean, and of their products."""
+    y = [F.col(f) - F.col("p")[i] for i, f in enumerate(FEATURES)]
+    of = lambda x: F.coalesce(F.sum(x if weight is None else F.when(weight, x)), F.lit(0.0))
+    return F.array(of(F.lit(1.0)), *[of(x) for x in y], *[of(y[max(i, j)] * y[min(i, j)]) for i, j in _SQUARE])
+
 
-    Deterministic concentration steps: start from each group's medians and spreads, then repeatedly take the
-    ``support`` share of rows that lie closest (a mergeable quantile of the distances) and their mean and
-    covariance; each step lowers the determinant. Every step is one partial aggregation over a narrow table, so a
-    group may hold any share of the rows. The scatter is then scaled so that the median distance is that of a
-    normal population.
+def _quartiles() -> list[Column]:
+    return [F.percentile_approx(f, [0.25, 0.5, 0.75], 2000) for f in FEATURES]
+
+
+def _spread(i: int) -> Column:
+    """The variance of a normal population with the quartiles of statistic i in column ``q``."""
+    return F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, 2)
+
+
+def estimates(rows: DataFrame, prior: DataFrame, floors: tuple[float, ...] = LEAST_VARIANCE, support: float = SUPPORT) -> DataFrame:
+    """Minimum-covariance-determinant location and scatter per ``grp``: mean, cov, inv, det and scale.
+
+    ``rows``: grp and FEATURES. ``prior``: a row per grp with the wider population's mean ``p``, covariances ``t`` and
+    ``p_scale``; it takes part as PRIOR_ROWS rows, so that a group of any size has a sound estimate and its own rows
+    come to prevail as it grows. Three starts (the medians and quartiles, the prior, all rows) are concentrated side by
+    side: each step takes the ``support`` share of the rows that lie closest, those on the edge in part, and
+    their mean and covariance with the prior's; that cannot raise the determinant, and a start is done when it no longer
+    falls. The least determinant wins. The scatter is then scaled so that the median distance is that of a normal
+    population. Every step is a partial aggregation over a narrow table joined to a row per group, which is broadcast
+    where its file is small, so a group may hold any share of the rows.
     """
-    d = len(FEATURES)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, f in enumerate(FEATURES)])
-    start = quartiles.select(
-        "grp", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(d)],
-        *[(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in pairs],
-    )
-    model = _compact(_inverse_factor(start, floors), "mcd")
-    for _ in range(rounds):
-        measured = rows.join(model, "grp").withColumn("d2", _distance()).select("grp", "d2", *FEATURES)
-        cut = measured.groupBy("grp").agg(F.percentile_approx("d2", support, 10_000).alias("cut"))
-        inner = measured.join(cut, "grp").where("d2 <= cut")
-        moments = inner.groupBy("grp").agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s_{i}_{j}") for i, j in pairs])
-        model = _compact(_inverse_factor(moments, floors), "mcd")
-    median = rows.join(model, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10_000).alias("med"))
-    scale = F.greatest(F.col("med") / chi2_quantile(0.5, d), F.lit(1.0))
-    return _compact(model.join(median.withColumn("scale", scale).drop("med"), "grp"), "mcd")
+    first = rows.join(prior, "grp").groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*_quartiles()).alias("q"), _sums().alias("all"))
+    first = _compact(first.join(prior, "grp"), "mcd")
+    n, zero = F.col("n"), F.lit(0.0)
+    middle = [F.col("q")[i][1] - F.col("p")[i] for i in range(_D)]
+    spread = [_spread(i) for i in range(_D)]
+    from_quartiles = F.array(n, *[n * m for m in middle], *[n * (middle[i] * middle[j] + (spread[i] if i == j else zero)) for i, j in _SQUARE])
+    starts = [F.struct(F.lit(k).alias("start"), v.alias("v")) for k, v in enumerate((from_quartiles, F.transform("all", lambda x: zero), F.col("all")))]
+    kept = ("grp", "n", "p", "t")
+    state = first.select(*kept, F.explode(F.array(*starts)).alias("x")).select(*kept, "x.*")
+    with_model = _model(floors)
+    state = _compact(with_model(state).withColumn("done", F.lit(False)), "mcd")
+    # expressions of the steps, built once
+    distance, cut_at = _distance().alias("d2"), F.percentile_approx(_distance(), support, 10_000).alias("cut")
+    halves = (_sums(F.col("d2") < F.col("cut")).alias("inner"), _sums(F.col("d2") == F.col("cut")).alias("edge"))
+    part = F.greatest(zero, F.least(F.lit(1.0), (support * (n - 1) - F.col("inner")[0]) / F.greatest(F.col("edge")[0], F.lit(1.0))))
+    v = F.zip_with("inner", "edge", lambda x, y: x + F.col("part") * y).alias("v")
+    better = F.when(F.col("det") < F.col("old.det"), F.struct(*_MODEL)).otherwise(F.col("old")).alias("x")
+    while True:
+        active = state.where(~F.col("done")).drop("done")
+        cut = rows.join(active.select("grp", "start", "mean", "inv"), "grp").groupBy("grp", "start").agg(cut_at)
+        cut = _compact(active.join(cut, ["grp", "start"]), "mcd")
+        measured = rows.join(cut.select("grp", "start", "cut", "mean", "inv", "p"), "grp").select("*", distance)
+        sums = measured.groupBy("grp", "start").agg(*halves)
+        both = cut.select(*kept, "start", F.struct(*_MODEL).alias("old")).join(sums, ["grp", "start"]).withColumn("part", part)
+        new = with_model(both.select(*kept, "start", "old", v))
+        step = new.select(*kept, "start", (F.col("old.det") - F.col("det") <= LEAST_FALL).alias("done"), better).select(*kept, "start", "x.*", "done")
+        state = _compact(state.where("done").unionByName(step), "mcd")
+        if state.where(~F.col("done")).isEmpty():
+            break
+    best = state.groupBy("grp").agg(F.min_by(F.struct("n", *_MODEL), F.struct("det", "start")).alias("x")).select("grp", "x.*")
+    best = _compact(best.join(prior.select("grp", "p_scale"), "grp"), "mcd")
+    median = rows.join(best, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10_000).alias("med"))
+    own = F.greatest(F.col("med") / chi2_quantile(0.5, _D), F.lit(1.0))
+    share = n / (n + PRIOR_ROWS)
+    scale = F.exp(share * F.log(own) + (1 - share) * F.log("p_scale"))
+    return _compact(best.join(median, "grp").withColumn("scale", scale).drop("med", "p_scale"), "mcd")
 
 
 def _name(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?"))
 
 
-def fit(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The estimates that hold for each language and source of ``stats`` (gl, gs, base_failed and FEATURES).
+def fit(stats: DataFrame) -> DataFrame:
+    """The estimate of each language and source of ``stats`` (gl, gs, base_failed and FEATURES) that has a passing row.
 
-    The rows of an estimate are the first of these with at least ``min_group`` rows that pass the base rules: the language
-    and source; the language's sources that are too small; the language; the languages that are too small; else all
-    passing rows, however few. So every language and source with a passing row has an estimate; the least variances
-    keep one over few rows steady.
+    All passing rows come first (their prior has their medians and the spread of their quartiles), then each language with that estimate
+    as its prior, then each source of a language with the language's. No group size changes the rule.
     """
-    passing = stats.where(~F.col("base_failed"))
-    sizes = _compact(passing.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    small = F.col("n") < min_group
-    by_lang = sizes.groupBy("gl").agg(F.sum("n").alias("n_lang"), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("n_small"))
-    rare = F.col("n_lang") < min_group
-    total = by_lang.agg(F.coalesce(F.sum(F.when(rare, F.col("n_lang"))), F.lit(0)).alias("n_rare"))
-    groups = sizes.join(by_lang, "gl").crossJoin(F.broadcast(total))
-    own, sources, lang = F.concat_ws("/", "gl", "gs"), F.concat_ws("/", "gl", F.lit("*")), F.concat_ws("/", "gl", F.lit("**"))
-    few_sources, few_languages = F.col("n_small") < min_group, F.col("n_rare") < min_group
-    grp = F.when(~small, own).when(~few_sources, sources).when(~rare, lang).when(~few_languages, F.lit("*/*")).otherwise(F.lit("**/**"))
-    takes_part = [
-        F.when(~small, own), F.when(small & ~few_sources, sources), F.when((F.col("n_small") > 0) & few_sources & ~rare, lang),
-        F.when(rare & ~few_languages, F.lit("*/*")), F.when((F.col("n_rare") > 0) & few_languages, F.lit("**/**")),
-    ]
-    groups = _compact(groups.select("gl", "gs", grp.alias("grp"), F.filter(F.array(*takes_part), lambda g: g.isNotNull()).alias("grps")), "groups")
-    rows = passing.join(groups, ["gl", "gs"]).select(F.explode("grps").alias("grp"), *FEATURES)
-    return groups.join(estimates(rows), "grp").drop("grp", "grps")
+    passing = stats.where(~F.col("base_failed")).select("gl", "gs", *FEATURES)
+    whole = F.array().cast("array<string>")
+    quartiles = passing.agg(F.count(F.lit(1)).alias("n"), F.array(*_quartiles()).alias("q")).where("n > 0")
+    spread = F.array(*[_spread(i) if i == j else F.lit(0.0) for i, j in _SQUARE])
+    prior = _compact(quartiles.select(whole.alias("grp"), F.transform("q", lambda x: x[1]).alias("p"), spread.alias("t"), F.lit(1.0).alias("p_scale")), "prior")
+    model = None
+    for names in ((), ("gl",), ("gl", "gs")):
+        key = F.array(*names) if names else whole
+        if model is not None:
+            above = model.select(F.col("grp").alias("over"), F.col("mean").alias("p"), F.col("cov").alias("t"), F.col("scale").alias("p_scale"))
+            groups = passing.select(key.alias("grp")).distinct().withColumn("over", F.slice("grp", 1, len(names) - 1))
+            prior = _compact(groups.join(above, "over").drop("over"), "prior")
+        model = estimates(passing.select(key.alias("grp"), *FEATURES), prior)
+    return model.select(F.col("grp")[0].alias("gl"), F.col("grp")[1].alias("gs"), "mean", "inv", "scale")
 
 
 def _verdict(keyed: DataFrame, model: DataFrame, reject: float) -> DataFrame:
     judged = keyed.join(model, ["gl", "gs"], "left").withColumn("distance", _distance() / F.col("scale"))
-    limit = chi2_quantile(1 - reject, len(FEATURES))
+    limit = chi2_quantile(1 - reject, _D)
     # one expression over both sides of the join: as a conjunction, a filter on it would be pushed down in part and would
     # compute the statistics again
     return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("distance") <= limit))
@@ -197,7 +248,7 @@ def _narrow(documents: DataFrame) -> DataFrame:
     return materialize(_features(rows.withColumn("base_failed", _base_failed())), "quality")
 
 
-def judge(documents: DataFrame, reject: float = REJECT, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(documents: DataFrame, reject: float = REJECT) -> DataFrame:
     """doc_id, the statistics, ``distance`` (squared robust Mahalanobis, null only where no row of the language and source
     passes the base rules) and ``kept`` of every document: false if base_failed, else false if the distance is beyond the ``1 - reject`` quantile.
 
@@ -205,17 +256,16 @@ def judge(documents: DataFrame, reject: float = REJECT, min_group: int = MIN_GRO
     and are judged once each; other columns are ignored; an empty table gives no rows.
     """
     stats = _narrow(documents)
-    return _verdict(stats, fit(stats, min_group), reject)
+    return _verdict(stats, fit(stats), reject)
 
 
-def keep_good(documents: DataFrame, reject: float = REJECT, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns: estimates first, then each row is judged where it
-    is scanned, so no text is shuffled."""
-    model = _compact(fit(_narrow(documents), min_group), "fit")
-    names = documents.columns
-    rows = add_statistics(documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text", "lang", "source"))
+def keep_good(documents: DataFrame, reject: float = REJECT) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns. Those that pass the base rules are written once beside
+    their statistics; the estimates read the statistics' columns alone, and no text is shuffled."""
+    rows = add_statistics(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), "text", "lang", "source"))
     rows = rows.select("_row", _name("lang").alias("gl"), _name("source").alias("gs"), "_q.*")
-    return _verdict(_features(rows.withColumn("base_failed", _base_failed())), model, reject).where("kept").select("_row.*")
+    passing = materialize(_features(rows.withColumn("base_failed", _base_failed()).where(~F.col("base_failed"))), "passing")
+    return _verdict(passing, fit(passing), reject).where("kept").select("_row.*")
 
 
 def digest(judged: DataFrame) -> DataFrame:

@@ -105,9 +105,10 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT_CONTEXTS, 2])
-def test_repeats_against_brute_force(make, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+@pytest.mark.parametrize(("salt", "hot"), [(repeats.SALT_SEGMENTS, repeats.HOT_SHARE), (2, 1)])
+def test_repeats_against_brute_force(make, monkeypatch, salt, hot):
+    monkeypatch.setattr(repeats, "SALT_SEGMENTS", salt)
+    monkeypatch.setattr(repeats, "HOT_SHARE", hot)
     texts = corpus(5)
     got = {r.doc_id: tuple(r)[1:] for r in repeats.digest(repeats.remove_repeats(make(texts))).collect()}
     assert got == removed(texts)
@@ -119,3 +120,40 @@ def test_repeats_of_odd_tables(make):
     long = " ".join(f"v{k}" for k in range(40))
     rows = repeats.remove_repeats(make([(None, long), (1, long), (2, long), (2, long), (3, "x")])).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in rows) == [(-1, 0), (1, 40), (2, 40), (2, 40), (3, 0)]
+
+
+def test_marks_come_from_the_automaton(make, monkeypatch):
+    """Without occurrences from the automaton nothing is removed."""
+    import pyarrow as pa
+
+    segment = {"did": 5, "th": 0, "lo": 3, "words": " ".join(f"a{k}" for k in range(22))}
+    pattern = {"did": 1, "th": 0, "lo": 0, "words": " ".join(f"a{k}" for k in range(21)), "starts": [1]}
+    found = repeats.locate(pa.Table.from_pylist([segment]), pa.Table.from_pylist([pattern], pa.schema([("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("words", pa.string()), ("starts", pa.list_(pa.int32()))])))
+    assert found.to_pylist() == [{"did": 5, "th": 0, "lo": 4, "hi": 24}]
+    monkeypatch.setattr(repeats, "_shards", lambda batches: (repeats._FOUND.empty_table().to_batches() for _ in ()))
+    twice = " ".join(f"b{k}" for k in range(60))
+    assert {r.n_removed for r in repeats.remove_repeats(make([twice, twice])).collect()} == {0}
+
+
+def test_shards_hold_segments_until_all_patterns_have_passed(monkeypatch):
+    """Any size of held rows, and any cut into batches, gives the same occurrences."""
+    import pyarrow as pa
+
+    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("words", pa.string()), ("starts", pa.list_(pa.int32()))])
+    rows = []
+    for h in range(6):
+        text = lambda v: " ".join(f"s{h}-{v}-{k}" for k in range(24))  # noqa: E731, B023
+        rows += [dict(h=h, salt=0, kind=0, did=10 + d, th=0, lo=d, words=text(d % 3), starts=None) for d in range(7)]
+        rows += [dict(h=h, salt=0, kind=1, did=10 + v, th=0, lo=v, words=text(v), starts=[v, v + 2] if v else None) for v in range(3)]
+    table = pa.Table.from_pylist(rows, schema)
+    out = []
+    for held, size in ((20_000, 1000), (3, 4), (1, 1), (9, 2)):
+        monkeypatch.setattr(repeats, "HELD_ROWS", held)
+        out.append(sorted(tuple(r.values()) for b in repeats._shards(table.to_batches(size)) for r in b.to_pylist()))
+    assert out[0] and all(x == out[0] for x in out)
+
+
+def test_repeats_of_a_very_long_text(make):
+    words = " ".join(f"v{k}" for k in range(150_000))
+    rows = {r.doc_id: r.n_removed for r in repeats.remove_repeats(make([words, "head " + words[:600_000], words[-300:]])).collect()}
+    assert rows[0] == 0 and rows[1] == len(words[:600_000].split()) - 1 * (not words[600_000 - 1 : 600_001].count(" ")) and rows[2] > 20

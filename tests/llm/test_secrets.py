@@ -47,3 +47,18 @@ def test_redaction_keeps_the_rest(make):
 def test_empty_table_and_repeats(make):
     assert secrets.scan(make([])).count() == 0
     assert secrets.scan(make([(1, "password=abcdefgh12"), (1, "password=abcdefgh12"), (None, "x")])).count() == 3
+
+
+def test_one_text_of_very_many_matches(make):
+    """20,000 matches in one text: every span is found and linked, and the text is redacted."""
+    n = 10_000
+    df = make(["user_id=bobby password=abcdefgh12 " * n])
+    row = secrets.digest(secrets.scan(df)).first()
+    assert row.n_assign == n and row.spans.count("login:") == n and row.spans.count("linked:") == n
+    assert secrets.redact(df).first().text == "[SECRET] [SECRET] " * n
+
+
+def test_links_cover_all_parts_in_scope(make):
+    text = "password=first11111 secret=second2222 user_id=bobby https://a.example/x https://b.example/y token=" + "q" * 20 + " " * 400 + "password=faraway11"
+    row = secrets.digest(secrets.scan(make([text]))).first()
+    assert f"linked:0:{text.index(' ' * 400)}" in row.spans and row.n_assign == 4
