@@ -14,7 +14,7 @@ from quarrylens.llm._textkit import grams, mix, row_of, slices, sliding_min, val
 
 WINDOW, GRAM = 20, 6
 #: Segments of one anchor that go to one shard, and rows (segments and patterns) held for one automaton.
-SALT_SEGMENTS, HELD_ROWS = 20_000, 20_000
+SALT_SEGMENTS, HELD_ROWS = 4000, 20_000
 #: Anchors that make up more than one in this many of all are told apart by a broadcast list, which has no more entries than this.
 HOT_SHARE = 10_000
 _LOW = -(1 << 63)
@@ -241,6 +241,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     starts = confirmed.groupBy("h", F.col("f.ctx").alias("ctx")).agg(F.collect_list("f.start").alias("starts"))
     columns = ["h", "n", "did", "th", "lo", "words", "starts"]
     patterns = distinct.where("c >= n").withColumn("starts", F.lit(None).cast("array<int>")).select(columns).unionByName(mixed.join(starts, ["h", "ctx"]).select(columns))
+    patterns = materialize(patterns, "patterns")  # frees the shuffle files of the confirmation before the segments are dealt
     salts = F.ceil(F.col("n") / SALT_SEGMENTS).cast("int")
     patterns = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("kind", F.lit(1))
     streamed = spots.select("h", "did", "th", "lo", "words", F.lit(None).cast("array<int>").alias("starts"), F.pmod(F.xxhash64("did", "th", "lo"), salts).cast("int").alias("salt"), F.lit(0).alias("kind"))
