@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import functools
 import html
+import json
 import math
+import pathlib
 import re
 
 import numpy as np
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-UNSEEN = frozenset("script style head title noscript template svg math iframe object select textarea option canvas audio video map".split())
+#: Scripts, styles, form fields and markup that is never shown.
+UNSEEN = frozenset("script style title noscript template iframe select textarea option".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img acronym bdi ruby rt rp".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img acronym bdi ruby rt rp math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup mover munder munderover semantics svg g text tspan path object audio video canvas map picture output meter progress slot font".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _SCOPE = frozenset("html body article section main div table td th button".split())
@@ -114,10 +117,14 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, list[str]]]]:
                     break
             fresh = fresh or tag not in INLINE
             continue
+        if tag == "head":  # what it holds is unseen by itself; an open head ends where the body's content starts
+            fresh = True
+            continue
         if tag in UNSEEN:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" if tag in RAW else rf"</{re.escape(tag)}\b[^>]*>|<body\b", re.I).search(page, at)
-                at = n if end is None else end.start() if end[0][1] != "/" else end.end()
+                # an option also ends where the next one or its list's end stands; unclosed lists and templates hide nothing
+                end = re.compile(rf"</{tag}\b[^>]*>" + (r"|(?=<(?:option|/?optgroup|/select|/datalist)\b)" if tag == "option" else ""), re.I).search(page, at)
+                at = end.end() if end else n if tag in RAW else at
             fresh = fresh or tag not in INLINE
             continue
         if tag in VOID:
@@ -263,12 +270,24 @@ def train(pages: list[str], penalty: float = 1e-5, steps: int = 400, rate: float
     return model()
 
 
+_WEIGHTS = pathlib.Path(__file__).with_name("html_weights.json")
+
+
 @functools.cache
-def default_model(n_pages: int = 800) -> PageModel:
-    """The model trained on ``n_pages`` labelled pages; every worker gets the same one from the driver."""
+def default_model() -> PageModel:
+    """The model trained by ``train_default``, read on the driver; every worker gets it from there."""
+    stored = json.loads(_WEIGHTS.read_text())
+    return PageModel([stored["weights"][f] for f in _FEATURES], *([stored[c][e] for e in EDGES] for c in ("both", "neither")))
+
+
+def train_default(n_pages: int = 800) -> PageModel:
+    """Train on ``n_pages`` labelled pages and store the weights beside this module."""
     from quarrylens.llm.html_training import labelled_pages
 
-    return train(labelled_pages(n_pages))
+    model = train(labelled_pages(n_pages))
+    of = lambda names, values: {n: round(v, 4) for n, v in zip(names, values, strict=True)}
+    _WEIGHTS.write_text(json.dumps({"weights": of(_FEATURES, model.weights), "both": of(EDGES, model.both), "neither": of(EDGES, model.neither)}, indent=1) + "\n")
+    return model
 
 
 def extract(pages: DataFrame, model: PageModel | None = None) -> DataFrame:

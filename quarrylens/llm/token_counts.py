@@ -20,14 +20,15 @@ _WORD = re.compile("[^ \t-\r\x85\xa0  -     　]+")
 COUNTS = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
-def vocabulary(model_path: str) -> list[tuple[str, float]]:
-    """(piece, log-probability) of a sentencepiece file's ordinary pieces after UNKNOWN. The file ranks its pieces;
-    a piece's probability is taken as falling with its rank by Zipf's law."""
+def vocabulary(model_path: str) -> tuple[list[tuple[str, float]], bool]:
+    """(piece, score) of a sentencepiece file's ordinary pieces after UNKNOWN, with the scores of the file, and whether it
+    has a piece for every byte. Control and byte pieces never match text by their names."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
-    return [(UNKNOWN, 0.0)] + [(p, -math.log(rank + 2.0)) for rank, p in enumerate(pieces)]
+    ids = range(model.get_piece_size())
+    plain = [i for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    return [(UNKNOWN, 0.0)] + [(model.id_to_piece(i), model.get_score(i)) for i in plain], sum(map(model.is_byte, ids)) == 256
 
 
 class Counter:
@@ -36,15 +37,18 @@ class Counter:
 
     Tie rules of the tokenizer: of equal scores at an end, the longest last piece wins (a later start must be
     strictly better); where no one-character piece starts, an unknown character of score (least score - 10) may
-    start, considered last; neighbouring unknown characters are one piece.
+    start, considered last. With ``has_bytes`` an unknown character is a piece for each of its UTF-8 bytes, else
+    neighbouring unknown characters are one piece.
     """
 
-    def __init__(self, vocab: list[tuple[str, float]]):
+    def __init__(self, vocab: list[tuple[str, float]], has_bytes: bool = False):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        self.has_bytes = has_bytes
         for piece, score in vocab:
-            self.automaton.add_word(piece, (len(piece), score, piece == UNKNOWN))
+            if piece != UNKNOWN:
+                self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in vocab) - _UNK_PENALTY
         self.known: dict[str, tuple[int, int]] = {}
@@ -63,10 +67,10 @@ class Counter:
             if not single[end]:
                 score = best[start] + self.unknown
                 if not seen[end] or score > best[end]:
-                    fused = ends_unknown[start]
-                    best[end], pieces[end], unknown[end], ends_unknown[end], seen[end] = score, pieces[start] + (not fused), unknown[start] + (not fused), True, True
+                    more = len(chunk[start].encode()) if self.has_bytes else not ends_unknown[start]
+                    best[end], pieces[end], unknown[end], ends_unknown[end], seen[end] = score, pieces[start] + more, unknown[start] + more, True, True
 
-        for last, (size, score, is_unknown) in self.automaton.iter(chunk):
+        for last, (size, score) in self.automaton.iter(chunk):
             end = last + 1
             while at < end:
                 close(at)
@@ -76,8 +80,7 @@ class Counter:
                 single[end] = True
             score += best[start]
             if not seen[end] or score > best[end]:
-                fused = is_unknown and ends_unknown[start]
-                best[end], pieces[end], unknown[end], ends_unknown[end], seen[end] = score, pieces[start] + (not fused), unknown[start] + (is_unknown and not fused), is_unknown, True
+                best[end], pieces[end], unknown[end], ends_unknown[end], seen[end] = score, pieces[start] + 1, unknown[start], False, True
         while at <= n:
             close(at)
             at += 1
@@ -110,11 +113,12 @@ class Counter:
 
 @functools.cache
 def _counter(model_path: str) -> Counter:
-    return Counter(vocabulary(model_path))
+    return Counter(*vocabulary(model_path))
 
 
 def count_tokens(documents: DataFrame, model_path: str) -> DataFrame:
-    """n_words, n_tokens and n_unknown of every whole text by the unigram vocabulary of ``model_path``.
+    """n_words, n_tokens and n_unknown (tokens of unknown characters: their bytes) of every whole text by the pieces and scores
+    of ``model_path``, taken as a unigram vocabulary.
 
     Words are cut at Unicode white space and are segmented one by one, as the tokenizer does. No shuffle; a row's
     memory is its longest word. Null and empty texts count 0; a null doc_id stays; repeated rows count once each;

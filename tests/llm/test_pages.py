@@ -82,3 +82,43 @@ def test_extraction_of_odd_pages(spark):
     assert got[2].text == got[3].text == got[None].text == ""
     assert got[4].text == "cut off " + H.unescape("&am")
     assert html_text.extract(pages(spark, [])).count() == 0
+
+
+def test_only_what_the_contract_names_is_dropped():
+    model = html_text.default_model()
+    of = lambda body: model.text(f"<html><head><title>t</title></head><body><nav><ul><li><a href=/>m</a></li></ul></nav><article><h1>Head.</h1>{body}</article></body></html>")
+    assert of("<p>Let <math><mi>x</mi></math> be one.</p>") == "Head. Let x be one."
+    assert of("<p>See <svg><text>label</text></svg> and <object>fallback</object> here.</p>") == "Head. See label and fallback here."
+    assert of("<p>Choose <select><option>a<option>b</select> now.</p>") == "Head. Choose now."
+    assert model.text("<html><head><title>t</title><meta charset=utf-8><article><p>An open head ends here.</p></article>") == "An open head ends here."
+    assert model.text("<article><p>Before.</p><template><p>After all.</p></article>") == "Before. After all."
+
+
+def test_layouts_of_another_hand():
+    """Pages written apart from the training layouts."""
+    model = html_text.default_model()
+    main = "<p>The council met on Monday and agreed on the new bridge, which will open next year.</p><p>Work starts in spring. It will take ten months, the mayor said.</p>"
+    want = "The council met on Monday and agreed on the new bridge, which will open next year. Work starts in spring. It will take ten months, the mayor said."
+    layouts = [
+        f'<body><div id="top" class="site-header"><a href="/">Daily News</a></div><div class="main-content">{main}</div><div id="footer"><p>Copyright 2020 Daily News. All rights reserved.</p></div></body>',
+        f'<body><header><h1><a href=/>Blog</a></h1><nav><a href=a>Home</a> <a href=b>About</a></nav></header><main><article class="entry">{main}<aside class="related"><h4>More</h4><ul><li><a href=x>Other story</a></li></ul></aside></article></main><section id="comments"><h2>2 comments</h2><div class="comment"><p>Nice read, thanks for it.</p></div></section></body>',
+        f'<body><div class="cookie-banner">We use cookies. <button>Accept</button></div><div class="wrapper"><div class="left-sidebar"><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><div class="content">{main}</div></div><footer>Contact us at any time.</footer></body>',
+        f'<body><table><tr><td class="menu"><a href=1>One</a><br><a href=2>Two</a></td></tr></table><article>{main}</article><form action="/s"><label>Search</label><input><button>Go</button></form><div class="advert"><p>Buy one now. Get one free.</p></div></body>',
+    ]
+    found = [model.text(page) for page in layouts]
+    assert sum(x == want for x in found) >= 4, found
+
+
+def test_stored_weights_are_those_of_training():
+    from quarrylens.llm.html_training import labelled_pages
+
+    fresh = html_text.train(labelled_pages(120), steps=60)
+    stored = html_text.default_model()
+    held = labelled_pages(60, 99)
+    assert sum(fresh.text(p) == stored.text(p) for p in held) >= 50
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    rows = [(1, "u", "<article><p>Twice told here.</p></article>")] * 2
+    got = html_text.extract(pages(spark, rows)).collect()
+    assert [r.text for r in got] == ["Twice told here."] * 2 and set(got[0].asDict()) == {"page_id", "url", "text", "n_chars"}

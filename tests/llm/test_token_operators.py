@@ -64,19 +64,58 @@ def test_empty_tables(make):
 
 
 @pytest.fixture(scope="module")
-def unigram():
-    vocab = token_counts.vocabulary(path("piece_bpe_32k.model"))
-    t = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=False))
+def pieces():
+    """The file's own pieces and scores, read without the operator's code."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    return [(m.id_to_piece(i), m.get_score(i), m.is_byte(i), m.is_control(i) or m.is_unknown(i)) for i in range(m.get_piece_size())]
+
+
+@pytest.fixture(scope="module")
+def unigram(pieces):
+    t = Tokenizer(models.Unigram([("<unk>", 0.0)] + [(p, s) for p, s, _, special in pieces if not special], unk_id=0, byte_fallback=True))
     t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always")])
     return t
 
 
-def test_counts_equal_the_tokenizer(make, unigram):
-    texts = ["", None, "  a  b", "▁a▁▁b ▁", "日本語 emoji😀😀 x😀y", "<unk> <unk><unk>a", "a\x1cb c\x85d e f", "𝕏𝕐 \t\r\n z", "international counterrevolutionary " * 40, "x" * 500]
-    got = {r.doc_id: r for r in token_counts.count_tokens(make(texts), path("piece_bpe_32k.model")).collect()}
-    for i, t in enumerate(texts):
-        own = unigram.encode(t or "", add_special_tokens=False).ids
-        assert (got[i].n_tokens, got[i].n_unknown) == (len(own), own.count(0)), t
+COUNTED = ["", None, "  a  b", "▁a▁▁b ▁", "日本語 emoji😀😀 x😀y", "Ａ ңң Ａ😀Ａ", "a\x1cb c\x85d e f", "𝕏𝕐 \t\r\n z", "international counterrevolutionary " * 40, "x" * 500, "om 1234 (very) [odd], isn't it?"]
+
+
+def test_counts_equal_the_tokenizer(make, unigram, pieces):
+    byte = {f"<0x{k:02X}>" for k in range(256)}
+    got = {r.doc_id: r for r in token_counts.count_tokens(make(COUNTED), path("piece_bpe_32k.model")).collect()}
+    for i, t in enumerate(COUNTED):
+        own = unigram.encode(t or "", add_special_tokens=False).tokens
+        assert (got[i].n_tokens, got[i].n_unknown) == (len(own), sum(x in byte for x in own)), t
+    assert got[5].n_unknown == 9
+
+
+def test_counts_equal_an_independent_program(pieces):
+    """A plain dynamic program over all substrings, by the file's scores."""
+    score = {p: s for p, s, is_byte, special in pieces if not is_byte and not special}
+    least = min(score.values()) - 10
+
+    def count(chunk):
+        best = [(0.0, 0)] + [None] * len(chunk)
+        for end in range(1, len(chunk) + 1):
+            ways = [(best[a][0] + score[chunk[a:end]], best[a][1] + 1) for a in range(max(0, end - 64), end) if chunk[a:end] in score]
+            if chunk[end - 1] not in score:
+                ways.append((best[end - 1][0] + least, best[end - 1][1] + len(chunk[end - 1].encode())))
+            top = max(w[0] for w in ways)
+            best[end] = next(w for w in ways if w[0] == top)  # of ties the longest last piece
+        return best[-1][1]
+
+    c = token_counts.Counter(*token_counts.vocabulary(path("piece_bpe_32k.model")))
+    for t in COUNTED:
+        words = [w for w in (t or "").replace("\x1c", " ").replace("\x85", " ").split() if "▁" not in w]
+        for w in words:
+            assert c.text(w)[1] == count("▁" + w), w
+
+
+def test_counts_of_long_texts_repeats_and_null_ids(make):
+    rows = token_counts.count_tokens(make([(1, "ab " * 300_000), (None, "x" * 200_000), (2, "a"), (2, "a")]), path("piece_bpe_32k.model")).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in rows) == [(0, 1), (1, 300_000), (2, 1), (2, 1)]
 
 
 def test_ties_take_the_longest_last_piece():
