@@ -6,6 +6,7 @@ lines, declarations, uses and releases are rows, and rules are joins of them.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -17,10 +18,10 @@ from quarrylens.functions.text import include_targets, normal_line, split_lines
 
 _HIDDEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\\?\Z)|'(?:\\.|[^'\\])*(?:'|\\?\Z)", re.S)
 _VISIBLE = re.compile(r"[^\n]")
-_HEAD = re.compile(r"(?m)^[ \t]*(?P<type>[A-Za-z_][\w:<>,&*\s]*?[\s*&])(?P<name>[A-Za-z_~][\w:~]*)\s*\((?P<args>[^;{}()]*)\)\s*(?:const\s*)?(?:noexcept\s*)?\{")
-_BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?")
-#: Words that look like function heads but are statements.
-_NOT_NAMES = frozenset("if for while switch catch return sizeof".split())
+#: How a function's head and a branch look.
+FUNCTION_HEAD = r"(?:^|\n)\s*(?P<return>[A-Za-z_][\w:<>,\s*&]*?(?:[*&]|\s))(?P<name>[A-Za-z_]\w*(?:::\w+)*)\s*\((?P<params>[^;{}]*)\)\s*(?:const\s*)?(?:noexcept\s*)?\{"
+BRANCH = r"\b(?:if|for|while|case|catch)\b|&&|\|\|"
+_HEAD, _BRANCH, _BRACE, _NEWLINE = re.compile(FUNCTION_HEAD, re.M), re.compile(BRANCH), re.compile(r"[{}]"), re.compile("\n")
 
 _FUNCTIONS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("start_line", "end_line", "complexity", "parameters")]]))
 IDENTIFIER = r"[A-Za-z_]\w*"
@@ -55,20 +56,26 @@ def masked(text: pd.Series) -> pd.Series:
 
 
 def _functions(code: str) -> list[dict]:
-    """name, start_line, end_line, complexity (1 and the branches) of each function whose braces close."""
-    out, at = [], 0
-    while m := _HEAD.search(code, at):
-        at = m.end()
-        if m["name"] in _NOT_NAMES:
-            continue
-        depth = 1
-        for brace in re.finditer(r"[{}]", code[m.end() :]):
-            depth += 1 if brace[0] == "{" else -1
-            if depth == 0:
-                at = m.end() + brace.end()
-                start = m.start() + len(m[0]) - len(m[0].lstrip())
-                out.append({"name": m["name"], "start_line": code.count("\n", 0, start) + 1, "end_line": code.count("\n", 0, at) + 1, "complexity": 1 + len(_BRANCH.findall(code[m.end() : at])), "parameters": len([a for a in m["args"].split(",") if a.strip() and a.strip() != "void"])})
-                break
+    """name, start_line, end_line, complexity (1 and the branches) and parameters of each function head; one whose braces
+    never close reaches to the end of the text. Braces, branches and lines are found in one pass each and looked up."""
+    heads = list(_HEAD.finditer(code))
+    if not heads:
+        return []
+    closes, open_at = {}, []
+    for brace in _BRACE.finditer(code):
+        if brace[0] == "{":
+            open_at.append(brace.start())
+        elif open_at:
+            closes[open_at.pop()] = brace.start()
+    branches, newlines = ([m.start() for m in p.finditer(code)] for p in (_BRANCH, _NEWLINE))
+    out = []
+    for m in heads:
+        begin, close = m.end() - 1, closes.get(m.end() - 1, len(code))
+        own = m["params"].strip()
+        out.append({
+            "name": m["name"], "start_line": bisect.bisect_left(newlines, m.start()) + 1, "end_line": bisect.bisect_left(newlines, close) + 1,
+            "complexity": 1 + bisect.bisect_left(branches, close) - bisect.bisect_left(branches, begin), "parameters": 0 if own in ("", "void") else own.count(",") + 1,
+        })
     return out
 
 

@@ -53,7 +53,7 @@ def score_summary(rows: DataFrame, by: list[str], score: str) -> DataFrame:
 
 
 def error_cases(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Samples that some seed gets wrong: errors by kind, and the seeds, most errors first (see ``rank``)."""
+    """Samples that some seed gets wrong: errors by kind, and the seeds, in no order (see ``rank_errors``)."""
     wrong = (F.col("probability") >= threshold) != (F.col("label") == 1)
     bad = rows.where(wrong)
     out = bad.groupBy("sample_id").agg(F.count(F.lit(1)).alias("errors"), F.count_if(F.col("label") != 1).alias("fp"), F.count_if(F.col("label") == 1).alias("fn"), F.array_join(F.transform(F.array_sort(F.collect_list("seed")), lambda s: s.cast("string")), ",").alias("seeds"))
@@ -117,3 +117,86 @@ def round_robin(rows: DataFrame, by: str, item: str) -> DataFrame:
 def corpus_rates(sites: DataFrame) -> DataFrame:
     """tp, fp, tn, fn of a labelled rule corpus: cases (positive or not) by whether any distinct site was found."""
     return sites.agg(*[F.count_if(c).alias(n) for n, c in (("tp", F.col("positive") & (F.col("found") > 0)), ("fp", ~F.col("positive") & (F.col("found") > 0)), ("tn", ~F.col("positive") & (F.col("found") == 0)), ("fn", F.col("positive") & (F.col("found") == 0)))])
+
+
+def rank_errors(cases: DataFrame) -> DataFrame:
+    """Error cases, most errors first, then by id."""
+    return cases.orderBy(F.desc("errors"), "sample_id")
+
+
+def duplicates(rows: DataFrame, key: Column) -> DataFrame:
+    """Which record each record is kept under: the least sample_id of its key; a row per record that is not kept, with its
+    group and whether the labels of its key conflict. A long table, so that no key's records meet in one row."""
+    keyed = rows.withColumn("_key", key)
+    kept = keyed.groupBy("_key").agg(F.min("sample_id").alias("kept_id"), (F.min("label") != F.max("label")).alias("conflict"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return keyed.join(kept, "_key").where(F.col("sample_id") != F.col("kept_id")).select("kept_id", F.col("sample_id").alias("duplicate_id"), "group_id", "conflict")
+
+
+def manifest_problems(records: DataFrame, splits: DataFrame, counts: DataFrame) -> DataFrame:
+    """What a split manifest gets wrong, as (problem, item): records (sample_id, group_id, label), splits (sample_id, split),
+    counts (split, n0, n1) as the manifest states them."""
+    said = lambda p, c: (F.lit(p).alias("problem"), F.col(c).cast("string").alias("item"))
+    placed = records.join(splits, "sample_id")
+    true = class_counts(placed).join(counts.select("split", F.col("n0").alias("s0"), F.col("n1").alias("s1")), "split", "full")
+    found = [
+        records.join(splits, "sample_id", "left_anti").select(*said("in no split", "sample_id")),
+        splits.join(records, "sample_id", "left_anti").select(*said("unknown record", "sample_id")),
+        splits.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*said("in several splits", "sample_id")),
+        placed.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1").select(*said("group in several splits", "group_id")),
+        true.where(~(F.col("n0").eqNullSafe(F.col("s0")) & F.col("n1").eqNullSafe(F.col("s1")))).select(*said("class counts differ", "split")),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def recomputed(stored: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """Stored accuracies that the predictions do not give."""
+    return stored.join(confusion(rows, by=by).select(*by, F.col("accuracy").alias("true_accuracy")), by, "left").where(~F.col("accuracy").eqNullSafe(F.col("true_accuracy")))
+
+
+def gate(scores: DataFrame, by: list[str], least: float = 0.6, seeds: int = 2) -> DataFrame:
+    """Whether a model passes: its mean balanced accuracy is ``least`` or more, and at least ``seeds`` of its runs do not
+    predict one class only. Rows: by, tp, tn, fp, fn, balanced_accuracy."""
+    collapsed = ((F.col("tp") + F.col("fp")) == 0) | ((F.col("tn") + F.col("fn")) == 0)
+    out = scores.groupBy(*by).agg(F.avg("balanced_accuracy").alias("mean"), F.count_if(~collapsed).alias("sound"))
+    return out.withColumn("passed", (F.col("mean") >= least) & (F.col("sound") >= seeds))
+
+
+def quality_gate(findings: DataFrame, by: list[str], rank: Column, least: int) -> DataFrame:
+    """Whether some finding of each ``by`` has at least the severity rank ``least``."""
+    return findings.groupBy(*by).agg(F.bool_or(rank >= least).alias("fails"))
+
+
+def scored_findings(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Predictions at or above the threshold as findings, on the first ranked line, else where the function starts."""
+    return rows.where(F.col("probability") >= threshold).withColumn("line", F.coalesce(F.get("ranked", 0), F.col("start_line")))
+
+
+def ranked_lines(scores: Column) -> Column:
+    """Lines of (line, score) entries by falling score, of equals the least line."""
+    order = F.sort_array(F.transform(scores, lambda x: F.struct((-x["score"]).alias("s"), x["line"].alias("line"))))
+    return F.transform(order, lambda x: x["line"])
+
+
+#: Label sources that are no independent truth.
+WEAK_LABELS = ("unlabeled", "rule", "clang-ast")
+
+
+def record_rules() -> dict[str, Column]:
+    """What holds for a sound training record (see ``dataset.violations``): each a condition that is true for it."""
+    named = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    lines, types, nodes = F.coalesce("defect_lines", F.array().cast("array<bigint>")), F.col("edge_type"), F.col("layers")
+    inside = lambda a: F.forall(a, lambda i: (i >= 0) & (i < F.size(nodes)))
+    ends = lambda i: F.concat_ws("-", F.get(nodes, F.get("edge_from", i).cast("int")), F.get(nodes, F.get("edge_to", i).cast("int")))
+    layered = lambda t, i: ends(i) == F.when(t == 1, "cfg-cfg").when(t == 2, "cfg-ast").otherwise("ast-ast")
+    return {
+        "sample_id": named("sample_id"), "group_id": named("group_id"), "label_source": named("label_source") & ~F.lower(F.trim("label_source")).isin(*WEAK_LABELS),
+        "label": F.coalesce(F.col("label").isin(0, 1), F.lit(False)), "lines": F.coalesce((F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")), F.lit(False)),
+        "source_hash": F.col("source_sha256").eqNullSafe(F.sha2("source", 256)),
+        "defect_lines": F.forall(lines, lambda x: x.between(F.col("start_line"), F.col("end_line"))) & (F.size(F.array_distinct(lines)) == F.size(lines)) & ((F.col("label") != 0) | (F.size(lines) == 0)),
+        "edges": (F.size("edge_from") == F.size(types)) & (F.size("edge_to") == F.size(types)) & inside(F.col("edge_from")) & inside(F.col("edge_to")),
+        "edge_types": F.forall(types, lambda t: t.between(0, 3)), "nodes": F.array_contains(nodes, "ast") & F.forall(nodes, lambda x: x.isin("ast", "cfg")),
+        "edge_layers": F.forall(F.transform(types, layered), lambda x: F.coalesce(x, F.lit(False))),
+    }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -183,6 +186,89 @@ def unit_reasons(covers_before: DataFrame, units_before: DataFrame, covers_after
     return rows.withColumn("r", reason).groupBy("file").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("ord"))).alias("unit_reason"), F.count(F.lit(1)).alias("contributors"))
 
 
+def absence_context(before: DataFrame, files_after: DataFrame, units_before: DataFrame, covers_before: DataFrame, units_after: DataFrame, covers_after: DataFrame, settings_before: DataFrame, settings_after: DataFrame) -> DataFrame:
+    """What ``absence`` looks at, for each old issue (ord, file, rule_id): a row per ord, named b.
+
+    Units: unit, ord, status, fingerprint; covers: unit, file. Settings, one row a scan: policy, requested, configured,
+    disabled (array of rules), revision.
+    """
+    old, new = (s.select(*[F.col(c).alias(f"{c}_{side}") for c in ("policy", "requested", "configured", "disabled", "revision")]) for s, side in ((settings_before, "before"), (settings_after, "after")))
+    out = before.select(F.col("ord").alias("b"), "file", "rule_id").join(files_after.select("file").distinct().withColumn("_in", F.lit(True)), "file", "left")
+    out = out.join(units_after.select(F.col("unit").alias("file"), F.col("status").alias("own_unit")), "file", "left")
+    out = out.join(unit_reasons(covers_before, units_before, covers_after, units_after), "file", "left")
+    out = out.crossJoin(F.broadcast(old)).crossJoin(F.broadcast(new))  # one row each
+    return out.select(
+        "b", F.col("_in").isNotNull().alias("has_file"), "policy_before", "policy_after", F.col("requested_after").alias("requested"), F.array_contains("disabled_after", F.col("rule_id")).alias("disabled"), "own_unit",
+        (F.col("configured_before") & F.col("configured_after")).alias("configured"), "revision_before", "revision_after", "unit_reason", F.coalesce("contributors", F.lit(0)).alias("contributors"),
+    )
+
+
+def find_references(references: DataFrame, symbols: DataFrame, symbol_id: str, indexed: bool = True) -> DataFrame:
+    """The references to one symbol by place, kind, enclosing symbol and unit; a snapshot without a reference index or
+    without the symbol is an error."""
+    if not indexed:
+        raise ValueError("reference index unavailable; rescan with analysis")
+    if symbols.where(F.col("symbol_id") == symbol_id).isEmpty():
+        raise ValueError("unknown symbol in this snapshot")
+    return references.where(F.col("symbol_id") == symbol_id).orderBy("file", "line", "column", "kind", "enclosing_symbol", "translation_unit")
+
+
+def definitions_of(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Rows that carry a symbol_id with the place of its symbol; null where the snapshot has none."""
+    return rows.join(symbols.select("symbol_id", F.col("file").alias("definition_file"), F.col("line").alias("definition_line")), "symbol_id", "left")
+
+
+def active_and_suppressed(active: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """All issues with the flag ``suppressed``; ``part`` orders the active ones first."""
+    flagged = lambda d, flag: d.withColumn("suppressed", F.lit(flag)).withColumn("part", F.lit(int(flag)))
+    return flagged(active, False).unionByName(flagged(suppressed, True), allowMissingColumns=True)
+
+
+def unite_batches(batches: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of several batches, one for each key: that of the earliest batch, of equals the least in all columns."""
+    tagged = [b.withColumn("_batch", F.lit(i)) for i, b in enumerate(batches)]
+    both = tagged[0]
+    for b in tagged[1:]:
+        both = both.unionByName(b)
+    return first_by(both, keys, [F.col("_batch")]).drop("_batch")
+
+
+def create_suppressions(requests: DataFrame, issues: DataFrame, files: DataFrame) -> DataFrame:
+    """Suppressions for ``requests`` (rule_id, file, line, column, reason): bound to the file's hash where the inventory has
+    the file and an active issue stands at that site; else ``problem`` says why not."""
+    joined = requests.join(files.select("file", F.col("hash").alias("source_hash")), "file", "left").join(issues.select(*_SITE).distinct().withColumn("_hit", F.lit(True)), _SITE, "left")
+    problem = F.when(F.col("source_hash").isNull(), "outside the saved inventory").when(F.col("_hit").isNull(), "no active issue at this site").when(F.trim("reason") == "", "a reason is needed").otherwise("")
+    return joined.withColumn("problem", problem).drop("_hit")
+
+
+def choose_commands(units: DataFrame, commands: DataFrame, preferred: DataFrame) -> DataFrame:
+    """The compile command of each unit: missing where it has none, the preferred one where one is named (rejected if it is
+    none of the unit's), ambiguous where several differ, else selected. Commands: unit, command_id; preferred likewise."""
+    own = commands.groupBy("unit").agg(F.count_distinct("command_id").alias("n"), F.min("command_id").alias("least"))
+    named = preferred.select("unit", F.col("command_id").alias("named")).join(commands.select("unit", F.col("command_id").alias("named"), F.lit(True).alias("_known")).distinct(), ["unit", "named"], "left")
+    out = units.join(own, "unit", "left").join(named, "unit", "left")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("named").isNotNull() & F.col("_known").isNull(), "rejected").when(F.col("named").isNull() & (F.col("n") > 1), "ambiguous").otherwise("selected")
+    return out.withColumn("status", status).withColumn("command_id", F.when(status == "selected", F.coalesce("named", "least"))).drop("n", "least", "named", "_known")
+
+
+def best_per_group(rows: DataFrame, keys: list[str], rank: str, item: str) -> DataFrame:
+    """The item of least rank for each key, of equals the least item."""
+    return rows.groupBy(*keys).agg(F.min_by(item, F.struct(rank, item)).alias(item))
+
+
+#: Starts of compiler arguments that load other code or write files.
+UNSAFE_ARGUMENTS = (
+    "@", "--config", "-cc1", "-Xclang", "-load", "-plugin", "-fplugin", "-fpass-plugin", "-fmodules", "-fmodule-",
+    "-include-pch", "-include-pth", "-emit-", "-serialize-diagnostics", "--serialize-diagnostics",
+    "-save-temps", "-MJ", "-fprofile", "-ftime-trace", "-gen-", "-ivfsoverlay",
+)
+
+
+def unsafe_arguments(arguments: Column, prefixes: tuple[str, ...] = UNSAFE_ARGUMENTS) -> Column:
+    """Whether some argument starts with one of the prefixes."""
+    return F.exists(arguments, lambda a: functools.reduce(operator.or_, [a.startswith(p) for p in prefixes], F.lit(False)))
+
+
 def findings_in_functions(findings: DataFrame, functions: DataFrame) -> DataFrame:
     """Findings (file, line) with the functions (file, start_line, end_line) that hold them: a range join within the
     file."""

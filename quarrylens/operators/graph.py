@@ -194,3 +194,15 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     kind = dict(blocks.dtypes)["function"]
     flat = blocks.select("function", "block", F.col("kind"), F.posexplode_outer("events").alias("at", "e")).select("function", "block", "kind", "at", F.col("e.kind").alias("event"), "e.symbol", "e.node")
     return flat.groupBy("function").cogroup(edges.groupBy("function")).applyInPandas(run, f"function {kind}, source string, target string, symbol string")
+
+
+def project_graph(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """The call graph (nodes: function symbols) or include graph (nodes: files): a row per node, ends of edges included, with
+    its distinct successors and predecessors, 0 where none. An edge with an empty end is an error when it is read."""
+    if kind not in ("call", "include"):
+        raise ValueError("graph kind must be call or include")
+    empty = (F.col("source") == "") | (F.col("target") == "")
+    own = unique_edges(edges.where(F.col("kind") == kind).withColumn("source", F.when(empty, F.raise_error(F.lit("empty graph endpoint"))).otherwise(F.col("source"))).select("source", "target"))
+    out, back = own.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("out_degree")), own.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
+    every = nodes.select("node").unionByName(out.select("node")).unionByName(back.select("node")).distinct()
+    return every.join(out, "node", "left").join(back, "node", "left").select("node", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("out_degree", "in_degree")])

@@ -38,3 +38,44 @@ def metric_rows_html(functions: DataFrame, most: int = 500) -> DataFrame:
 def export(df: DataFrame, folder: str, order: list[str]) -> None:
     """JSON lines to a new folder; an existing one is an error."""
     json_lines(df, order).write.mode("errorifexists").text(folder)
+
+
+def tiles(units: DataFrame, by: list[str]) -> DataFrame:
+    """Units and those that succeeded."""
+    return units.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("status") == "success").alias("successful"))
+
+
+def detector_counts(findings: DataFrame) -> DataFrame:
+    return findings.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_counters(metrics: DataFrame, by: list[str]) -> DataFrame:
+    """The extremes of nesting and fans over a corpus, and its functions; unknown (-1) counts as 0."""
+    return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("functions"), *[F.max(F.greatest(c, F.lit(0))).alias(f"most_{c}") for c in ("max_nesting", "fan_in", "fan_out")])
+
+
+def family_counts(pairs: DataFrame) -> DataFrame:
+    """For each weakness: pairs, distinct families and distinct clone groups."""
+    return pairs.groupBy("weakness").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("family").alias("families"), F.count_distinct("template").alias("templates"))
+
+
+def structure_sums(functions: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes and edges of all layers (arrays nodes, edges), whether all dataflow is complete and whether any is stale."""
+    return functions.groupBy(*by).agg(F.sum(F.size("nodes")).alias("nodes"), F.sum(F.size("edges")).alias("edges"), F.bool_and(F.col("dfg_status") == "complete").alias("all_complete"), F.bool_or(F.col("changed")).alias("any_changed"))
+
+
+def in_report_order(findings: DataFrame) -> DataFrame:
+    return findings.orderBy("file", "line", "column", "rule_id")
+
+
+def mean_times(runs: DataFrame, by: list[str], base: str, other: str) -> DataFrame:
+    """Mean durations of two variants and how many times faster the other is."""
+    mean = lambda v: F.avg(F.when(F.col("variant") == v, F.col("ms")))
+    return runs.groupBy(*by).agg(mean(base).alias("base_ms"), mean(other).alias("other_ms")).withColumn("speed_up", F.col("base_ms") / F.col("other_ms"))
+
+
+def project_fingerprint(files: DataFrame, by: list[str]) -> DataFrame:
+    """A digest of each project's files that no other set of (file, hash) has: the files' own digests are added up, so that a
+    project of any size needs no ordered list."""
+    own = F.conv(F.substring(F.sha2(F.concat_ws("\0", "file", "hash"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum(own).cast("string").alias("fingerprint"))

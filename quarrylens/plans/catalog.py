@@ -598,10 +598,10 @@ def number_features(spark, d):
     return table(spark, d, "events").select("event_id", dataset.number_feature(F.col("value") - 50).alias("feature"))
 
 
-@query("WITH v AS (SELECT word, row_number() OVER (ORDER BY word) AS index FROM (SELECT DISTINCT p_type AS word FROM part WHERE p_partkey % 40 = 0)) SELECT p_partkey, coalesce(index, 0) AS index FROM part LEFT JOIN v ON word = p_type")
+@query("WITH v AS (SELECT word, row_number() OVER (ORDER BY word) AS index FROM (SELECT DISTINCT p_type AS word FROM part)) SELECT p_partkey, coalesce(index, 0) AS index FROM part LEFT JOIN v ON word = p_type")
 def vocabulary_codes(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("word"))
-    return dataset.encode_words(p, dataset.fit_vocabulary(p.where("p_partkey % 40 = 0"), "word"), "word").select("p_partkey", "index")
+    return dataset.encode_words(p, dataset.fit_vocabulary(p, "word"), "word").select("p_partkey", "index")
 
 
 @query("SELECT event_id, CAST(NULL AS VARCHAR) AS problem FROM events")

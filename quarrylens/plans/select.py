@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylens.sources.snapshots import INPUT_ORDER, NEEDS_NO_ANALYSIS, VIEWS
 
@@ -22,6 +24,19 @@ class Selection:
     columns: list[str] = field(default_factory=list)
 
 
+_LITERAL = r"'(?:[^']|'')*'"
+_COMPARED = re.compile(rf"(\w+)\s*(?:=|<>|!=|<=|>=|<|>)\s*({_LITERAL}|-?\d+)")
+
+
+def _check_types(view: str, where: str) -> None:
+    """A condition compares text with text and integers with integers, and asks no other table."""
+    if re.search(r"\bselect\b", re.sub(_LITERAL, "", where), re.I):
+        raise ValueError("subqueries are not supported")
+    for name, literal in _COMPARED.findall(where):
+        if name in VIEWS[view].names and literal.startswith("'") != isinstance(VIEWS[view][name].dataType, T.StringType):
+            raise ValueError(f"type mismatch: {name} and {literal}")
+
+
 def select(source: DataFrame, view: str, columns: list[str] | None = None, where: Column | str | None = None, order: list[tuple[str, bool]] | None = None, limit: int | None = None, status: str = "complete", has_references: bool = True) -> Selection:
     """Filter, stable sort, limit, project. ``order``: (field, descending); ties keep the view's input order, whose
     columns end every sort, so the answer does not depend on partitions. ``where`` is a Column or a SQL condition.
@@ -43,6 +58,8 @@ def select(source: DataFrame, view: str, columns: list[str] | None = None, where
     if view not in NEEDS_NO_ANALYSIS and status == "not_requested":
         raise ValueError("table requires an analysed snapshot")
     out, steps = source, [f"Scan({view})"]
+    if isinstance(where, str):
+        _check_types(view, where)
     if where is not None:
         out = out.where(where)
         steps.append("Filter")
@@ -50,7 +67,8 @@ def select(source: DataFrame, view: str, columns: list[str] | None = None, where
     ties = INPUT_ORDER[view]
     if order or (limit is not None and limit <= _MOST):
         keys = [F.desc(f) if down else F.asc(f) for f, down in order or []]
-        out = out.orderBy(*keys, *[F.asc(t) for t in ties if t not in {f for f, _ in order or []}])
+        ties = [(t.lstrip("-"), t.startswith("-")) for t in ties]
+        out = out.orderBy(*keys, *[F.desc(t) if down else F.asc(t) for t, down in ties if t in source.columns and t not in {f for f, _ in order or []}])
         if order:
             steps.append("StableSort(" + ", ".join(f"{f} {'DESC' if down else 'ASC'}" for f, down in order) + ")")
     if limit is not None:

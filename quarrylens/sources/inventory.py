@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,17 +48,29 @@ def line_count(content: Column) -> Column:
     return (newlines + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)).cast("long")
 
 
+EMPTY_HASH = f"fnv1a64-v1:{_OFFSET:016x}"
+
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files of no bytes, which Spark's file reader leaves out, from the folder listing."""
+    store, path = pafs.FileSystem.from_uri(re.sub(r"^(?:file:)?/+", "file:///", root))
+    listed = store.get_file_info(pafs.FileSelector(path, recursive=True))
+    found = [(f.path[len(path.rstrip("/")) + 1 :], f.mtime_ns // 1_000_000) for f in listed if f.type == pafs.FileType.File and f.size == 0]
+    return spark.createDataFrame(found, "file string, mtime long")
+
+
 def scan_files(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """The inventory of a source tree: file (relative path), language, lines, size, mtime (ms), hash. Spark's file
-    reader leaves out files of no bytes."""
+    """The inventory of a source tree: file (relative path), language, lines, size, mtime (ms), hash. Extensions and
+    ignored folders match in any case."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
-    path = F.substring_index(F.col("path"), base, -1)
-    inside = F.split(path, "/")
+    full = found.select(F.substring_index(F.col("path"), base, -1).alias("file"), line_count(F.col("content")).alias("lines"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), fnv1a64("content").alias("hash"))
+    empty = _empty_files(spark, root).select("file", F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("size"), "mtime", F.lit(EMPTY_HASH).alias("hash"))
+    inside = F.split("file", "/")
     folders = F.slice(inside, 1, F.size(inside) - 1)
-    skip = F.exists(folders, lambda d: d.isin(list(ignored)) | F.lower(d).startswith("cmake-build-"))
-    kept = found.withColumn("file", path).where(F.lower("file").rlike(rf"\.({'|'.join(EXTENSIONS)})$") & ~skip)
-    return kept.select("file", language_of(F.col("file")).alias("language"), line_count(F.col("content")).alias("lines"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), fnv1a64("content").alias("hash"))
+    skip = F.exists(folders, lambda d: F.lower(d).isin([x.lower() for x in ignored]) | F.lower(d).startswith("cmake-build-"))
+    kept = full.unionByName(empty).where(F.lower("file").rlike(rf"\.({'|'.join(EXTENSIONS)})$") & ~skip)
+    return kept.select("file", language_of(F.col("file")).alias("language"), "lines", "size", "mtime", "hash")
 
 
 def compile_commands(spark: SparkSession, path: str) -> DataFrame:
@@ -84,10 +99,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def test_counts(output: Column) -> Column:
-    """(total, failed, skipped) from a test runner's summary; -1 where it has none."""
-    summary = r"(\d+)% tests passed, (\d+) tests? failed out of (\d+)"
-    has = output.rlike(summary)
-    number = lambda g: F.when(has, F.regexp_extract(output, summary, g).cast("long")).otherwise(F.lit(-1).cast("long"))
-    skipped = F.when(has, F.size(F.regexp_extract_all(output, F.lit(r"\*\*\*(?:Skipped|Not Run)"), F.lit(0))).cast("long")).otherwise(F.lit(-1).cast("long"))
-    return F.struct(number(3).alias("total"), number(2).alias("failed"), skipped.alias("skipped"))
+#: The summary of a test runner, and its mark of a skipped test.
+TEST_SUMMARY, SKIPPED_MARK = r"(\d+)% tests passed(?:, (\d+) tests failed)? out of (\d+)", r"\*\*\*Skipped"
+
+
+def test_counts(output: Column, truncated: Column | None = None) -> Column:
+    """(total, failed, skipped) from a test runner's first summary; -1 where it has none or the output was cut."""
+    has = output.rlike(TEST_SUMMARY) & ~(F.lit(False) if truncated is None else truncated)
+    group = lambda g: F.coalesce(F.nullif(F.regexp_extract(output, TEST_SUMMARY, g), F.lit("")), F.lit("0")).cast("long")
+    skipped = F.size(F.regexp_extract_all(output, F.lit(SKIPPED_MARK), F.lit(0))).cast("long")
+    known = lambda c: F.when(has, c).otherwise(F.lit(-1).cast("long"))
+    return F.struct(known(group(3)).alias("total"), known(group(2)).alias("failed"), known(skipped).alias("skipped"))
+
+
+def scope_fingerprint(ignored: tuple[str, ...]) -> str:
+    """The ignore list as text that no other list has: names in order, each after its length."""
+    return "".join(f"{len(x.encode())}:{x}" for x in sorted({x.lower() for x in ignored}))
+
+
+def line_at(text: Column, offset: Column) -> Column:
+    """The line, from 1, of a character offset."""
+    before = F.substring(text, F.lit(1), offset.cast("int"))
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")

@@ -35,14 +35,17 @@ INPUT_ORDER = {
     "issues": ["file", "line", "column", "rule_id", "symbol_id"],
     "suppressed_issues": ["file", "line", "column", "rule_id", "symbol_id"],
     "rule_diagnostics": ["ordinal"],
-    "builds": ["run_id", "stage"],
+    "builds": ["-run_id", "ordinal"],
 }
+#: Columns that order a view's input and are no fields of it; a leading - is descending.
+HIDDEN = {"builds": [T.StructField("ordinal", T.LongType(), False)]}
 NEEDS_NO_ANALYSIS = ("files", "builds", "rule_diagnostics")
 
 
 def conform(df: DataFrame, view: str) -> DataFrame:
     """``df`` in a view's columns and types. Unknown is -1 or '': nulls never enter a view."""
-    return df.select(*[F.coalesce(F.col(f.name).cast(f.dataType), F.lit(-1 if isinstance(f.dataType, T.LongType) else "").cast(f.dataType)).alias(f.name) for f in VIEWS[view].fields])
+    fields = [*VIEWS[view].fields, *[f for f in HIDDEN.get(view, ()) if f.name in df.columns]]
+    return df.select(*[F.coalesce(F.col(f.name).cast(f.dataType), F.lit(-1 if isinstance(f.dataType, T.LongType) else "").cast(f.dataType)).alias(f.name) for f in fields])
 
 
 def functions_view(metrics: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -88,7 +91,8 @@ class SnapshotStore:
             raise ValueError(f"no saved scan {scan_id}")
         if name not in row.tables:
             return self.spark.createDataFrame([], VIEWS[name])
-        return self.spark.read.schema(VIEWS[name]).parquet(f"{self.folder}/{name}/{row.write_id}")
+        frame = self.spark.read.parquet(f"{self.folder}/{name}/{row.write_id}")
+        return conform(frame, name)
 
     def latest(self, root: str) -> int | None:
         return self.manifest().where(F.col("root") == root).agg(F.max("scan_id")).first()[0]
@@ -114,6 +118,22 @@ def history_page(scans: DataFrame, children: dict[str, DataFrame], before: int |
     return page
 
 
+def newest_builds(runs: DataFrame, steps: DataFrame, logs: bool = False, limit: int = 50) -> DataFrame:
+    """The newest runs with a row per step, newest run first and steps in order (``run_id`` descending, ``ordinal``); without
+    ``logs`` the captured output is blank. The page is cut before the steps are joined."""
+    page = runs.orderBy(F.desc("run_id")).limit(limit)
+    shown = steps if logs else steps.withColumns({c: F.lit("") for c in ("stdout", "stderr") if c in steps.columns})
+    return F.broadcast(page).join(shown, "run_id")
+
+
+def save_build(manifest: DataFrame, run: DataFrame, steps: DataFrame, folder: str) -> None:
+    """Append a build run and its steps; its scan must be saved for the same root."""
+    if run.join(manifest, ["scan_id", "root"], "left_anti").limit(1).count():
+        raise ValueError("the scan of a build run is not saved for its root")
+    steps.write.mode("append").parquet(f"{folder}/build_step")
+    run.write.mode("append").parquet(f"{folder}/build_run")
+
+
 def builds_view(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """Build runs flattened to a row per step."""
     return runs.join(steps, "run_id")

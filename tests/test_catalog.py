@@ -4,7 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__
-from quarrylens.plans import catalog
+from quarrylens.plans import catalog, catalog_reviews  # noqa: F401 (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 

@@ -134,3 +134,32 @@ def test_reports(spark, functions, tmp_path):
     reports.export(functions, f"file:{tmp_path}/report", ["symbol_id"])
     with pytest.raises(PySparkException):
         reports.export(functions, f"file:{tmp_path}/report", ["symbol_id"])
+
+
+def test_inventory_holds_empty_files_and_ignores_folders_in_any_case(spark, tmp_path):
+    for name, data in (("a.cpp", b""), ("Build/b.cpp", b"x"), ("sub/c.h", b"x")):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    got = {r.file: (r.lines, r.size, r.hash) for r in inventory.scan_files(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.cpp", "sub/c.h"} and got["a.cpp"] == (0, 0, "fnv1a64-v1:cbf29ce484222325")
+
+
+def test_conditions_compare_like_with_like(spark):
+    source = spark.createDataFrame([], VIEWS["files"])
+    for bad in ("lines = '2'", "file < 3", "lines > (SELECT 1)"):
+        with pytest.raises(ValueError):
+            select(source, "files", None, bad)
+    assert select(source, "files", None, "file = 'lines = 2' AND lines = 2").frame.count() == 0
+
+
+def test_build_needs_its_scan(spark, tmp_path):
+    from quarrylens.sources.snapshots import save_build
+
+    manifest = spark.createDataFrame([(1, "/p")], "scan_id long, root string")
+    run = lambda root: spark.createDataFrame([(5, 1, root)], "run_id long, scan_id long, root string")
+    steps = spark.createDataFrame([(5, 0, "build")], "run_id long, ordinal long, stage string")
+    with pytest.raises(ValueError):
+        save_build(manifest, run("/other"), steps, str(tmp_path / "b"))
+    save_build(manifest, run("/p"), steps, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b/build_step")).count() == 1
