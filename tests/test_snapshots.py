@@ -146,7 +146,7 @@ def test_inventory_holds_empty_files_and_ignores_folders_in_any_case(spark, tmp_
 
 
 def test_conditions_compare_like_with_like(spark):
-    source = spark.createDataFrame([], VIEWS["files"])
+    source = spark.createDataFrame([], snapshots.VIEWS["files"])
     for bad in ("lines = '2'", "file < 3", "lines > (SELECT 1)"):
         with pytest.raises(ValueError):
             select(source, "files", None, bad)
