@@ -171,7 +171,7 @@ def estimates(rows: DataFrame, prior: DataFrame, floors: tuple[float, ...] = LEA
     where its file is small, so a group may hold any share of the rows.
     """
     first = rows.join(prior, "grp").groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*_quartiles()).alias("q"), _sums().alias("all"))
-    first = _compact(first.join(prior, "grp"), "mcd")
+    first = first.join(prior, "grp")
     n, zero = F.col("n"), F.lit(0.0)
     middle = [F.col("q")[i][1] - F.col("p")[i] for i in range(_D)]
     spread = [_spread(i) for i in range(_D)]
@@ -260,12 +260,12 @@ def judge(documents: DataFrame, reject: float = REJECT) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns. Those that pass the base rules are written once beside
-    their statistics; the estimates read the statistics' columns alone, and no text is shuffled."""
+    """The documents that ``judge`` keeps, with all their columns. All are written once beside their statistics; the estimates read the statistics' columns alone, and no text is shuffled."""
     rows = add_statistics(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), "text", "lang", "source"))
     rows = rows.select("_row", _name("lang").alias("gl"), _name("source").alias("gs"), "_q.*")
-    passing = materialize(_features(rows.withColumn("base_failed", _base_failed()).where(~F.col("base_failed"))), "passing")
-    return _verdict(passing, fit(passing), reject).where("kept").select("_row.*")
+    # written before any filter, which would be pushed down into the statistics and compute them again for every word
+    judged = materialize(_features(rows.withColumn("base_failed", _base_failed())), "judged")
+    return _verdict(judged, fit(judged), reject).where("kept").select("_row.*")
 
 
 def digest(judged: DataFrame) -> DataFrame:
