@@ -86,17 +86,15 @@ def _features(stats: DataFrame) -> DataFrame:
     )
 
 
-def _compact(df: DataFrame, name: str) -> DataFrame:
-    """Written in files of a good size: Spark sees how small a table of estimates is and may broadcast it."""
-    return materialize(df.hint("rebalance"), name)
-
-
 def _total(columns) -> Column:
     return functools.reduce(operator.add, columns)
 
 
 _D = len(FEATURES)
 _SQUARE = [(i, j) for i in range(_D) for j in range(_D)]
+#: Sums are symmetric: each product is summed once, and each place of the square takes its sum.
+_PAIRS = [(i, j) for i, j in _SQUARE if i <= j]
+_PLACES = [*range(_D + 1), *(_D + 1 + _PAIRS.index((min(i, j), max(i, j))) for i, j in _SQUARE)]
 _MODEL = ("mean", "cov", "inv", "det")
 
 
@@ -130,10 +128,14 @@ def _model(floors: tuple[float, ...]):
     return lambda sums: sums.select(*first).select("*", done).select(*[c for c in sums.columns if c != "v"], "mean", "cov", *last)
 
 
+def _from(center: str, name: str) -> list[Column]:
+    """The statistics from a centre, as columns of their own, so that what is made of them stays short to plan."""
+    return [(F.col(f) - F.col(center)[i]).alias(f"{name}{i}") for i, f in enumerate(FEATURES)]
+
+
 def _distance() -> Column:
-    """Squared Mahalanobis distance of a row to the estimate beside it."""
-    c = [F.col(f) - F.col("mean")[i] for i, f in enumerate(FEATURES)]
-    return _total([c[i] * c[j] * F.col("inv")[i * _D + j] * (1.0 if i == j else 2.0) for i, j in _SQUARE if j <= i])
+    """Squared Mahalanobis distance of a row to the estimate beside it, from columns ``c`` (see ``_from``) and ``inv``."""
+    return _total([F.col(f"c{i}") * F.col(f"c{j}") * F.col("inv")[i * _D + j] * (1.0 if i == j else 2.0) for i, j in _PAIRS])
 
 
 def chi2_quantile(p: float, d: int) -> float:
@@ -143,10 +145,15 @@ def chi2_quantile(p: float, d: int) -> float:
 
 
 def _sums(weight: Column | None = None) -> Column:
-    """Sums over rows of weight, of the statistics from the prior's mean, and of their products."""
-    y = [F.col(f) - F.col("p")[i] for i, f in enumerate(FEATURES)]
+    """Sums over rows of weight, of the statistics from the prior's mean (columns ``y``), and of their products, each once."""
+    y = [F.col(f"y{i}") for i in range(_D)]
     of = lambda x: F.coalesce(F.sum(x if weight is None else F.when(weight, x)), F.lit(0.0))
-    return F.array(of(F.lit(1.0)), *[of(x) for x in y], *[of(y[max(i, j)] * y[min(i, j)]) for i, j in _SQUARE])
+    return F.array(of(F.lit(1.0)), *[of(x) for x in y], *[of(y[i] * y[j]) for i, j in _PAIRS])
+
+
+def _square(sums: Column) -> Column:
+    """``_sums`` with all products, row after row."""
+    return F.transform(F.lit(_PLACES), lambda k: F.get(sums, k))
 
 
 def _quartiles() -> list[Column]:
@@ -170,8 +177,8 @@ def estimates(rows: DataFrame, prior: DataFrame, floors: tuple[float, ...] = LEA
     population. Every step is a partial aggregation over a narrow table joined to a row per group, which is broadcast
     where its file is small, so a group may hold any share of the rows.
     """
-    first = rows.join(prior, "grp").groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*_quartiles()).alias("q"), _sums().alias("all"))
-    first = first.join(prior, "grp")
+    first = rows.join(prior, "grp").select("grp", *FEATURES, *_from("p", "y")).groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*_quartiles()).alias("q"), _sums().alias("all"))
+    first = first.join(prior, "grp").withColumn("all", _square(F.col("all")))
     n, zero = F.col("n"), F.lit(0.0)
     middle = [F.col("q")[i][1] - F.col("p")[i] for i in range(_D)]
     spread = [_spread(i) for i in range(_D)]
@@ -180,32 +187,34 @@ def estimates(rows: DataFrame, prior: DataFrame, floors: tuple[float, ...] = LEA
     kept = ("grp", "n", "p", "t")
     state = first.select(*kept, F.explode(F.array(*starts)).alias("x")).select(*kept, "x.*")
     with_model = _model(floors)
-    state = _compact(with_model(state).withColumn("done", F.lit(False)), "mcd")
+    state = materialize(with_model(state).withColumn("done", F.lit(False)), "mcd")
     # expressions of the steps, built once
     distance, cut_at = _distance().alias("d2"), F.percentile_approx(_distance(), support, 10_000).alias("cut")
-    halves = (_sums(F.col("d2") < F.col("cut")).alias("inner"), _sums(F.col("d2") == F.col("cut")).alias("edge"))
+    halves = (_sums(F.col("near")).alias("inner"), _sums(F.col("at_cut")).alias("edge"))
     part = F.greatest(zero, F.least(F.lit(1.0), (support * (n - 1) - F.col("inner")[0]) / F.greatest(F.col("edge")[0], F.lit(1.0))))
-    v = F.zip_with("inner", "edge", lambda x, y: x + F.col("part") * y).alias("v")
+    v = _square(F.col("both")).alias("v")
     better = F.when(F.col("det") < F.col("old.det"), F.struct(*_MODEL)).otherwise(F.col("old")).alias("x")
     while True:
         active = state.where(~F.col("done")).drop("done")
-        cut = rows.join(active.select("grp", "start", "mean", "inv"), "grp").groupBy("grp", "start").agg(cut_at)
-        cut = _compact(active.join(cut, ["grp", "start"]), "mcd")
-        measured = rows.join(cut.select("grp", "start", "cut", "mean", "inv", "p"), "grp").select("*", distance)
+        cut = rows.join(active.select("grp", "start", "mean", "inv"), "grp").select("grp", "start", "inv", *_from("mean", "c")).groupBy("grp", "start").agg(cut_at)
+        cut = materialize(active.join(cut, ["grp", "start"]), "mcd")
+        measured = rows.join(cut.select("grp", "start", "cut", "mean", "inv", "p"), "grp").select("grp", "start", "cut", "inv", *_from("mean", "c"), *_from("p", "y"))
+        measured = measured.select("*", distance).select("*", (F.col("d2") < F.col("cut")).alias("near"), (F.col("d2") == F.col("cut")).alias("at_cut"))
         sums = measured.groupBy("grp", "start").agg(*halves)
         both = cut.select(*kept, "start", F.struct(*_MODEL).alias("old")).join(sums, ["grp", "start"]).withColumn("part", part)
+        both = both.withColumn("both", F.zip_with("inner", "edge", lambda x, y: x + F.col("part") * y))
         new = with_model(both.select(*kept, "start", "old", v))
         step = new.select(*kept, "start", (F.col("old.det") - F.col("det") <= LEAST_FALL).alias("done"), better).select(*kept, "start", "x.*", "done")
-        state = _compact(state.where("done").unionByName(step), "mcd")
+        state = materialize(state.where("done").unionByName(step), "mcd")
         if state.where(~F.col("done")).isEmpty():
             break
     best = state.groupBy("grp").agg(F.min_by(F.struct("n", *_MODEL), F.struct("det", "start")).alias("x")).select("grp", "x.*")
-    best = _compact(best.join(prior.select("grp", "p_scale"), "grp"), "mcd")
-    median = rows.join(best, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10_000).alias("med"))
+    best = materialize(best.join(prior.select("grp", "p_scale"), "grp"), "mcd")
+    median = rows.join(best, "grp").select("grp", "inv", *_from("mean", "c")).groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10_000).alias("med"))
     own = F.greatest(F.col("med") / chi2_quantile(0.5, _D), F.lit(1.0))
     share = n / (n + PRIOR_ROWS)
     scale = F.exp(share * F.log(own) + (1 - share) * F.log("p_scale"))
-    return _compact(best.join(median, "grp").withColumn("scale", scale).drop("med", "p_scale"), "mcd")
+    return materialize(best.join(median, "grp").withColumn("scale", scale).drop("med", "p_scale"), "mcd")
 
 
 def _name(c: str) -> Column:
@@ -222,20 +231,21 @@ def fit(stats: DataFrame) -> DataFrame:
     whole = F.array().cast("array<string>")
     quartiles = passing.agg(F.count(F.lit(1)).alias("n"), F.array(*_quartiles()).alias("q")).where("n > 0")
     spread = F.array(*[_spread(i) if i == j else F.lit(0.0) for i, j in _SQUARE])
-    prior = _compact(quartiles.select(whole.alias("grp"), F.transform("q", lambda x: x[1]).alias("p"), spread.alias("t"), F.lit(1.0).alias("p_scale")), "prior")
+    prior = materialize(quartiles.select(whole.alias("grp"), F.transform("q", lambda x: x[1]).alias("p"), spread.alias("t"), F.lit(1.0).alias("p_scale")), "prior")
     model = None
     for names in ((), ("gl",), ("gl", "gs")):
         key = F.array(*names) if names else whole
         if model is not None:
             above = model.select(F.col("grp").alias("over"), F.col("mean").alias("p"), F.col("cov").alias("t"), F.col("scale").alias("p_scale"))
             groups = passing.select(key.alias("grp")).distinct().withColumn("over", F.slice("grp", 1, len(names) - 1))
-            prior = _compact(groups.join(above, "over").drop("over"), "prior")
+            prior = materialize(groups.join(above, "over").drop("over"), "prior")
         model = estimates(passing.select(key.alias("grp"), *FEATURES), prior)
     return model.select(F.col("grp")[0].alias("gl"), F.col("grp")[1].alias("gs"), "mean", "inv", "scale")
 
 
 def _verdict(keyed: DataFrame, model: DataFrame, reject: float) -> DataFrame:
-    judged = keyed.join(model, ["gl", "gs"], "left").withColumn("distance", _distance() / F.col("scale"))
+    judged = keyed.join(model, ["gl", "gs"], "left").select("*", *_from("mean", "c")).withColumn("distance", _distance() / F.col("scale"))
+    judged = judged.drop(*[f"c{i}" for i in range(_D)])
     limit = chi2_quantile(1 - reject, _D)
     # one expression over both sides of the join: as a conjunction, a filter on it would be pushed down in part and would
     # compute the statistics again
