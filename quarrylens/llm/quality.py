@@ -10,7 +10,7 @@ import functools
 import operator
 import statistics
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarrylens.llm._shared import materialize
@@ -23,6 +23,8 @@ MAX_REPEAT_PERCENT = 50
 SUPPORT, REJECT = 0.75, 1e-9
 #: Rows' worth of weight that the wider population (the language for a source, all texts for a language) has in an estimate.
 PRIOR_ROWS = 50.0
+#: Distances are ranked in this many bins an octave.
+BINS = 16
 #: A concentration ends when the log-determinant falls by no more than this.
 LEAST_FALL = 1e-3
 FEATURES = ("f_words", "f_chars", "f_symbols", "f_lines", "f_repeats")
@@ -144,10 +146,10 @@ def chi2_quantile(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + z * (2 / (9 * d)) ** 0.5) ** 3
 
 
-def _sums(weight: Column | None = None) -> Column:
-    """Sums over rows of weight, of the statistics from the prior's mean (columns ``y``), and of their products, each once."""
+def _sums() -> Column:
+    """Sums over rows of one, of the statistics from the prior's mean (columns ``y``), and of their products, each once."""
     y = [F.col(f"y{i}") for i in range(_D)]
-    of = lambda x: F.coalesce(F.sum(x if weight is None else F.when(weight, x)), F.lit(0.0))
+    of = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
     return F.array(of(F.lit(1.0)), *[of(x) for x in y], *[of(y[i] * y[j]) for i, j in _PAIRS])
 
 
@@ -156,6 +158,17 @@ def _square(sums: Column) -> Column:
     return F.transform(F.lit(_PLACES), lambda k: F.get(sums, k))
 
 
+def _nearest(rows: Column) -> Column:
+    """The sums over the ``rows`` rows that lie closest, from ``bins`` (bin and sums): of the bin on the edge in part."""
+
+    def add(acc: Column, x: Column) -> Column:
+        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rows - acc["before"]) / x["v"][0]))
+        return F.struct((acc["before"] + x["v"][0]).alias("before"), F.zip_with(acc["sums"], x["v"], lambda s, y: s + part * y).alias("sums"))
+
+    none = F.struct(F.lit(0.0).alias("before"), F.array_repeat(F.lit(0.0), 1 + _D + len(_PAIRS)).alias("sums"))
+    return F.aggregate(F.sort_array("bins"), none, add)["sums"]
+
+
 def _quartiles() -> list[Column]:
     return [F.percentile_approx(f, [0.25, 0.5, 0.75], 2000) for f in FEATURES]
 
@@ -171,11 +184,12 @@ def estimates(rows: DataFrame, prior: DataFrame, floors: tuple[float, ...] = LEA
     ``rows``: grp and FEATURES. ``prior``: a row per grp with the wider population's mean ``p``, covariances ``t`` and
     ``p_scale``; it takes part as PRIOR_ROWS rows, so that a group of any size has a sound estimate and its own rows
     come to prevail as it grows. Three starts (the medians and quartiles, the prior, all rows) are concentrated side by
-    side: each step takes the ``support`` share of the rows that lie closest, those on the edge in part, and
-    their mean and covariance with the prior's; that cannot raise the determinant, and a start is done when it no longer
-    falls. The least determinant wins. The scatter is then scaled so that the median distance is that of a normal
-    population. Every step is a partial aggregation over a narrow table joined to a row per group, which is broadcast
-    where its file is small, so a group may hold any share of the rows.
+    side: each step takes the ``support`` share of the rows that lie closest, and their mean and covariance with the
+    prior's; a start is done when the determinant no longer falls. The least determinant wins. The scatter is then scaled
+    so that the median distance is that of a normal population. A step is one pass: distances fall into bins of a 16th of
+    an octave, each with its sums, and the bin on the edge is taken in part. The narrow table is joined to a row per group
+    and start, which is broadcast where its file is small, and is aggregated map-side to a row per bin, so a group may
+    hold any share of the rows.
     """
     first = rows.join(prior, "grp").select("grp", *FEATURES, *_from("p", "y")).groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*_quartiles()).alias("q"), _sums().alias("all"))
     first = first.join(prior, "grp").withColumn("all", _square(F.col("all")))
@@ -184,32 +198,28 @@ def estimates(rows: DataFrame, prior: DataFrame, floors: tuple[float, ...] = LEA
     spread = [_spread(i) for i in range(_D)]
     from_quartiles = F.array(n, *[n * m for m in middle], *[n * (middle[i] * middle[j] + (spread[i] if i == j else zero)) for i, j in _SQUARE])
     starts = [F.struct(F.lit(k).alias("start"), v.alias("v")) for k, v in enumerate((from_quartiles, F.transform("all", lambda x: zero), F.col("all")))]
-    kept = ("grp", "n", "p", "t")
+    kept = ("grp", "n", "p", "t", "p_scale")
     state = first.select(*kept, F.explode(F.array(*starts)).alias("x")).select(*kept, "x.*")
     with_model = _model(floors)
     state = materialize(with_model(state).withColumn("done", F.lit(False)), "mcd")
     # expressions of the steps, built once
-    distance, cut_at = _distance().alias("d2"), F.percentile_approx(_distance(), support, 10_000).alias("cut")
-    halves = (_sums(F.col("near")).alias("inner"), _sums(F.col("at_cut")).alias("edge"))
-    part = F.greatest(zero, F.least(F.lit(1.0), (support * (n - 1) - F.col("inner")[0]) / F.greatest(F.col("edge")[0], F.lit(1.0))))
-    v = _square(F.col("both")).alias("v")
+    at = F.floor(BINS * F.log2(F.greatest(_distance(), F.lit(1e-9)))).cast("int").alias("bin")
+    y = [f"y{i}" for i in range(_D)]
+    v = _square(_nearest(support * (n - 1))).alias("v")
     better = F.when(F.col("det") < F.col("old.det"), F.struct(*_MODEL)).otherwise(F.col("old")).alias("x")
-    while True:
+    unsettled = 1
+    while unsettled:
         active = state.where(~F.col("done")).drop("done")
-        cut = rows.join(active.select("grp", "start", "mean", "inv"), "grp").select("grp", "start", "inv", *_from("mean", "c")).groupBy("grp", "start").agg(cut_at)
-        cut = materialize(active.join(cut, ["grp", "start"]), "mcd")
-        measured = rows.join(cut.select("grp", "start", "cut", "mean", "inv", "p"), "grp").select("grp", "start", "cut", "inv", *_from("mean", "c"), *_from("p", "y"))
-        measured = measured.select("*", distance).select("*", (F.col("d2") < F.col("cut")).alias("near"), (F.col("d2") == F.col("cut")).alias("at_cut"))
-        sums = measured.groupBy("grp", "start").agg(*halves)
-        both = cut.select(*kept, "start", F.struct(*_MODEL).alias("old")).join(sums, ["grp", "start"]).withColumn("part", part)
-        both = both.withColumn("both", F.zip_with("inner", "edge", lambda x, y: x + F.col("part") * y))
+        measured = rows.join(active.select("grp", "start", "mean", "inv", "p"), "grp").select("grp", "start", "inv", *_from("mean", "c"), *_from("p", "y"))
+        bins = measured.select("grp", "start", at, *y).groupBy("grp", "start", "bin").agg(_sums().alias("v"))
+        bins = bins.groupBy("grp", "start").agg(F.collect_list(F.struct("bin", "v")).alias("bins"))
+        both = active.select(*kept, "start", F.struct(*_MODEL).alias("old")).join(bins, ["grp", "start"])
         new = with_model(both.select(*kept, "start", "old", v))
         step = new.select(*kept, "start", (F.col("old.det") - F.col("det") <= LEAST_FALL).alias("done"), better).select(*kept, "start", "x.*", "done")
-        state = materialize(state.where("done").unionByName(step), "mcd")
-        if state.where(~F.col("done")).isEmpty():
-            break
-    best = state.groupBy("grp").agg(F.min_by(F.struct("n", *_MODEL), F.struct("det", "start")).alias("x")).select("grp", "x.*")
-    best = materialize(best.join(prior.select("grp", "p_scale"), "grp"), "mcd")
+        seen = Observation()
+        state = materialize(state.where("done").unionByName(step).observe(seen, F.count_if(~F.col("done")).alias("unsettled")), "mcd")
+        unsettled = seen.get["unsettled"]
+    best = materialize(state.groupBy("grp").agg(F.min_by(F.struct("n", "p_scale", *_MODEL), F.struct("det", "start")).alias("x")).select("grp", "x.*"), "mcd")
     median = rows.join(best, "grp").select("grp", "inv", *_from("mean", "c")).groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 10_000).alias("med"))
     own = F.greatest(F.col("med") / chi2_quantile(0.5, _D), F.lit(1.0))
     share = n / (n + PRIOR_ROWS)
