@@ -21,6 +21,44 @@ u AS (SELECT z.doc_id, z.words[z.i] AS word, z.i FROM (SELECT doc_id, words, unn
 t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM u GROUP BY 1)
 SELECT k.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM k LEFT JOIN t USING (doc_id)"""
 
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit: each byte is mixed in and followed by eight shifts (-1)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [CAST(unicode(ch) AS BIGINT), {', '.join(['-1'] * 8)}]))"
+    return f"""xor(list_reduce(list_concat([4294967295], {steps}), lambda a, v: CASE WHEN v >= 0 THEN xor(a, v)
+ ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
+
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+def _tree(of: str, leaves: str) -> str:
+    """The levels of every tree, and each node's siblings left and right."""
+    return f"""
+{of}(tree, lvl, pos, h, c) AS (SELECT tree, 0, pos, h, c FROM ({leaves}) UNION ALL
+ SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (c + 2) // 3 FROM {of} WHERE c > 1 GROUP BY tree, lvl, c, pos // 3),
+{of}_sides AS (SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+ coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r FROM {of} a LEFT JOIN {of} b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 AND a.pos <> b.pos WHERE a.c > 1 GROUP BY ALL)"""
+
+
+def _fold(name: str, of: str, start: str) -> str:
+    return f"""
+{name}_all(k, tree, lvl, pos, cur, proof) AS ({start} UNION ALL SELECT k, z.tree, z.lvl + 1, z.pos // 3, sha256(s.l || cur || s.r), proof || s.l || s.r FROM {name}_all z JOIN {of}_sides s ON s.tree = z.tree AND s.lvl = z.lvl AND s.pos = z.pos),
+{name} AS (SELECT k, arg_max(tree, lvl) AS tree, arg_max(cur, lvl) AS cur, arg_max(proof, lvl) AS proof FROM {name}_all GROUP BY k)"""
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')").replace("CAST(replace(text, chr(10), '') AS VARCHAR)", "replace(text, chr(10), '')")} END AS other FROM documents),
+g AS (SELECT row_number() OVER () AS k, *, coalesce(other, leaf) AS got, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos, count(*) OVER (PARTITION BY source) AS c FROM d),
+{_tree("own", "SELECT tree, pos, leaf AS h, c FROM g")},
+{_tree("tops", "SELECT 0 AS tree, tree AS pos, h, count(*) OVER () AS c FROM own WHERE c = 1")},
+{_fold("low", "own", "SELECT k, tree, 0, pos, got, '' FROM g")},
+{_fold("high", "tops", "SELECT k, 0, 0, tree, cur, proof FROM low")}
+SELECT g.doc_id, g.leaf, own.h AS subroot, tops.h AS root, sha256(high.proof) AS proof_sha256, high.cur AS folded_root, high.cur = tops.h AS verified
+FROM g JOIN high USING (k) JOIN own ON own.tree = g.tree AND own.c = 1 JOIN tops ON tops.c = 1"""
+
 OP8 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], chr(10))) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylens.llm import byte_bpe, decontaminate, html_text, near_dup, oracles, packing, quality, repeats, secrets, token_counts, token_files, warc
+from quarrylens.llm import byte_bpe, decontaminate, html_text, merkle, near_dup, oracles, packing, quality, repeats, secrets, token_counts, token_files, warc
 from quarrylens.llm._shared import table
 
 
@@ -62,11 +63,16 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *words), *words))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received = merkle.without_newlines(F.col("doc_id"), F.col("text"))
+    return merkle.digest(merkle.prove(table(spark, sf_dir, "documents"), received))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_secrets, op3_packing, op4_warc, op5_repeats, op6_quality, op7_decontaminate, op8_near_dup, op9_token_counts, op10_html_text, op12_byte_bpe, pipeline)}
-ORACLES: dict[str, str] = {"op2_secrets": oracles.op2(), "op4_warc": oracles.OP4, "op5_repeats": oracles.OP5, "op8_near_dup": oracles.OP8}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_secrets, op3_packing, op4_warc, op5_repeats, op6_quality, op7_decontaminate, op8_near_dup, op9_token_counts, op10_html_text, op12_byte_bpe, op13_merkle, pipeline)}
+ORACLES: dict[str, str] = {"op2_secrets": oracles.op2(), "op4_warc": oracles.OP4, "op5_repeats": oracles.OP5, "op8_near_dup": oracles.OP8, "op13_merkle": oracles.OP13}
