@@ -30,6 +30,20 @@ def crc32(text: str) -> str:
  ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
 
 
+OP11 = f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+ CAST(len({WORDS.format(text="text")}) AS BIGINT) AS w FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(h ORDER BY i) AS hs, list(w ORDER BY i) AS ws, {crc32("CAST(conv_id AS VARCHAR)")} % 4 AS n FROM o GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.hs[:c.n], []), c.hs[c.n + 1:]) AS hs, list_concat(coalesce(b.ws[:c.n], []), c.ws[c.n + 1:]) AS ws FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, len(hs) AS size, d, array_to_string(hs[:d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(hs[:d - 1], ',') END AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(hs) + 1)) AS d FROM r)),
+n AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends FROM p GROUP BY k, d),
+kids AS (SELECT up AS k, d - 1 AS d, count(*) AS m FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(kids.m, 0) AS n_children FROM n LEFT JOIN kids ON kids.k = n.k AND kids.d = n.d),
+own AS (SELECT DISTINCT p.k AS above, p.d AS above_d, m.k, m.d, m.n_children, m.saved FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d),
+s AS (SELECT above, above_d, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM own GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.above = m.k AND s.above_d = m.d LEFT JOIN n q ON q.k = m.up AND q.d = m.d - 1"""
+
 _FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 

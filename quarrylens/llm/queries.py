@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import byte_bpe, decontaminate, html_text, merkle, near_dup, oracles, packing, quality, repeats, secrets, token_counts, token_files, warc
+from quarrylens.llm import byte_bpe, decontaminate, html_text, merkle, near_dup, oracles, packing, prefix_trie, quality, repeats, secrets, token_counts, token_files, warc
 from quarrylens.llm._shared import table
 
 
@@ -56,6 +56,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,5 +78,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_secrets, op3_packing, op4_warc, op5_repeats, op6_quality, op7_decontaminate, op8_near_dup, op9_token_counts, op10_html_text, op12_byte_bpe, op13_merkle, pipeline)}
-ORACLES: dict[str, str] = {"op2_secrets": oracles.op2(), "op4_warc": oracles.OP4, "op5_repeats": oracles.OP5, "op8_near_dup": oracles.OP8, "op13_merkle": oracles.OP13}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_secrets, op3_packing, op4_warc, op5_repeats, op6_quality, op7_decontaminate, op8_near_dup, op9_token_counts, op10_html_text, op11_prefix_trie, op12_byte_bpe, op13_merkle, pipeline)}
+ORACLES: dict[str, str] = {"op2_secrets": oracles.op2(), "op4_warc": oracles.OP4, "op5_repeats": oracles.OP5, "op8_near_dup": oracles.OP8, "op11_prefix_trie": oracles.OP11, "op13_merkle": oracles.OP13}
