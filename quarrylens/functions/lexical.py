@@ -23,7 +23,7 @@ FUNCTION_HEAD = r"(?:^|\n)\s*(?P<return>[A-Za-z_][\w:<>,\s*&]*?(?:[*&]|\s))(?P<n
 BRANCH = r"\b(?:if|for|while|case|catch)\b|&&|\|\|"
 _HEAD, _BRANCH, _BRACE, _NEWLINE = re.compile(FUNCTION_HEAD, re.M), re.compile(BRANCH), re.compile(r"[{}]"), re.compile("\n")
 
-_FUNCTIONS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("start_line", "end_line", "complexity", "parameters")]]))
+_FUNCTIONS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("start_line", "end_line", "complexity", "parameters", "begin", "end")]]))
 IDENTIFIER = r"[A-Za-z_]\w*"
 
 #: What the rules look for. Group 1 is the name where there is one, group 2 a size or an index.
@@ -56,8 +56,9 @@ def masked(text: pd.Series) -> pd.Series:
 
 
 def _functions(code: str) -> list[dict]:
-    """name, start_line, end_line, complexity (1 and the branches) and parameters of each function head; one whose braces
-    never close reaches to the end of the text. Braces, branches and lines are found in one pass each and looked up."""
+    """name, start_line, end_line, complexity (1 and the branches), parameters, and where the body begins and ends, of each
+    function head; one whose braces never close reaches to the end of the text. Braces, branches and lines are found in
+    one pass each and looked up."""
     heads = list(_HEAD.finditer(code))
     if not heads:
         return []
@@ -75,6 +76,7 @@ def _functions(code: str) -> list[dict]:
         out.append({
             "name": m["name"], "start_line": bisect.bisect_left(newlines, m.start()) + 1, "end_line": bisect.bisect_left(newlines, close) + 1,
             "complexity": 1 + bisect.bisect_left(branches, close) - bisect.bisect_left(branches, begin), "parameters": 0 if own in ("", "void") else own.count(",") + 1,
+            "begin": begin, "end": min(close + 1, len(code)),
         })
     return out
 

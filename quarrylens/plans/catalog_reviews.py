@@ -181,7 +181,7 @@ def function_heads(spark, d):
     p, size = table(spark, d, "part"), F.col("p_size")
     lines = [F.lit("int fn"), F.col("p_partkey").cast("string"), F.lit("(int a, void (*cb)(int)"), F.repeat(F.lit(", int b"), size % 4), F.lit(") {\n"), F.repeat(F.lit("  if (a && a) a++;\n"), size % 5), F.repeat(F.lit("  x = a ? 1 : 2;\n"), size % 3), F.when(size % 7 == 0, "").otherwise("}\n")]
     prepared = lexical.prepare(p.select(F.col("p_partkey").alias("file"), F.concat(*lines).alias("text")))
-    return prepared.select("file", F.explode("functions").alias("f")).select("file", "f.*")
+    return prepared.select("file", F.explode("functions").alias("f")).select("file", *[f"f.{c}" for c in ("name", "start_line", "end_line", "complexity", "parameters")])
 
 
 _OK = "  ok();"
