@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import string
+import struct
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -69,8 +71,14 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if (found := self.older.get(chunk)) is None:
-            words, whole = self.vocabulary, " " + chunk
-            found = words._piece_ids(whole) if chunk.isascii() and chunk.isalpha() else b"".join(map(words._piece_ids, words.split_pieces(whole)))
+            words = self.vocabulary
+            letters = chunk.rstrip(string.punctuation)
+            if letters.isascii() and letters.isalpha():  # letters are a match, and marks behind them another
+                found = words._piece_ids(" " + letters)
+                if len(letters) < len(chunk):
+                    found += words._piece_ids(chunk[len(letters) :])
+            else:
+                found = b"".join(map(words._piece_ids, words.split_pieces(" " + chunk)))
         if len(chunk) <= _LONG:
             self[chunk] = found
         return found
@@ -174,9 +182,8 @@ class Vocabulary:
     def _piece_ids(self, piece: str) -> bytes:
         if (found := self.pieces.get(piece)) is None:
             raw = piece.encode()
-            token = self.rank.get(raw)
-            ids = [token] if token is not None else self.back(raw, self.last_tokens(raw))
-            found = np.array(ids, "<u4").tobytes()
+            ids = self.back(raw, [] if raw in self.rank else self.last_tokens(raw))
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= _LONG:
                 self.pieces[piece] = found
         return found
@@ -298,9 +305,12 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         words = vocabulary(ranks_path, pattern)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                yield pa.record_batch([*part.columns, pa.array([words.decode(np.array(x.as_py() or [], np.int64)) for x in part.column(2)], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                lists = part.column(2)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                yield pa.record_batch([*part.columns, pa.array(map(words.decode, np.split(ids, ends[:-1])), pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, _IDS + ", decoded binary")
 
