@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylens.operators.digest import fields_hash, ordered_digest
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``. Partial aggregation keeps one row per key and task, so a hot key
@@ -70,10 +72,10 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy(*names).agg(F.sum("_n").alias("surplus")).where("surplus != 0")
 
 
-def content_fingerprint(df: DataFrame) -> DataFrame:
-    """One row: the row count, and a sum and xor of row hashes, equal for equal multisets in any order."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)])
-    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
+def content_fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by``, rows and digest: equal for equal multisets of rows (columns by name, null is not empty), in any order."""
+    leaf = fields_hash(*[F.col(c) for c in sorted(set(df.columns) - set(by or ()))])
+    return ordered_digest(df, by or [], [leaf], leaf)
 
 
 #: Why a suppression hid nothing, in the order they are looked at.

@@ -35,6 +35,8 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position", sums
 def positions_within(rows: DataFrame, by: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """As ``positions``, counted from 0 again for each value of ``by`` (nulls are a value). A value may have any share of
     the rows: its first place is a minimum, and the join that hands it out can be split."""
+    if not by:
+        return positions(rows, order, name)
     placed = positions(rows, [*[F.col(c).asc_nulls_first() for c in by], *order], "_at")
     first = placed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min("_at").alias("_first"))
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]

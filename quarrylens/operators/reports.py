@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import html_text, known
+from quarrylens.operators.digest import ordered_digest
 
 
 def json_lines(df: DataFrame, order: list[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def mean_times(runs: DataFrame, by: list[str], base: str, other: str) -> DataFra
 
 
 def project_fingerprint(files: DataFrame, by: list[str]) -> DataFrame:
-    """A digest of each project's files that no other set of (file, hash) has: the files' own digests are added up, so that a
-    project of any size needs no ordered list."""
-    own = F.conv(F.substring(F.sha2(F.concat_ws("\0", "file", "hash"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum(own).cast("string").alias("fingerprint"))
+    """``by``, files, fingerprint: a digest of each project's (file, hash) in path order, at any number of files (see
+    ``ordered_digest``). Another order of rows or another partitioning gives the same; another path or content does not."""
+    leaf = F.sha2(F.concat(F.col("file"), F.lit("\0"), F.col("hash"), F.lit("\0")), 256)
+    return ordered_digest(files, by, [F.col("file")], leaf).withColumnsRenamed({"rows": "files", "digest": "fingerprint"})

@@ -6,23 +6,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.functions import control_flow, lexical
+from quarrylens.operators import facts, program_graphs
+from quarrylens.operators.digest import digest_sql
 from quarrylens.plans.catalog import query
 from quarrylens.sources.shared import table
 
-# Control flow: a function for each order, a statement for each line item ---------------------------------------------
+# Control flow: a function for each conversation, a statement for each turn -------------------------------------------
 
-_STATEMENT = "CASE WHEN l_returnflag = 'R' THEN 'return x;' WHEN l_returnflag = 'A' THEN 'if (x) y();' WHEN l_linestatus = 'O' THEN 'while (x) x--;' WHEN l_quantity < 5 THEN '{ }' ELSE 'x = 1;' END"
-_FLOW = f"""WITH l AS (SELECT l_orderkey AS file, l_linenumber AS k, {_STATEMENT} AS t FROM lineitem),
+_STATEMENT = "CASE WHEN length(text) % 5 = 0 THEN 'return x;' WHEN role = 'user' THEN 'if (x) y();' WHEN length(text) % 5 = 1 THEN 'while (x) x--;' WHEN role = 'system' THEN '{ }' ELSE 'x = 1;' END"
+_FLOW = f"""WITH l AS (SELECT conv_id AS file, turn AS k, {_STATEMENT} AS t FROM conversations),
 p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k, t) AS line FROM l),
 s AS (SELECT file, line, t, CASE WHEN t LIKE 'return%' THEN 'return' WHEN t LIKE 'if%' THEN 'branch' WHEN t LIKE 'while%' THEN 'loop' ELSE 'statement' END AS kind, row_number() OVER (PARTITION BY file ORDER BY line) AS i FROM p WHERE t <> '{{ }}'),
 n AS (SELECT file, i, kind, CAST(line + 1 AS INT) AS line, 'n' || i AS me, lead('n' || i, 1, 'exit') OVER w AS one, lead('n' || i, 2, 'exit') OVER w AS two FROM s WINDOW w AS (PARTITION BY file ORDER BY i))"""
 
 
-def _order_flows(spark, d):
-    """Control flow of a function for each order, whose statements are its line items."""
-    li = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.expr(_STATEMENT).alias("t")).alias("x"))
+def _flows(spark, d):
+    """Control flow of a function for each conversation, whose statements are its turns."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.struct("turn", F.expr(_STATEMENT).alias("t")).alias("x"))
     body = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"])
-    sources = li.groupBy(F.col("l_orderkey").alias("file")).agg(F.concat(F.lit("int f(int x) {\n"), F.array_join(body, "\n"), F.lit("\n}\n")).alias("text"))
+    sources = turns.groupBy("file").agg(F.concat(F.lit("int f(int x) {\n"), F.array_join(body, "\n"), F.lit("\n}\n")).alias("text"))
     return control_flow.control_flow(lexical.prepare(sources))
 
 
@@ -31,10 +33,102 @@ def _order_flows(spark, d):
  UNION ALL SELECT f.file, 'entry', CASE WHEN n.file IS NULL THEN 'exit' ELSE 'n1' END, 'next' FROM (SELECT DISTINCT file FROM l) f LEFT JOIN n ON n.file = f.file AND n.i = 1""")
 def control_flow_edges(spark, d):
     short = lambda c: F.element_at(F.split(c, ":"), -1)
-    return _order_flows(spark, d).select("file", F.explode("edges").alias("e")).select("file", short(F.col("e.source")).alias("source"), short(F.col("e.target")).alias("target"), "e.kind")
+    return _flows(spark, d).select("file", F.explode("edges").alias("e")).select("file", short(F.col("e.source")).alias("source"), short(F.col("e.target")).alias("target"), "e.kind")
 
 
 @query(f"{_FLOW} SELECT file, me AS node, kind, line FROM n UNION ALL SELECT file, 'entry', 'entry', 1 FROM (SELECT DISTINCT file FROM l) UNION ALL SELECT file, 'exit', 'exit', CAST(max(line) + 2 AS INT) FROM p GROUP BY file")
 def control_flow_nodes(spark, d):
-    nodes = _order_flows(spark, d).select("file", F.explode("nodes").alias("n"))
+    nodes = _flows(spark, d).select("file", F.explode("nodes").alias("n"))
     return nodes.select("file", F.element_at(F.split("n.node_id", ":"), -1).alias("node"), "n.kind", "n.line")
+
+
+# Function graphs: a graph for each conversation; its turns are the tree, those of the assistant the flow ------------------
+
+_KIND = "CASE WHEN role = 'system' THEN 'IntegerLiteral' ELSE coalesce(role, '') END"
+_NAME = "CASE WHEN role = 'system' THEN CAST(length(text) - 400 AS {text}) ELSE '' END"
+_TYPE = "CASE WHEN turn % 3 = 0 THEN 'char [' || turn || ']' WHEN turn % 3 = 1 THEN 'int *' ELSE 'int' END"
+_SYMBOL = "CASE WHEN turn % 2 = 0 THEN 'V' || turn ELSE '' END"
+_GRAPH_SQL = f"""c AS (SELECT conv_id AS graph, turn, role, {_KIND} AS kind, {_NAME.format(text="VARCHAR")} AS name, {_TYPE} AS type_name, {_SYMBOL} AS symbol FROM conversations),
+n AS (SELECT graph, 'ast' AS layer, 'a' || turn AS node_id, 0 AS r, turn, kind, turn AS line, 1 AS col, turn + 1 AS end_line, name, type_name, symbol FROM c
+ UNION ALL SELECT graph, 'cfg', 'c' || turn, 1, turn, 'block', turn, 1, turn, '', '', '' FROM c WHERE role = 'assistant'),
+nodes AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY r, turn) - 1 AS node, row_number() OVER (PARTITION BY graph, layer ORDER BY turn) AS k FROM n),
+e AS (SELECT a.graph, a.node_id AS source, b.node_id AS target, CASE WHEN a.layer = 'ast' THEN 0 ELSE 1 END AS type FROM nodes a JOIN nodes b ON a.graph = b.graph AND a.layer = b.layer AND b.k = a.k + 1
+ UNION ALL SELECT graph, node_id, 'a' || turn, 2 FROM nodes WHERE layer = 'cfg'
+ UNION ALL SELECT graph, 'a' || turn, 'a' || (SELECT max(turn) FROM c l WHERE l.graph = c.graph), 3 FROM c WHERE role = 'user'),
+placed AS (SELECT e.graph, e.type, s.node AS from_node, t.node AS to_node FROM e JOIN nodes s ON s.graph = e.graph AND s.node_id = e.source JOIN nodes t ON t.graph = e.graph AND t.node_id = e.target)"""
+
+
+def _graphs(spark, d):
+    c = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("graph"), "turn", "role", F.expr(_KIND).alias("kind"), F.expr(_NAME.format(text="STRING")).alias("name"), F.expr(_TYPE).alias("type_name"), F.expr(_SYMBOL).alias("symbol")
+    )
+    tree = c.select("graph", F.expr("'a' || turn").alias("node_id"), F.col("turn").alias("ord"), "kind", F.col("turn").alias("line"), (F.col("turn") + 1).alias("end_line"), "name", "type_name", "symbol")
+    flow = c.where("role = 'assistant'").select("graph", F.expr("'c' || turn").alias("node_id"), F.col("turn").alias("ord"), F.lit("block").alias("kind"), F.col("turn").alias("line"))
+    nodes = program_graphs.number_nodes(tree, flow)
+    ranked = nodes.withColumn("k", F.col("node"))
+    following = lambda layer: ranked.where(F.col("layer") == layer).select("graph", F.col("node_id").alias("source"), (F.col("k") + 1).alias("k")).join(ranked.where(F.col("layer") == layer).select("graph", F.col("node_id").alias("target"), "k"), ["graph", "k"]).drop("k")
+    last = c.groupBy("graph").agg(F.max("turn").alias("last"))
+    edges = program_graphs.join_edges({
+        "ast-child": following("ast"), "cfg-successor": following("cfg"), "cfg-contains": flow.select("graph", F.col("node_id").alias("source"), F.expr("'a' || ord").alias("target")),
+        "def-use": c.where("role = 'user'").join(last, "graph").select("graph", F.expr("'a' || turn").alias("source"), F.expr("'a' || last").alias("target")),
+    })
+    return nodes, edges
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT graph, layer, node_id, node, kind, line FROM nodes")
+def program_graph_nodes(spark, d):
+    return _graphs(spark, d)[0].select("graph", "layer", "node_id", "node", "kind", "line")
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT * FROM placed")
+def program_graph_edges(spark, d):
+    return program_graphs.place_edges(*_graphs(spark, d))
+
+
+@query(f"""WITH {_GRAPH_SQL}, k AS (SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY node) - 1 AS fresh FROM nodes WHERE layer = 'ast'),
+ m AS (SELECT p.graph, s.fresh AS a, t.fresh AS b, p.type FROM placed p JOIN k s ON s.graph = p.graph AND s.node = p.from_node JOIN k t ON t.graph = p.graph AND t.node = p.to_node WHERE p.type NOT IN (1, 2))
+ SELECT graph, a AS from_node, b AS to_node, type FROM m UNION ALL SELECT graph, b, a, type + 4 FROM m""")
+def ablated_graph_edges(spark, d):
+    """Without the flow: its edges and nodes go, and the tree's nodes are numbered anew."""
+    nodes, edges = _graphs(spark, d)
+    return program_graphs.ablate(nodes, program_graphs.place_edges(nodes, edges), (1, 2))[1]
+
+
+@query(f"""WITH {_GRAPH_SQL}, z AS (SELECT graph, count(*) AS n, max(turn) AS last FROM nodes GROUP BY 1), x AS (SELECT nodes.*, z.n, greatest(1, z.last) AS span FROM nodes JOIN z USING (graph))
+ SELECT graph, node, CAST(layer = 'ast' AS DOUBLE) AS in_tree, CAST(layer <> 'ast' AS DOUBLE) AS in_flow, greatest(0.0, least(1.0, line / span)) AS line_at, greatest(0.0, least(1.0, (end_line - line) / span)) AS line_span,
+ CAST(contains(type_name, '*') AS DOUBLE) AS pointer, CAST(contains(type_name, '[') AS DOUBLE) AS "array", CAST(kind = 'IntegerLiteral' AS DOUBLE) AS literal,
+ CASE WHEN kind = 'IntegerLiteral' THEN sign(CAST(name AS BIGINT)) * ln(1 + abs(CAST(name AS BIGINT))) / 10 ELSE 0 END AS value, CASE WHEN contains(type_name, '[') THEN ln(1 + turn) / 10 ELSE 0 END AS extent,
+ CASE WHEN symbol <> '' THEN (turn + 1) / n ELSE 0 END AS binding FROM x""")
+def node_features(spark, d):
+    nodes, _ = _graphs(spark, d)
+    spans = nodes.groupBy("graph").agg(F.lit(0).alias("start_line"), F.max("line").alias("end_line"))
+    return program_graphs.node_features(nodes, spans)
+
+
+def _hash_sql(*parts: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts) + ")"
+
+
+_ELEMENTS = f"""SELECT graph AS grp, leaf, row_number() OVER (PARTITION BY graph ORDER BY leaf) - 1 AS pos FROM (SELECT graph, {_hash_sql("'node'", "layer", "node_id", "kind", "line", "col", "end_line", "name", "type_name", "symbol")} AS leaf FROM nodes
+ UNION ALL SELECT graph, {_hash_sql("'edge'", "type", "source", "target")} FROM e)"""
+
+
+@query(f"SELECT grp AS graph, rows, digest FROM ({digest_sql(f'WITH {_GRAPH_SQL} {_ELEMENTS}')})")
+def program_graph_digests(spark, d):
+    return program_graphs.graph_digests(*_graphs(spark, d))
+
+
+@query(f"""SELECT g.doc_id, sha256(g.t) AS source_sha256, sha256(g.f || ':' || g.lang || '::' || g.n_chars || ':' || sha256(g.t)) AS graph_id FROM (SELECT doc_id, source || '/' || doc_id AS f, lang, n_chars, text AS t FROM documents) g""")
+def program_graph_ids(spark, d):
+    """Identities of documents as functions: path, language as name, no signature."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.col("lang").alias("function"), F.lit(None).cast("string").alias("signature"), F.col("n_chars").alias("start_line"), F.col("text").alias("source"))
+    return program_graphs.graph_ids(docs).select("doc_id", "source_sha256", "graph_id")
+
+
+_EVENTS = f"SELECT user_id AS grp, leaf, row_number() OVER (PARTITION BY user_id ORDER BY leaf) - 1 AS pos FROM (SELECT user_id, {_hash_sql('event_id', 'event_type', 'props')} AS leaf FROM events)"
+
+
+@query(f"SELECT grp AS user_id, rows, digest FROM ({digest_sql(_EVENTS)})")
+def content_fingerprints(spark, d):
+    """Of each user's events, in any order."""
+    return facts.content_fingerprint(table(spark, d, "events").select("user_id", "event_id", "event_type", "props"), ["user_id"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import lexical, text
 from quarrylens.operators import dataset, evaluation, facts, graph, reports
+from quarrylens.operators.digest import digest_sql
 from quarrylens.plans import catalog
 from quarrylens.plans.catalog import query
 from quarrylens.plans.select import select
@@ -308,6 +309,9 @@ def variant_means(spark, d):
     return reports.mean_times(table(spark, d, "events").select("user_id", F.col("event_type").alias("variant"), F.col("value").alias("ms")), ["user_id"], "view", "click")
 
 
-@query()
+_LANGUAGE_FILES = f"SELECT language AS grp, sha256(file || chr(0) || hash || chr(0)) AS leaf, row_number() OVER (PARTITION BY language ORDER BY file) - 1 AS pos FROM {catalog.FILES_SQL}"
+
+
+@query(f"SELECT grp AS language, rows AS files, digest AS fingerprint FROM ({digest_sql(_LANGUAGE_FILES)})")
 def project_fingerprints(spark, d):
     return reports.project_fingerprint(catalog.files(spark, d), ["language"])

@@ -1,6 +1,13 @@
 """Control flow, graph records, renaming, pairs and digests against plain definitions."""
 
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from quarrylens.functions import control_flow, lexical
+from quarrylens.operators import digest, facts, program_graphs, reports
 
 
 def _flows(spark, *texts):
@@ -27,3 +34,104 @@ def test_control_flow_of_kinds_and_of_comments(spark):
 def test_a_long_function_and_a_long_line(spark):
     got = _flows(spark, "void f() {\n" + "x = 1;\n" * 20_000 + "y" * 500 + "\n}\n")["f0", "f"]
     assert len(got.nodes) == 20_003 and len(got.edges) == 20_002 and len(got.nodes[-2].label) == control_flow.LABEL_CHARS
+
+
+# Digests -------------------------------------------------------------------------------------------------------------
+
+
+def _root(leaves, run):
+    n = len(leaves)
+    while len(leaves) > 1:
+        leaves = [hashlib.sha256("".join(leaves[i : i + run]).encode()).hexdigest() for i in range(0, len(leaves), run)]
+    return hashlib.sha256(f"{n}:{leaves[0]}".encode()).hexdigest()
+
+
+def test_ordered_digest_of_any_size_and_partitioning(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "b", "hot", "hot", "hot"]), i, rng.choice("xyz")) for i in range(700)] + [("one", 1, "x")]
+    df = spark.createDataFrame(rows, "g string, i long, v string")
+    leaf = F.sha2(F.concat(F.col("i").cast("string"), "v"), 256)
+    want = {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(g, []).append(hashlib.sha256(f"{i}{v}".encode()).hexdigest())
+    for parts in (1, 5):
+        got = digest.ordered_digest(df.repartition(parts, "v"), ["g"], [F.col("i")], leaf, run=3).collect()
+        assert {r.g: (r.rows, r.digest) for r in got} == {g: (len(x), _root(x, 3)) for g, x in want.items()}
+    assert digest.ordered_digest(df.limit(0), ["g"], [F.col("i")], leaf).collect() == []
+
+
+def test_project_fingerprint_sees_order_paths_and_content(spark):
+    def of(rows):
+        return reports.project_fingerprint(spark.createDataFrame(rows, "p string, file string, hash string"), ["p"]).first().fingerprint
+
+    rows = [("p", "a", "1"), ("p", "b", "2"), ("p", "c", "3")]
+    assert of(rows) == of(rows[::-1])
+    assert len({of(rows), of([("p", "a", "2"), ("p", "b", "1"), ("p", "c", "3")]), of(rows[:2]), of([*rows, ("p", "c", "3")])}) == 4
+
+
+def test_content_fingerprint_is_of_the_multiset(spark):
+    df = spark.createDataFrame([(1, None), (1, ""), (2, "x"), (2, "x")], "a int, b string")
+    one = lambda x: facts.content_fingerprint(x).collect()
+    assert one(df) == one(df.orderBy(F.desc("a")).select("b", "a")) and one(df)[0].rows == 4
+    assert one(df) != one(df.distinct()) and one(df) != one(df.fillna(""))
+
+
+# Graphs --------------------------------------------------------------------------------------------------------------
+
+
+def _graph(spark, seed):
+    rng = random.Random(seed)
+    tree = [(g, f"t{i}", i, "IntegerLiteral" if i % 5 == 0 else "Stmt", i, i + 1, str(-i), "int[12][3]", f"V{i}") for g in "pq" for i in range(30)]
+    flow = [(g, f"b{i}", i, "block", i) for g in "pq" for i in range(5)]
+    edges = {"ast-child": [(g, f"t{i // 2}", f"t{i}") for g in "pq" for i in range(1, 30)], "cfg-successor": [(g, f"b{i}", f"b{i + 1}") for g in "pq" for i in range(4)], "cfg-contains": [(g, f"b{i}", f"t{i * 3}") for g in "pq" for i in range(5)], "def-use": [("p", "t1", "t7")]}
+    for x in (tree, flow, *edges.values()):
+        rng.shuffle(x)
+    nodes = program_graphs.number_nodes(spark.createDataFrame(tree, "graph string, node_id string, ord int, kind string, line int, end_line int, name string, type_name string, symbol string"), spark.createDataFrame(flow, "graph string, node_id string, ord int, kind string, line int"))
+    return nodes, program_graphs.join_edges({k: spark.createDataFrame(e, "graph string, source string, target string") for k, e in edges.items()})
+
+
+def test_graph_identity_does_not_depend_on_order(spark):
+    a, b = _graph(spark, 1), _graph(spark, 2)
+    of = lambda g: {r.graph: r.digest for r in program_graphs.graph_digests(*g).collect()}
+    assert of(a) == of(b) and len(set(of(a).values())) == 2
+    assert {(r.graph, r.node_id): r.node for r in a[0].collect()} == {(g, f"{k}{i}"): i + (30 if k == "b" else 0) for g in "pq" for k, n in (("t", 30), ("b", 5)) for i in range(n)}
+    changed = of((a[0].withColumn("name", F.when((F.col("graph") == "q") & (F.col("node_id") == "t3"), "else").otherwise(F.col("name"))), a[1]))
+    assert changed["p"] == of(a)["p"] and changed["q"] != of(a)["q"]
+
+
+def test_ablation_numbers_without_gaps_and_turns_edges_round(spark):
+    nodes, edges = _graph(spark, 3)
+    nodes = nodes.withColumn("node", F.lit(34) - F.col("node"))  # the flow first, so that places move
+    kept, links = program_graphs.ablate(nodes, program_graphs.place_edges(nodes, edges), (1, 2))
+    assert sorted((r.graph, r.node) for r in kept.collect()) == [(g, i) for g in "pq" for i in range(30)]
+    got = sorted(tuple(r) for r in links.where("graph = 'p'").select("from_node", "to_node", "type").collect())
+    own = [(29 - i // 2, 29 - i, 0) for i in range(1, 30)] + [(28, 22, 3)]
+    assert got == sorted(own + [(b, a, t + 4) for a, b, t in own])
+    assert program_graphs.ablate(nodes, program_graphs.place_edges(nodes, edges), (1,))[0].where("layer = 'cfg'").count() == 10
+
+
+def test_graph_problems_and_dangling_edges(spark):
+    nodes, edges = _graph(spark, 4)
+    assert program_graphs.problems(nodes, edges).collect() == []
+    extra = edges.unionByName(spark.createDataFrame([("p", "t1", "gone", 0)], "graph string, source string, target string, type int"))
+    twice = nodes.unionByName(nodes.where("graph = 'q' and node_id = 't2'")).where("graph != 'p' or layer = 'cfg'")
+    got = {(r.graph, r.problem, r.item) for r in program_graphs.problems(twice, extra.where("source = 't1' and target = 'gone' or graph = 'q'")).collect()}
+    assert got == {("q", "node id twice", "t2"), ("p", "edge without its node", "t1"), ("p", "edge without its node", "gone"), ("p", "no tree", "")}
+    with pytest.raises(Exception, match="missing node"):
+        program_graphs.place_edges(nodes, extra).collect()
+    with pytest.raises(ValueError):
+        program_graphs.join_edges({"other": edges})
+
+
+def test_features_of_numbers_extents_and_bindings(spark):
+    import math
+
+    nodes, _ = _graph(spark, 5)
+    spans = spark.createDataFrame([("p", 10, 20), ("q", 3, 3)], "graph string, start_line int, end_line int")
+    got = {(r.graph, r.node): r for r in program_graphs.node_features(nodes, spans).collect()}
+    r = got["p", 15]
+    assert (r.in_tree, r.in_flow, r.line_at, r.line_span, r.pointer, r.array, r.literal) == (1, 0, 0.5, 0.1, 0, 1, 1)
+    assert math.isclose(r.value, -math.log1p(15) / 10) and math.isclose(r.extent, math.log1p(12) / 10) and math.isclose(r.binding, 16 / 35)
+    assert got["q", 29].line_at == 1 and got["q", 31].in_flow == 1 and got["q", 31].extent == 0
+    with pytest.raises(Exception, match="without its value"):
+        program_graphs.node_features(nodes.withColumn("name", F.lit("x1")), spans).collect()
