@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylens.functions import control_flow, lexical
-from quarrylens.operators import facts, program_graphs
+from quarrylens.functions import control_flow, lexical, renaming
+from quarrylens.operators import facts, pairs, program_graphs
 from quarrylens.operators.digest import digest_sql
 from quarrylens.plans.catalog import query
 from quarrylens.sources.shared import table
@@ -125,10 +125,63 @@ def program_graph_ids(spark, d):
     return program_graphs.graph_ids(docs).select("doc_id", "source_sha256", "graph_id")
 
 
-_EVENTS = f"SELECT user_id AS grp, leaf, row_number() OVER (PARTITION BY user_id ORDER BY leaf) - 1 AS pos FROM (SELECT user_id, {_hash_sql('event_id', 'event_type', 'props')} AS leaf FROM events)"
+_CONTENTS = f"SELECT source AS grp, leaf, row_number() OVER (PARTITION BY source ORDER BY leaf) - 1 AS pos FROM (SELECT source, {_hash_sql('doc_id', 'lang', 'text')} AS leaf FROM documents)"
 
 
-@query(f"SELECT grp AS user_id, rows, digest FROM ({digest_sql(_EVENTS)})")
+@query(f"SELECT grp AS source, rows, digest FROM ({digest_sql(_CONTENTS)})")
 def content_fingerprints(spark, d):
-    """Of each user's events, in any order."""
-    return facts.content_fingerprint(table(spark, d, "events").select("user_id", "event_id", "event_type", "props"), ["user_id"])
+    """Of each source's documents, in any order."""
+    return facts.content_fingerprint(table(spark, d, "documents").select("source", "doc_id", "lang", "text"), ["source"])
+
+
+# Renaming and pairs ----------------------------------------------------------------------------------------------------
+
+_W = r"[\p{L}\p{N}_]"
+_SQL_TOKEN = renaming.TOKEN.replace("\\w", _W).replace("'", "''")
+_KEYS = ", ".join(f"'{k}'" for k in sorted(renaming.KEYWORDS))
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '{_SQL_TOKEN}'), lambda x: NOT starts_with(x, '//') AND NOT starts_with(x, '/*')) AS ts FROM documents),
+ k AS (SELECT doc_id, text, ts, list_transform(ts, lambda x, i: CASE WHEN left(x, 1) IN ('"', chr(39)) OR regexp_matches(x, '^[0-9]') THEN 0 WHEN regexp_matches(x, '^[A-Za-z_]') AND x NOT IN ({_KEYS}) AND coalesce(ts[i + 1], '') <> '(' THEN 1 ELSE 2 END) AS ks FROM t),
+ n AS (SELECT doc_id, text, ts, ks, list_filter(ts, lambda x, i: ks[i] = 1) AS names FROM k),
+ u AS (SELECT doc_id, text, ts, ks, list_filter(names, lambda x, i: list_position(names, x) = i) AS firsts FROM n)
+ SELECT doc_id, CASE WHEN NOT contains(text, chr(92) || chr(10)) AND NOT contains(text, chr(92) || chr(13)) THEN sha256(array_to_string(list_transform(ts, lambda x, i: CASE ks[i] WHEN 0 THEN '<literal>' WHEN 1 THEN 'v' || (list_position(firsts, x) - 1) ELSE x END), ' ')) END AS template FROM u""")
+def template_hashes(spark, d):
+    """Documents as sources."""
+    return table(spark, d, "documents").select("doc_id", renaming.template_hash("text").alias("template"))
+
+
+_DEFECTS = ("flow", "family", "spliced", "open", "bad", "good", "preamble", "conditional", "answer", "include", "directive", "same")
+_CASES_SQL = f"""c AS (SELECT conv_id, [{", ".join(map(str, pairs.CLASSES))}][CAST(conv_id % {len(pairs.CLASSES)} AS INT) + 1] AS cwe, conv_id % 20 AS v FROM (SELECT DISTINCT conv_id FROM conversations)),
+ x AS (SELECT 'testcases/CWE' || cwe || '_Kind/CWE' || cwe || '_Kind__case' || conv_id || '_01.c' AS source_file, cwe, CASE v {" ".join(f"WHEN {i} THEN '{pairs.REASONS[k]}'" for i, k in enumerate(_DEFECTS))} END AS reason FROM c),
+ t AS (SELECT *, row_number() OVER (PARTITION BY cwe ORDER BY sha256('42:' || source_file), source_file) - 1 AS turn FROM x),
+ p AS (SELECT *, row_number() OVER (ORDER BY turn, cwe, source_file) - 1 AS place FROM t)"""
+
+
+def _cases(spark, d):
+    """A test program for each conversation: a bad and a good function of its number of turns; every defect for some."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    kind = F.get(F.array(*[F.lit(k) for k in pairs.CLASSES]), (F.col("conv_id") % len(pairs.CLASSES)).cast("int")).cast("string")
+    stem = F.concat(F.lit("CWE"), kind, F.lit("_Kind__case"), F.col("conv_id").cast("string"), F.lit("_01"))
+    is_ = lambda k: F.col("conv_id") % 20 == _DEFECTS.index(k)
+    pick = lambda k, wrong, right: F.when(is_(k), F.lit(wrong)).otherwise(F.lit(right))
+    local = pick("directive", "value", "badValue")  # a telling name beside a directive is rejected for that
+    text = F.concat(
+        F.lit("/* Label Definition File: "), pick("family", "no such", "Kind"), F.lit(".label.xml\n"), pick("flow", "", "Flow Variant: 01 Baseline\n"), F.lit("*/\n"), pick("conditional", "#if 1\n", ""), pick("include", '#include "own.h"\n', '#include "std_testcase.h"\n'),
+        pick("spliced", "#define A \\\n 1\n", ""), pick("preamble", "", "#ifndef OMITBAD\n"), F.lit("void "), F.col("stem"), pick("bad", "_none", "_bad"), F.lit("()\n{\n  int "), local, F.lit(" = "), F.col("n"), F.lit(";\n"), pick("answer", '  print("bad");\n', ""), pick("directive", "#define B\n", ""), F.lit("  use("), local, F.lit(");\n}\n"),
+        F.lit("static void goodG2B()\n{\n"), pick("good", "  good1();\n", ""), pick("same", "  int badValue = ", "  int goodValue = "), F.col("n"), F.when(is_("same"), F.lit(";\n  use(badValue);\n")).otherwise(F.lit(" + 1;\n  use(goodValue);\n")), pick("open", "  {\n", ""), F.lit("}\nvoid good1() { goodG2B(); }\n"),
+    )
+    made = c.withColumn("stem", stem).select(F.concat(F.lit("testcases/CWE"), kind, F.lit("_Kind/"), F.col("stem"), F.lit(".c")).alias("source_file"), text.alias("text"))
+    return pairs.candidates(made)
+
+
+@query(f"WITH {_CASES_SQL} SELECT source_file, CAST(cwe AS INT) AS cwe, CASE WHEN reason IS NULL THEN 'Kind' END AS family, reason, CASE WHEN reason IS NULL THEN 2 ELSE 0 END AS functions FROM x")
+def extracted_pairs(spark, d):
+    got = pairs.extract_pairs(_cases(spark, d))
+    return got.select("source_file", "cwe", F.when(F.col("reason").isNull(), F.col("family")).alias("family"), "reason", F.coalesce(F.array_size("pair"), F.lit(0)).alias("functions"))
+
+
+@query(f"""WITH {_CASES_SQL}, r AS (SELECT *, count(*) FILTER (WHERE reason IS NULL) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sound_before FROM p)
+ SELECT source_file, CAST(cwe AS INT) AS cwe, turn, place, reason, CASE WHEN sound_before >= 40 THEN 'unexamined' WHEN reason IS NULL THEN 'selected' ELSE 'rejected' END AS status FROM r""")
+def selected_cases(spark, d):
+    return pairs.select_cases(pairs.extract_pairs(_cases(spark, d)), 40)

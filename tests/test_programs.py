@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.functions import control_flow, lexical
-from quarrylens.operators import digest, facts, program_graphs, reports
+from quarrylens.functions import control_flow, lexical, renaming
+from quarrylens.operators import digest, facts, pairs, program_graphs, reports
 
 
 def _flows(spark, *texts):
@@ -135,3 +135,130 @@ def test_features_of_numbers_extents_and_bindings(spark):
     assert got["q", 29].line_at == 1 and got["q", 31].in_flow == 1 and got["q", 31].extent == 0
     with pytest.raises(Exception, match="without its value"):
         program_graphs.node_features(nodes.withColumn("name", F.lit("x1")), spans).collect()
+
+
+# Renaming ------------------------------------------------------------------------------------------------------------
+
+WORDS = ["if", "(", ")", "{", "}", ";", "=", "+", "a", "b", "cc", "f", "1", "2.5", '"s"', "'c'", "->", "return", "// x\n", "/* y */"]
+
+
+def _templates(spark, sources):
+    df = spark.createDataFrame(list(enumerate(sources)), "i int, s string")
+    return [r.h for r in df.select("i", renaming.template_hash("s").alias("h")).orderBy("i").collect()]
+
+
+def test_alpha_equivalent_sources_share_a_template_and_others_do_not(spark):
+    rng = random.Random(8)
+    sources, plain = [], []
+    for _ in range(300):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(1, 7))]
+        names = rng.choice([{}, {"a": "b", "b": "a"}, {"a": "long_name", "cc": "Z9"}])
+        sources.append(" ".join(names.get(w, w) if not (k + 1 < len(words) and words[k + 1] == "(") else w for k, w in enumerate(words)))
+        tokens = [w for w in (names.get(w, w) if not (k + 1 < len(words) and words[k + 1] == "(") else w for k, w in enumerate(words)) if not w.startswith(("//", "/*"))]
+        seen = {}
+        plain.append(tuple("#" if w[0] in "12\"'" else seen.setdefault(w, f"v{len(seen)}") if w in ("a", "b", "cc", "f", "long_name", "Z9") and tokens[k + 1 : k + 2] != ["("] else w for k, w in enumerate(tokens)))
+    got = _templates(spark, sources)
+    for i in range(300):
+        for j in range(i):
+            assert (got[i] == got[j]) == (plain[i] == plain[j]), (sources[i], sources[j])
+
+
+def test_templates_of_odd_texts(spark):
+    got = _templates(spark, [None, "", "a \\\n b", "\"open", "x " * 100_000, "é ² _a a1"])
+    assert got[0] is None and got[2] is None and got[1] == hashlib.sha256(b"").hexdigest()
+    assert got[3] == hashlib.sha256(b"<literal> v0").hexdigest() and got[4] == hashlib.sha256(" ".join(["v0"] * 100_000).encode()).hexdigest()
+    assert got[5] == hashlib.sha256("é <literal> v0 v1".encode()).hexdigest()
+
+
+def test_comments_go_and_places_stay(spark):
+    text = 'int a; // b\nchar *s = "/* no */"; /* x\n y */ int c;'
+    got = spark.createDataFrame([(text,), (None,), ("a\\\nb",)], "t string").select(renaming.without_comments("t").alias("c")).collect()
+    assert got[0].c == 'int a;     \nchar *s = "/* no */";     \n      int c;' and got[1].c is None and got[2].c is None
+
+
+def test_neutral_names_are_injective_and_bounded(spark):
+    rows = [
+        'void process(void) { int goodData = 1; char *bad; int local_slot_0; use(goodData, bad, "goodData"); }', "void f(void) { int bad; bad(); }", "void f(void) { int bad; x.bad = 1; }", "void f(void) {\n#define A\nint bad; }",
+        "void f(void) { int fine; }", None, "void f(void) { int bad = 1; int good = bad; { int bad = good; } }",
+    ]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", renaming.neutral_names("c").alias("n")).orderBy("i").collect()
+    n = [r.n for r in got]
+    assert n[0].names == {"goodData": "local_slot_0_", "bad": "local_slot_1"} and 'use(local_slot_0_, local_slot_1, "goodData")' in n[0].code
+    assert [x.problem for x in n[1:4]] == [renaming.OUTSIDE] * 3 and n[1].code is None
+    assert n[4].code == rows[4] and n[4].names == {} and n[5].code is None and n[5].problem is None
+    assert n[6].code == "void f(void) { int local_slot_0 = 1; int local_slot_1 = local_slot_0; { int local_slot_0 = local_slot_1; } }"
+
+
+# Pairs ---------------------------------------------------------------------------------------------------------------
+
+CASE = """/* Label Definition File: CWE121_Stack.label.xml
+Flow Variant: 01 Baseline */
+#include "std_testcase.h"
+
+#ifndef OMITBAD
+void CWE121_Stack__x_01_bad()
+{
+    int badIndex = 10; /* POTENTIAL FLAW: too large */
+
+    use(badIndex);
+}
+#endif
+static void goodG2B()
+{
+    int goodIndex = 3;
+    check(goodIndex);
+}
+static void goodB2G1(void) { puts("}"); }
+void CWE121_Stack__x_01_good()
+{
+    goodG2B();
+}
+"""
+
+
+def test_a_pair_and_its_lines(spark):
+    name = "testcases/CWE121_Stack/CWE121_Stack__x_01.c"
+    files = spark.createDataFrame([(name, CASE), ("testcases/CWE121_Stack/CWE121_Stack__x_41.c", CASE), ("testcases/CWE78_X/CWE78_X__y_01.c", CASE), ("notes.txt", CASE)], "source_file string, text string")
+    found = pairs.candidates(files)
+    assert [(r.source_file, r.cwe, r.flow) for r in found.collect()] == [(name, 121, 1)]
+    row = pairs.extract_pairs(found).first()
+    assert row.reason is None and row.family == "CWE121_Stack"
+    bad, good = row.pair
+    assert (bad.label, bad.original_function, good.label) == (1, "CWE121_Stack__x_01_bad", 0)
+    assert bad.code == '#include "std_testcase.h"\nvoid process(void)\n{\n    int local_slot_0 = 10;\n    use(local_slot_0);\n}\n'
+    assert bad.original_line == 6 and bad.line_map == [3, 6, 7, 8, 10, 11] and bad.names == {"badIndex": "local_slot_0"}
+    first = min(("goodG2B", "goodB2G1"), key=lambda f: hashlib.sha256(f"42:{name}:{f}".encode()).hexdigest())
+    assert good.original_function == first and bad.template_sha256 != good.template_sha256
+
+
+def test_rejections_of_odd_cases(spark):
+    name = "t/CWE121_Stack__x_01.c"
+    texts = [None, "", CASE.replace("Baseline", ""), CASE.replace("    use(badIndex);", "    good();"), CASE.replace("void CWE121_Stack__x_01_good", "void CWE121_Stack__x_01_bad() { }\nvoid g"), CASE * 2]
+    got = [pairs.extract_pairs(spark.createDataFrame([(name, 121, t)], "source_file string, cwe int, text string")).first() for t in texts]
+    assert [g.reason for g in got] == [pairs.REASONS["flow"], pairs.REASONS["flow"], None, pairs.REASONS["answer"], pairs.REASONS["bad"], pairs.REASONS["bad"]]
+
+
+def test_cases_are_taken_in_turn(spark):
+    rng = random.Random(3)
+    rows = [(f"f{i}", rng.choice([1, 1, 1, 1, 2, 3]), rng.choice([None, None, "no"])) for i in range(200)]
+    got = {r.source_file: r for r in pairs.select_cases(spark.createDataFrame(rows, "source_file string, cwe int, reason string"), 20).collect()}
+    by = {}
+    for f, c, _ in rows:
+        by.setdefault(c, []).append(f)
+    for c in by:
+        by[c].sort(key=lambda f: hashlib.sha256(f"42:{f}".encode()).hexdigest())
+    order = [(by[c][t], t) for t in range(200) for c in sorted(by) if t < len(by[c])]
+    reasons, selected = {f: r for f, _, r in rows}, 0
+    for place, (f, turn) in enumerate(order):
+        want = "unexamined" if selected == 20 else "rejected" if reasons[f] else "selected"
+        selected += want == "selected"
+        assert (got[f].turn, got[f].place, got[f].status) == (turn, place, want)
+    assert len(got) == 200 and selected == 20
+    assert {r.status for r in pairs.select_cases(spark.createDataFrame(rows[:3], "source_file string, cwe int, reason string"), 20).collect()} <= {"selected", "rejected"}
+
+
+def test_families_with_clones_share_a_group(spark):
+    texts = {"A": CASE, "B": CASE.replace("Index", "Place"), "C": CASE.replace("10;", "10 + 1;").replace("= 3", "= 3 + 1").replace('puts("}")', 'puts("}") + 2')}
+    rows = [(f"t/CWE121_Stack__x_01.c", 121, t.replace("CWE121_Stack.label", f"{k}.label")) for k, t in texts.items()]
+    got = pairs.pair_groups(pairs.extract_pairs(spark.createDataFrame(rows, "source_file string, cwe int, text string")))
+    assert {r.family: r.group for r in got.collect()} == {"A": "A", "B": "A", "C": "C"}
