@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
+from functools import reduce
+from urllib.parse import unquote, urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +43,18 @@ INPUT_ORDER = {
 }
 #: Columns that order a view's input and are no fields of it; a leading - is descending.
 HIDDEN = {"builds": [T.StructField("ordinal", T.LongType(), False)]}
+#: What tells a table's rows apart, and which columns must name a row of another table.
+KEYS = {
+    "files": ["file"],
+    "functions": ["symbol_id"],
+    "symbols": ["symbol_id"],
+    "references": ["symbol_id", "enclosing_symbol", "kind", "file", "line", "column", "translation_unit"],
+    "edges": ["kind", "source", "target", "file", "line", "column"],
+    "issues": ["rule_id", "file", "line", "column", "symbol_id"],
+    "suppressed_issues": ["rule_id", "file", "line", "column", "symbol_id"],
+    "rule_diagnostics": ["ordinal"],
+}
+REFERS = {("functions", "symbol_id"): ("symbols", "symbol_id"), ("references", "symbol_id"): ("symbols", "symbol_id")}
 NEEDS_NO_ANALYSIS = ("files", "builds", "rule_diagnostics")
 
 
@@ -60,35 +76,99 @@ def orphan_metrics(metrics: DataFrame, symbols: DataFrame) -> DataFrame:
     return metrics.join(symbols, "symbol_id", "left_anti")
 
 
+def table_problems(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, problem, item: rows of a snapshot's tables that share a key (``key twice``), and values that name no row of the
+    table they refer to (``dangling``). Each is a partial aggregation or an anti join, so no key gathers its rows."""
+    item = lambda cols: F.to_json(F.struct(*cols))
+    found = []
+    for name, df in tables.items():
+        if keys := KEYS.get(name):
+            twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            found.append(twice.select(F.lit(name).alias("table"), F.lit("key twice").alias("problem"), item(keys).alias("item")))
+    for (name, column), (other, key) in REFERS.items():
+        if name in tables:
+            values = tables[name].select(F.col(column).alias(key)).distinct()
+            lost = values.join(tables[other], key, "left_anti") if other in tables else values
+            found.append(lost.select(F.lit(name).alias("table"), F.lit("dangling").alias("problem"), item([F.col(key).alias(column)]).alias("item")))
+    if not found:
+        raise ValueError("no table to check")
+    return reduce(DataFrame.unionByName, found)
+
+
+def create_once(spark: SparkSession, uri: str, text: str) -> bool:
+    """Create a file with ``text``; False, and nothing changed, if it is there already. Of several that try at once, one
+    gets True: a hard link on a local or mounted file system, an exclusive create elsewhere."""
+    where = urlparse(uri)
+    if where.scheme in ("", "file"):
+        path = unquote(where.path)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        draft = f"{os.path.dirname(path)}/_{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(draft, path)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    try:
+        out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, False)
+    except Exception as error:
+        if "FileAlreadyExists" in str(error) or "already exists" in str(error):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 class SnapshotStore:
-    """Snapshots below one folder. A scan's tables go to ``<table>/scan_id=N``; a row in ``manifest``, written last,
-    publishes them. Readers see only scans in the manifest, so a write that broke off shows nowhere."""
+    """Snapshots below one folder. A scan's tables go to a folder of their own; an entry in ``manifest``, a file named after
+    the scan id and created last, publishes them. Readers see only scans in the manifest, so a write that broke off shows
+    nowhere, and of two writers of one id one publishes."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def manifest(self) -> DataFrame:
-        schema = "scan_id long, root string, scanned_at string, status string, revision string, tables array<string>, write_id string"
+        schema = "scan_id long, root string, scanned_at string, status string, revision string, tables array<string>, write_id string, scope string"
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/manifest")
+            return self.spark.read.schema(schema).json(f"{self.folder}/manifest").where("scan_id is not null")
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def save(self, scan_id: int, root: str, scanned_at: str, tables: dict[str, DataFrame], status: str = "complete", revision: str = "") -> None:
-        """Write and publish. A scan id that is already published, or below 1, is an error."""
+    def save(
+        self, scan_id: int, root: str, scanned_at: str, tables: dict[str, DataFrame], status: str = "complete", revision: str = "", scope: str = "", diagnostics: list[str] | None = None
+    ) -> None:
+        """Write, check and publish. Nothing is published, and the error names a case, if the inventory was incomplete
+        (``diagnostics``), the root is empty, the scan id is below 1 or published already, a table has a key twice or a
+        value that names no row (see ``table_problems``). ``scope``: the fingerprint of what the inventory covered."""
+        if diagnostics:
+            raise ValueError(f"an incomplete inventory is not saved: {diagnostics[0]}")
+        if not root:
+            raise ValueError("the project root is empty")
         if scan_id <= 0 or self.manifest().where(F.col("scan_id") == scan_id).limit(1).count():
             raise ValueError(f"scan id {scan_id} is not positive or is already saved")
-        write_id = uuid.uuid4().hex
+        write_id, staged = uuid.uuid4().hex, {}
         for name, df in tables.items():
-            conform(df, name).write.mode("errorifexists").parquet(f"{self.folder}/{name}/{write_id}")
-        row = [(scan_id, root, scanned_at, status, revision, sorted(tables), write_id)]
-        self.spark.createDataFrame(row, self.manifest().schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-
-    def read(self, scan_id: int, name: str) -> DataFrame:
-        """One table of a published scan, lazily; an unknown scan is an error, a table it lacks is empty."""
+            path = f"{self.folder}/{name}/{write_id}"
+            conform(df, name).write.mode("errorifexists").parquet(path)
+            staged[name] = self.spark.read.parquet(path)
+        if any(n in KEYS for n in staged) and (bad := table_problems(staged).first()):
+            raise ValueError(f"{bad.table}: {bad.problem}: {bad.item}")
+        entry = {"scan_id": scan_id, "root": root, "scanned_at": scanned_at, "status": status, "revision": revision, "tables": sorted(tables), "write_id": write_id, "scope": scope}
+        if not create_once(self.spark, f"{self.folder}/manifest/scan-{scan_id:020d}.json", json.dumps(entry) + "\n"):
+            raise ValueError(f"scan id {scan_id} was saved by another writer")
+
+    def read(self, scan_id: int, name: str, root: str | None = None) -> DataFrame:
+        """One table of a published scan, lazily; an unknown scan, or one of another root where ``root`` is given, is an
+        error, a table it lacks is empty."""
         row = self.manifest().where(F.col("scan_id") == scan_id).first()
-        if row is None:
-            raise ValueError(f"no saved scan {scan_id}")
+        if row is None or root not in (None, row.root):
+            raise ValueError(f"no saved scan {scan_id}" + (f" of {root}" if root else ""))
         if name not in row.tables:
             return self.spark.createDataFrame([], VIEWS[name])
         frame = self.spark.read.parquet(f"{self.folder}/{name}/{row.write_id}")

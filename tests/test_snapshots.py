@@ -163,3 +163,63 @@ def test_build_needs_its_scan(spark, tmp_path):
         save_build(manifest, run("/other"), steps, str(tmp_path / "b"))
     save_build(manifest, run("/p"), steps, str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b/build_step")).count() == 1
+
+
+def _tables(spark, files):
+    symbols = spark.createDataFrame([("s1", "f", "a.cpp", 1, 1, "function", 1, 0)], "symbol_id string, name string, file string, line long, column long, kind string, definition long, external long")
+    functions = spark.createDataFrame([("f", "a.cpp", 1, 2, 3, 0, "s1", -1, -1, -1)], snapshots.VIEWS["functions"])
+    references = spark.createDataFrame([("s1", "", "call", "a.cpp", 1, 2, "a.cpp")], snapshots.VIEWS["references"])
+    return {"files": files, "symbols": symbols, "functions": functions, "references": references}
+
+
+def test_a_sound_snapshot_with_all_tables(spark, files, tmp_path):
+    store, tables = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s p"), _tables(spark, files)
+    store.save(7, "/p", "10", tables, scope="x")
+    assert store.read(7, "references", "/p").count() == 1 and store.manifest().first().scope == "x"
+    with pytest.raises(ValueError, match="no saved scan 7 of /q"):
+        store.read(7, "files", "/q")
+
+
+@pytest.mark.parametrize(
+    ("change", "message"),
+    [
+        (lambda t: {**t, "files": t["files"].unionByName(t["files"].limit(1))}, "files: key twice"),
+        (lambda t: {**t, "symbols": t["symbols"].withColumn("symbol_id", F.lit("other"))}, "dangling"),
+        (lambda t: {k: v for k, v in t.items() if k != "symbols"}, "dangling"),
+        (lambda t: {**t, "references": t["references"].unionByName(t["references"])}, "references: key twice"),
+    ],
+)
+def test_a_snapshot_that_does_not_hold_together_publishes_nothing(spark, files, tmp_path, change, message):
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/store")
+    with pytest.raises(ValueError, match=message):
+        store.save(1, "/p", "10", change(_tables(spark, files)))
+    assert store.manifest().count() == 0 and store.latest("/p") is None
+    store.save(1, "/p", "10", _tables(spark, files))  # the id is still free
+    assert store.latest("/p") == 1
+
+
+def test_incomplete_inventories_and_empty_roots_are_not_saved(spark, files, tmp_path):
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/store")
+    for args, more in (((1, "", "10"), {}), ((1, "/p", "10"), {"diagnostics": ["unreadable: x"]}), ((0, "/p", "10"), {})):
+        with pytest.raises(ValueError):
+            store.save(*args, {"files": files}, **more)
+    assert store.manifest().count() == 0
+
+
+def test_of_concurrent_writers_of_one_id_one_publishes(spark, files, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/store")
+
+    def save(k):
+        try:
+            store.save(5, f"/p{k}", "10", {"files": files.limit(k)})
+            return k
+        except ValueError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [k for k in pool.map(save, (1, 2, 3, 3)) if k]
+    assert len(won) == 1 and store.manifest().count() == 1
+    assert store.read(5, "files").count() == won[0]
+    assert [snapshots.create_once(spark, f"file://{tmp_path}/once", x) for x in "ab"] == [True, False]
