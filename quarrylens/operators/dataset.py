@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylens.operators.order import positions
+from quarrylens.sources.shared import materialize
+
 #: Fixed value: the tokens of the source language, comments first. Literals are written as unrolled loops, which need no
 #: stack however long they are.
 TOKENS = (
@@ -49,10 +52,24 @@ def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def join_labels(graphs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Graphs with their labels on file and function, and on signature where the label gives one."""
-    lab = labels.select(F.col("file").alias("_f"), F.col("function").alias("_n"), F.col("signature").alias("_s"), *[c for c in labels.columns if c not in ("file", "function", "signature")])
+    """Graphs with their labels on file and function, and on signature where the label gives one. Graphs and labels must
+    match one to one: a graph without a label or with several, a label of several graphs (say its signature) or of none
+    is an error when read. Null files or functions match nothing. Both sides are written once, numbered."""
+    names = ("file", "function", "signature")
+    lab = materialize(labels.withColumn("_l", F.monotonically_increasing_id()), "labels")
+    own = materialize(graphs.withColumn("_g", F.monotonically_increasing_id()), "graphs")
+    rest = [c for c in labels.columns if c not in names]
+    right = lab.select(F.col("file").alias("_f"), F.col("function").alias("_n"), F.col("signature").alias("_s"), "_l")
     on = (F.col("file") == F.col("_f")) & (F.col("function") == F.col("_n")) & (F.col("_s").isNull() | (F.col("signature") == F.col("_s")))
-    return graphs.join(lab, on).drop("_f", "_n", "_s")
+    links = materialize(own.select("_g", *names).join(right, on, "full").select("_g", "_l"), "links")
+    count = lambda key, other: links.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(other).alias(f"{key}_n"), F.min(other).alias(f"{key}_other"))
+    by_graph, by_label = count("_g", "_l"), count("_l", "_g")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.coalesce(F.concat_ws(":", "file", "function"), F.lit("?"))))
+    checked = own.join(by_graph, "_g").join(by_label.select(F.col("_l").alias("_g_other"), "_l_n"), "_g_other", "left")
+    sure = F.when(F.col("_g_n") == 0, fail("a graph without a label: ")).when(F.col("_g_n") > 1, fail("a graph with several labels: ")).when(F.col("_l_n") > 1, fail("a label of several graphs: ")).otherwise(F.col("file"))
+    paired = checked.withColumn("file", sure).join(lab.select(F.col("_l").alias("_g_other"), *rest), "_g_other", "left").select(*graphs.columns, *rest)
+    lost = lab.join(by_label.where("_l_n = 0").select("_l"), "_l").withColumn("file", fail("a label without a graph: "))
+    return paired.unionByName(lost.select("file", *[F.lit(None).cast(paired.schema[c].dataType).alias(c) for c in paired.columns if c != "file"]))
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -85,9 +102,9 @@ def number_feature(c: Column) -> Column:
 
 
 def fit_vocabulary(train: DataFrame, word: str) -> DataFrame:
-    """word and index (from 1, in order) of the distinct words of the training rows. A vocabulary is small: it is
-    numbered in one task."""
-    return train.select(word).distinct().withColumn("index", F.row_number().over(W.orderBy(word)).cast("long"))
+    """word and index (from 1, in order, null first) of the distinct words of the training rows, however many."""
+    placed = positions(train.select(word).distinct(), [F.col(word).asc_nulls_first()], "index")
+    return placed.withColumn("index", F.col("index") + 1)
 
 
 def encode_words(rows: DataFrame, vocabulary: DataFrame, word: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylens.operators.order import positions, positions_within
+from quarrylens.sources.shared import materialize
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -39,17 +42,21 @@ def top_k(rows: DataFrame, ks: tuple[int, ...] = (1, 3), threshold: float = 0.5)
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """The area under the ROC curve with half for ties, from ranks instead of pairs: rows are first counted by
-    score, and ranks run over the distinct scores."""
-    scores = rows.groupBy("probability").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    below = W.orderBy("probability").rowsBetween(W.unboundedPreceding, -1)
-    ranked = scores.withColumn("q_below", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    return ranked.agg((F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    """The area under the ROC curve with half for ties, from ranks instead of pairs: rows are first counted by score, and the
+    negatives below each distinct score are running sums over ranges of scores. Null where a class is missing; rows
+    without a score have the lowest."""
+    scores = rows.groupBy("probability").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.coalesce(F.col("label") != 1, F.lit(True))).alias("q"))
+    ranked = positions(scores, [F.col("probability").asc_nulls_first()], "at", {"q_below": F.col("q")})
+    pairs = F.sum("p") * F.sum("q")
+    return ranked.agg((F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2)) / F.nullif(pairs, F.lit(0))).alias("auc"))
 
 
 def score_summary(rows: DataFrame, by: list[str], score: str) -> DataFrame:
-    """count, mean, sample deviation (null for one), least and most of a score over seeds."""
-    return rows.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.min(score).alias("least"), F.max(score).alias("most"))
+    """count, mean, sample deviation (null for one), least and most of a score over seeds; all null where no seed has it. A
+    score that some seeds have and others lack is an error when read."""
+    mixed = (F.count(score) > 0) & (F.count(score) < F.count(F.lit(1)))
+    n = F.when(mixed, F.raise_error(F.lit("a score is null for some seeds and not for others"))).otherwise(F.count(score))
+    return rows.groupBy(*by).agg(n.alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.min(score).alias("least"), F.max(score).alias("most"))
 
 
 def error_cases(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -73,6 +80,31 @@ def group_links(rows: DataFrame, key: Column, group: str = "group_id") -> DataFr
     return pairs.join(least, "k").select(F.col("g").alias("source"), F.col("m").alias("target")).distinct()
 
 
+def hash_split(rows: DataFrame, group: str, train: float, validation: float, seed: int, tries: int = 128, batch: int = 16) -> DataFrame:
+    """group and split of every group of ``rows`` (group, label 0 or 1), for any number of groups: a try takes groups in the
+    order of a seeded hash, the first to training, the next to validation, the rest to testing. Training must see both
+    classes; of the tries the first with the most classes over all splits wins. Places come from ranges and prefix sums;
+    the driver sees a row a try."""
+    flags = [F.max((F.col("label") == k).cast("int")).alias(f"has_{k}") for k in (0, 1)]
+    groups = materialize(rows.groupBy(F.col(group).alias("group")).agg(*flags), "groups")
+    n_train, n_val = partition_sizes(groups.count(), train, validation)
+    shuffled = lambda t: F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), t.cast("string"), F.col("group").cast("string")), 256)
+    split = F.when(F.col("place") < n_train, "train").when(F.col("place") < n_train + n_val, "validation").otherwise("test").alias("split")
+    best = None
+    for first in range(0, tries, batch):
+        tried = groups.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(min(first + batch, tries) - 1))))
+        placed = positions_within(tried.withColumn("h", shuffled(F.col("try"))), ["try"], [F.col("h"), F.col("group")], "place")
+        seen = placed.select("*", split).groupBy("try", "split").agg(F.max("has_0").alias("a"), F.max("has_1").alias("b"))
+        score, sound = F.sum(F.col("a") + F.col("b")).alias("score"), F.max((F.col("split") == "train") & (F.col("a") == 1) & (F.col("b") == 1)).alias("sound")
+        found = max(((r.score, -r["try"]) for r in seen.groupBy("try").agg(score, sound).where("sound").collect()), default=None)
+        best = max(filter(None, (best, found)), default=None)
+        if best and best[0] == 6:
+            break
+    if best is None:
+        raise ValueError("no split gives training both classes")
+    return positions(groups.withColumn("h", shuffled(F.lit(-best[1]))), [F.col("h"), F.col("group")], "place").select("group", split)
+
+
 def partition_sizes(count: int, train: float, validation: float) -> tuple[int, int]:
     """How many of ``count`` groups go to training and to validation: at least one each, and one for testing."""
     if count < 3:
@@ -81,9 +113,10 @@ def partition_sizes(count: int, train: float, validation: float) -> tuple[int, i
     return min(max(1, int(count * train)), count - n_val - 1), n_val
 
 
+#: The order of the seeded shuffles below is required to be equal to the one that stored splits were made with.
 def seeded_split(group_classes: dict[str, set[int]], train: float, validation: float, seed: int, tries: int = 128) -> dict[str, str]:
     """The split of each group by seeded shuffles: training must see both classes; the first try with the most classes
-    over all splits wins. Takes the distinct groups with their classes, which are few."""
+    over all splits wins. For the few groups of a stored split, on the driver; see ``hash_split`` for any number."""
     n_train, n_val = partition_sizes(len(group_classes), train, validation)
     shuffle, best = random.Random(seed), None
     for _ in range(tries):

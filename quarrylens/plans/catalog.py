@@ -520,13 +520,18 @@ def class_counts(spark, d):
     return evaluation.class_counts(_scored(spark, d).withColumnRenamed("source", "split"))
 
 
-@query()
+@query(f"""WITH {_SCORED}, g AS (SELECT source, max(CAST(label = 0 AS INT)) AS has0, max(CAST(label = 1 AS INT)) AS has1 FROM s GROUP BY 1), z AS (SELECT count(*) AS n FROM g),
+ t AS (SELECT g.*, k, row_number() OVER (PARTITION BY k ORDER BY sha256('42:' || k || ':' || source), source) - 1 AS place FROM g, range(128) r(k)),
+ m AS (SELECT n, least(n - 2, greatest(1, CAST(floor(n * 0.2) AS BIGINT))) AS v, CAST(floor(n * 0.6) AS BIGINT) AS u FROM z),
+ p AS (SELECT t.*, CASE WHEN place < least(greatest(1, u), n - v - 1) THEN 'train' WHEN place < least(greatest(1, u), n - v - 1) + v THEN 'validation' ELSE 'test' END AS split FROM t, m),
+ q AS (SELECT k, split, max(has0) AS a, max(has1) AS b FROM p GROUP BY ALL),
+ w AS (SELECT k FROM q GROUP BY k HAVING bool_or(split = 'train' AND a = 1 AND b = 1) ORDER BY sum(a + b) DESC, k LIMIT 1)
+ SELECT split, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM s JOIN p USING (source) JOIN w USING (k) GROUP BY 1""")
 def group_split_counts(spark, d):
-    """Rows of each class in each split, whole sources to one split by seeded shuffles."""
+    """Rows of each class in each split, whole sources to one split by seeded hashes."""
     s = _scored(spark, d)
-    classes = {r["source"]: set(r["c"]) for r in s.groupBy("source").agg(F.collect_set("label").alias("c")).collect()}  # one row per source
-    split = spark.createDataFrame(sorted(evaluation.seeded_split(classes, 0.6, 0.2, 42).items()), "source string, split string")
-    return evaluation.class_counts(s.join(split, "source"))
+    split = evaluation.hash_split(s.select("source", "label"), "source", 0.6, 0.2, 42)
+    return evaluation.class_counts(s.join(split.withColumnRenamed("group", "source"), "source"))
 
 
 @query("SELECT k AS key, count(*) AS n, count(DISTINCT label) AS labels FROM (SELECT CAST(floor(embedding[1] * 20) AS BIGINT) * 1000 + CAST(floor(embedding[2] * 20) AS BIGINT) AS k, label FROM embeddings) GROUP BY 1 HAVING count(DISTINCT label) > 1")

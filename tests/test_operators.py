@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quarrylens.functions import lexical, text
-from quarrylens.operators import evaluation, facts, graph
+from quarrylens.operators import dataset, evaluation, facts, graph
 
 ISSUE = "rule_id string, file string, symbol_id string, detector string, evidence string, line int, column int, ord long, suppressed boolean"
 
@@ -200,3 +200,49 @@ def test_readers_and_checks(spark, tmp_path):
     graphs = spark.createDataFrame([("f.c", "a", "int a()"), ("f.c", "a", "int a(int)")], "file string, function string, signature string")
     labels = spark.createDataFrame([("f.c", "a", "int a(int)", 1)], "file string, function string, signature string, label int")
     assert [(r.signature, r.label) for r in dataset.join_labels(graphs, labels).collect()] == [("int a(int)", 1)]
+
+
+def test_join_labels_is_one_to_one(spark):
+    schema = "file string, function string, signature string"
+    graphs = spark.createDataFrame([("a", "f", "f()"), ("a", "g", None), ("b", "f", "f()")], schema)
+    lab = lambda rows: spark.createDataFrame(rows, schema + ", sample_id string, label int")
+    good = [("a", "f", None, "1", 0), ("a", "g", None, "2", 1), ("b", "f", "f()", "3", 1)]
+    assert {(r.file, r.function, r.sample_id) for r in dataset.join_labels(graphs, lab(good)).collect()} == {("a", "f", "1"), ("a", "g", "2"), ("b", "f", "3")}
+    for rows, message in ((good[:2], "without a label"), ([*good, good[0]], "several labels"), ([*good, ("z", "z", None, "4", 0)], "label without a graph")):
+        with pytest.raises(Exception, match=message):
+            dataset.join_labels(graphs, lab(rows)).collect()
+    with pytest.raises(Exception, match="label of several graphs"):
+        dataset.join_labels(graphs.unionByName(graphs.limit(1)), lab(good)).collect()
+
+
+def test_auc_of_many_distinct_scores_equals_its_ranks(spark):
+    n = 1_000_000  # distinct scores; every third is positive
+    rows = spark.range(n).select((F.col("id") * 7919 % n / n).alias("probability"), (F.col("id") * 7919 % n % 3 == 0).cast("int").alias("label"))
+    positives = range(0, n, 3)
+    below = sum(x - (x // 3) for x in positives)  # negatives below x
+    assert abs(evaluation.roc_auc(rows).first().auc - below / (len(positives) * (n - len(positives)))) < 1e-12
+    assert evaluation.roc_auc(rows.where("label = 1").limit(10)).first().auc is None
+
+
+def test_vocabulary_numbers_in_order(spark):
+    words = spark.createDataFrame([(f"w{i % 500:03d}",) for i in range(2000)] + [(None,)], "word string").repartition(6)
+    got = {r.word: r["index"] for r in dataset.fit_vocabulary(words, "word").collect()}
+    assert got == {None: 1, **{f"w{i:03d}": i + 2 for i in range(500)}}
+
+
+def test_hash_split_keeps_groups_whole_and_sees_both_classes(spark):
+    rows = spark.createDataFrame([(f"g{i % 40}", int(i % 40 < 2)) for i in range(400)], "g string, label int")
+    got = {r.group: r.split for r in evaluation.hash_split(rows, "g", 0.6, 0.2, 7).collect()}
+    assert len(got) == 40 and sorted(map(list(got.values()).count, ("train", "validation", "test"))) == [8, 8, 24]
+    assert "train" in (got["g0"], got["g1"])
+    assert got == {r.group: r.split for r in evaluation.hash_split(rows.repartition(5), "g", 0.6, 0.2, 7, batch=3).collect()}
+    with pytest.raises(ValueError, match="both classes"):
+        evaluation.hash_split(rows.where("label = 0"), "g", 0.6, 0.2, 7, tries=4)
+
+
+def test_scores_that_some_seeds_lack_are_an_error(spark):
+    rows = spark.createDataFrame([("m", 0.2), ("m", 0.8), ("n", None)], "mode string, score double")
+    got = {r["mode"]: (r.n, r.mean) for r in evaluation.score_summary(rows, ["mode"], "score").collect()}
+    assert got == {"m": (2, 0.5), "n": (0, None)}
+    with pytest.raises(Exception, match="some seeds"):
+        evaluation.score_summary(rows.withColumn("mode", F.lit("x")), ["mode"], "score").collect()
