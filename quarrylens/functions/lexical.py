@@ -241,3 +241,12 @@ def global_duplicates(text_lines: DataFrame) -> DataFrame:
     """(n, duplicated) over all normal lines (column line): rows less distinct ones."""
     counts = text_lines.groupBy("line").agg(F.count(F.lit(1)).alias("k"))
     return counts.agg(F.sum("k").alias("n"), F.sum(F.col("k") - 1).alias("duplicated"))
+
+
+def project_duplicates(files: DataFrame) -> DataFrame:
+    """n, duplicated and include_count over all of ``files`` (file, text): normal lines of the code, those that are there
+    already, and distinct include targets. Lines and targets are counted as rows, whatever the size of a file."""
+    coded = files.select("text", masked("text").alias("code"))
+    norm = coded.select(F.explode(split_lines(F.col("code"))).alias("l")).select(normal_line(F.col("l")).alias("line")).where("line is not null")
+    targets = coded.select(F.explode(include_targets(F.col("text"))).alias("t")).agg(F.count_distinct("t").alias("include_count"))
+    return global_duplicates(norm).withColumn("_k", F.lit(0)).join(targets.withColumn("_k", F.lit(0)), "_k").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("duplicated", F.lit(0)).alias("duplicated"), "include_count")

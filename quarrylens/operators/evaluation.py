@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylens.operators.dataset import canonical_hash
+from quarrylens.operators.graph import components
 from quarrylens.operators.order import positions, positions_within
 from quarrylens.sources.shared import materialize
 
@@ -233,3 +235,77 @@ def record_rules() -> dict[str, Column]:
         "edge_types": F.forall(types, lambda t: t.between(0, 3)), "nodes": F.array_contains(nodes, "ast") & F.forall(nodes, lambda x: x.isin("ast", "cfg")),
         "edge_layers": F.forall(F.transform(types, layered), lambda x: F.coalesce(x, F.lit(False))),
     }
+
+
+#: Fixed value: the names of edge types 0 to 3.
+EDGE_NAMES = ("ast-child", "cfg-successor", "cfg-contains", "def-use")
+_NODE = "array<struct<kind:string,layer:string,line:bigint,end_line:bigint,column:bigint,node_id:string>>"
+_EDGE = "array<struct<source:string,target:string,kind:string>>"
+
+
+def graph_rules() -> dict[str, Column]:
+    """What holds for a sound program graph and its provenance beyond ``record_rules``. Columns: schema_version, nodes (kind,
+    layer, line, end_line, column, node_id), edges (source, target, kind), edge_from, edge_to, edge_type, sample_id,
+    group_id, source, source_groups, split_group, duplicate_ids, canonical_sha256; but for nodes, source and the two ids,
+    null means that a record does not have it."""
+    named = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    absent = lambda c: F.col(c).isNull()
+    nodes, edges, types = F.col("nodes").cast(_NODE), F.col("edges").cast(_EDGE), F.col("edge_type")
+    ids = F.filter(F.transform(nodes, lambda n: n["node_id"]), lambda x: x.isNotNull())
+    unique = lambda a: F.size(F.array_distinct(a)) == F.size(a)
+    placed = lambda n: (n["line"] >= 0) & (n["line"] <= n["end_line"])
+    end = lambda c, i: F.get(nodes, F.get(F.col(c), i).cast("int"))["node_id"]
+    kind = lambda i: F.get(F.array(*[F.lit(x) for x in EDGE_NAMES]), F.get(types, i).cast("int"))
+    agree = F.transform(edges, lambda e, i: (e["source"] == end("edge_from", i)) & (e["target"] == end("edge_to", i)) & (e["kind"] == kind(i)))
+    groups, copies = F.col("source_groups").cast("array<string>"), F.col("duplicate_ids").cast("array<string>")
+    n_copies = F.coalesce(F.size(copies), F.lit(0))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return {
+        "schema_version": absent("schema_version") | (F.col("schema_version") == "1.0"),
+        "node_fields": sure(F.size(nodes) > 0) & F.forall(nodes, lambda n: named(n["kind"]) & sure(n["layer"].isin("ast", "cfg")) & sure(placed(n)) & (n["column"].isNull() | (n["column"] >= 0))),
+        "node_ids": F.forall(ids, named) & unique(ids),
+        "explicit_edges": absent("edges") | sure((F.size(edges) == F.size(types)) & (F.size(ids) == F.size(nodes)) & F.forall(agree, sure)),
+        "source_groups": absent("source_groups") | sure((F.size(groups) > 0) & F.forall(groups, named) & F.array_contains(groups, F.col("group_id"))),
+        "split_group": absent("split_group") | named(F.col("split_group")),
+        "duplicate_ids": absent("duplicate_ids") | sure(F.forall(copies, named) & unique(copies) & ~F.array_contains(copies, F.col("sample_id"))),
+        "copies_agree": F.when(absent("source_groups"), n_copies <= 0).otherwise(F.size(groups) == F.greatest(n_copies, F.lit(0)) + 1),
+        "canonical_hash": absent("canonical_sha256") | (F.col("canonical_sha256") == canonical_hash(F.col("source"))),
+    }
+
+
+def dataset_problems(records: DataFrame, splits: DataFrame, groups: DataFrame, counts: DataFrame, train: float, validation: float, duplicates: int) -> DataFrame:
+    """What a prepared data set gets wrong against its manifest, as (problem, item): all of ``manifest_problems``, and sources
+    that are there twice, in several splits or with several labels (by canonical hash), copies that are records too, are
+    named twice or are not as many as the manifest says (``duplicates``), tied groups (source_groups) in several splits or
+    not as the manifest's groups say, a training split without both classes, and groups that do not follow the fractions.
+
+    records: sample_id, group_id, label, source, source_groups, duplicate_ids (arrays or null); splits: sample_id, split;
+    groups: group (the least of its tied groups), split; counts: split, n0, n1. The driver sees numbers of splits only."""
+    said = lambda p, c: (F.lit(p).alias("problem"), F.col(c).cast("string").alias("item"))
+    placed = records.withColumn("key", canonical_hash(F.col("source"))).join(splits, "sample_id")
+    same = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("s"), F.count_distinct("label").alias("l"))
+    copies = records.select("sample_id", F.explode("duplicate_ids").alias("copy"))
+    tied = records.select(F.col("group_id").alias("source"), F.explode(F.array_union(F.array("group_id"), F.coalesce("source_groups", F.array().cast("array<string>")))).alias("target"))
+    roots = components(tied)
+    owned = materialize(placed.join(roots, F.col("group_id") == F.col("node")).select("root", "split").distinct(), "owned")
+    stated = groups.select(F.col("group").alias("root"), F.col("split").alias("stated"))
+    n, n_copies = owned.select("root").distinct().count(), copies.count()
+    want = dict(zip(("train", "validation"), partition_sizes(n, train, validation), strict=True)) if n >= 3 else {}
+    have = {r.split: r["count"] for r in owned.groupBy("split").count().collect()}  # a row a split
+    spark = records.sparkSession
+    facts = [("groups of a split", f"{s}: {have.get(s, 0)}, not {k}") for s, k in want.items() if have.get(s, 0) != k] + [("too few groups", str(n))] * (n < 3) + [("duplicate count", f"{n_copies}, not {duplicates}")] * (n_copies != duplicates)
+    train_rows = placed.where("split = 'train'").groupBy().agg(F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label") == 1).alias("b"))
+    found = [
+        manifest_problems(records.select("sample_id", "group_id", "label"), splits, counts),
+        same.where("n > 1").select(*said("source twice", "key")), same.where("s > 1").select(*said("source in several splits", "key")), same.where("l > 1").select(*said("labels of a source differ", "key")),
+        copies.groupBy("copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*said("copy named twice", "copy")),
+        copies.join(records.select(F.col("sample_id").alias("copy")), "copy", "left_semi").select(*said("copy is a record", "copy")),
+        owned.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*said("tied groups in several splits", "root")),
+        owned.join(stated, "root", "full").where(~F.col("split").eqNullSafe(F.col("stated"))).select(*said("groups differ", "root")),
+        train_rows.where("a = 0 or b = 0").select(F.lit("training lacks a class").alias("problem"), F.lit("train").alias("item")),
+        spark.createDataFrame(facts, "problem string, item string"),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()

@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from quarrylens.sources.snapshots import INPUT_ORDER, NEEDS_NO_ANALYSIS, VIEWS
 
 _MOST = 2**31 - 1
@@ -24,17 +23,20 @@ class Selection:
     columns: list[str] = field(default_factory=list)
 
 
-_LITERAL = r"'(?:[^']|'')*'"
-_COMPARED = re.compile(rf"(\w+)\s*(?:=|<>|!=|<=|>=|<|>)\s*({_LITERAL}|-?\d+)")
+_QUOTED = r"'(?:[^']|'')*'"
+_INTEGERS = {"tinyint", "smallint", "int", "bigint"}
 
 
-def _check_types(view: str, where: str) -> None:
-    """A condition compares text with text and integers with integers, and asks no other table."""
-    if re.search(r"\bselect\b", re.sub(_LITERAL, "", where), re.I):
-        raise ValueError("subqueries are not supported")
-    for name, literal in _COMPARED.findall(where):
-        if name in VIEWS[view].names and literal.startswith("'") != isinstance(VIEWS[view][name].dataType, T.StringType):
-            raise ValueError(f"type mismatch: {name} and {literal}")
+def _check_types(filtered: DataFrame) -> None:
+    """A condition compares text with text and integers with integers. Spark would make others fit: in the analysed
+    condition, whatever form it was given in, any change of type but among integers is such a case."""
+    todo = [filtered._jdf.queryExecution().analyzed().condition()]
+    while todo:
+        e = todo.pop()
+        kids = [e.children().apply(i) for i in range(e.children().size())]
+        if e.getClass().getSimpleName() == "Cast" and not {e.dataType().simpleString(), kids[0].dataType().simpleString()} <= _INTEGERS:
+            raise ValueError(f"type mismatch: {kids[0].sql()} as {e.dataType().simpleString()}")
+        todo += kids
 
 
 def select(source: DataFrame, view: str, columns: list[str] | None = None, where: Column | str | None = None, order: list[tuple[str, bool]] | None = None, limit: int | None = None, status: str = "complete", has_references: bool = True) -> Selection:
@@ -58,10 +60,14 @@ def select(source: DataFrame, view: str, columns: list[str] | None = None, where
     if view not in NEEDS_NO_ANALYSIS and status == "not_requested":
         raise ValueError("table requires an analysed snapshot")
     out, steps = source, [f"Scan({view})"]
-    if isinstance(where, str):
-        _check_types(view, where)
+    if isinstance(where, str) and re.search(r"\bselect\b", re.sub(_QUOTED, "", where), re.I):
+        raise ValueError("subqueries are not supported")
     if where is not None:
-        out = out.where(where)
+        try:
+            out = out.where(where)
+        except AnalysisException as error:
+            raise ValueError(f"the condition does not fit {view}: {error.getCondition()}") from error
+        _check_types(out)
         steps.append("Filter")
     matched = out
     ties = INPUT_ORDER[view]

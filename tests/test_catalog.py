@@ -4,7 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__
-from quarrylens.plans import catalog, catalog_programs, catalog_reviews  # noqa: F401 (they register their queries)
+from quarrylens.plans import catalog, catalog_programs, catalog_reviews, catalog_views  # noqa: F401 (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 
