@@ -60,8 +60,12 @@ def select(source: DataFrame, view: str, columns: list[str] | None = None, where
     if view not in NEEDS_NO_ANALYSIS and status == "not_requested":
         raise ValueError("table requires an analysed snapshot")
     out, steps = source, [f"Scan({view})"]
-    if isinstance(where, str) and re.search(r"\bselect\b", re.sub(_QUOTED, "", where), re.I):
-        raise ValueError("subqueries are not supported")
+    if isinstance(where, str):
+        bare = re.sub(_QUOTED, "", where)
+        if re.search(r"\bselect\b", bare, re.I):
+            raise ValueError("subqueries are not supported")
+        if fraction := re.search(r"(?<!\w)(?:\d+\.\d*|\.\d+)", bare):  # analysis may have rounded it
+            raise ValueError(f"type mismatch: {fraction[0]} is no integer")
     if where is not None:
         try:
             out = out.where(where)

@@ -246,3 +246,42 @@ def test_scores_that_some_seeds_lack_are_an_error(spark):
     assert got == {"m": (2, 0.5), "n": (0, None)}
     with pytest.raises(Exception, match="some seeds"):
         evaluation.score_summary(rows.withColumn("mode", F.lit("x")), ["mode"], "score").collect()
+
+
+def _prepared(spark, change=None):
+    rows = [(f"s{i}", f"g{i // 2}", i % 2, f"int f{i}() {{ return {i}; }}", None, None) for i in range(20)]
+    rows[0] = ("s0", "g0", 0, "int f0() { return 0; }", ["g0", "g9"], ["old"])
+    records = spark.createDataFrame(rows, "sample_id string, group_id string, label int, source string, source_groups array<string>, duplicate_ids array<string>")
+    place = lambda g: "train" if g in (0, 9, 1, 2, 3, 4) else "validation" if g == 5 else "test"
+    splits = spark.createDataFrame([(f"s{i}", place(i // 2)) for i in range(20)], "sample_id string, split string")
+    groups = spark.createDataFrame([(f"g{g}", place(g)) for g in range(9)], "group string, split string")
+    sizes = {s: sum(place(i // 2) == s for i in range(20)) // 2 for s in ("train", "validation", "test")}
+    counts = spark.createDataFrame([(s, n, n) for s, n in sizes.items()], "split string, n0 long, n1 long")
+    return records, splits, groups, counts
+
+
+def test_a_sound_data_set_and_its_faults(spark):
+    records, splits, groups, counts = _prepared(spark)
+    found = lambda r=records, s=splits, g=groups, c=counts, n=1, f=(0.6, 0.2): {p.problem for p in evaluation.dataset_problems(r, s, g, c, *f, n).collect()}
+    assert found() == set()
+    assert found(n=3) == {"duplicate count"}
+    assert found(f=(0.2, 0.2)) == {"groups of a split"}
+    assert found(s=splits.where("sample_id != 's3'")) == {"in no split", "class counts differ"}
+    moved = splits.withColumn("split", F.when(F.col("sample_id").isin("s18", "s19"), "test").otherwise(F.col("split")))
+    assert found(s=moved) == {"tied groups in several splits", "class counts differ", "groups differ"}
+    same = records.withColumn("source", F.when(F.col("sample_id") == "s13", F.lit("int f12() {  return 12; } // x")).otherwise(F.col("source")))
+    assert found(r=same) == {"source twice", "labels of a source differ"}
+    apart = records.withColumn("source", F.when(F.col("sample_id") == "s16", F.lit("int f0() { return 0; }")).otherwise(F.col("source")))
+    assert found(r=apart) == {"source twice", "source in several splits"}
+    copies = records.withColumn("duplicate_ids", F.when(F.col("sample_id") == "s4", F.array(F.lit("old"), F.lit("s5"))).otherwise(F.col("duplicate_ids")))
+    assert found(r=copies, n=3) == {"copy named twice", "copy is a record"}
+    assert found(g=groups.where("group != 'g7'")) == {"groups differ"}
+    one = records.withColumn("label", F.when(F.col("sample_id").isin(*[f"s{i}" for i in (*range(10), 18, 19)]), 1).otherwise(F.col("label")))
+    assert found(r=one) == {"training lacks a class", "class counts differ"}
+
+
+def test_project_duplicates_over_files(spark):
+    files = spark.createDataFrame([("a", '#include <x.h>\nint a = 1;\nint  a=1;\n}\n'), ("b", '#include "x.h"\nint a = 1; // c\n'), ("c", None)], "file string, text string")
+    got = lexical.project_duplicates(files).first()
+    assert (got.n, got.duplicated, got.include_count) == (5, 2, 1)
+    assert tuple(lexical.project_duplicates(files.limit(0)).first()) == (0, 0, 0)

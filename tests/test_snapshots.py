@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -147,7 +149,7 @@ def test_inventory_holds_empty_files_and_ignores_folders_in_any_case(spark, tmp_
 
 def test_conditions_compare_like_with_like(spark):
     source = spark.createDataFrame([], snapshots.VIEWS["files"])
-    for bad in ("lines = '2'", "file < 3", "lines > (SELECT 1)"):
+    for bad in ("lines = '2'", "'2' = lines", "lines IN ('2')", "lines LIKE '2'", F.col("lines") == "2", "file < 3", "lines > 1.5", F.col("lines") + F.lit(0.5) > 2, "lines = NULL", "lines > (SELECT 1)", "missing = 1", "lines"):
         with pytest.raises(ValueError):
             select(source, "files", None, bad)
     assert select(source, "files", None, "file = 'lines = 2' AND lines = 2").frame.count() == 0
@@ -223,3 +225,32 @@ def test_of_concurrent_writers_of_one_id_one_publishes(spark, files, tmp_path):
     assert len(won) == 1 and store.manifest().count() == 1
     assert store.read(5, "files").count() == won[0]
     assert [snapshots.create_once(spark, f"file://{tmp_path}/once", x) for x in "ab"] == [True, False]
+
+
+def test_every_view_from_its_relations(spark):
+    from quarrylens.sources import views
+
+    rel = {
+        "file": spark.createDataFrame([(1, "a.c", "C", "h", Decimal(5), None, 2), (2, "b.c", "C", "h", Decimal(5), 0, 2)], "scan_id long, path string, language string, hash string, size decimal(20,0), mtime long, lines int"),
+        "symbol": spark.createDataFrame([(1, "u", "function", "f", "a.c", 1, 2, True, False)], "scan_id long, usr string, kind string, name string, file string, line int, col int, definition boolean, external boolean"),
+        "function_metric": spark.createDataFrame([(1, "u", 3, 1, 2, None, 0, 0)], "scan_id long, usr string, lines int, parameters int, complexity int, max_nesting int, fan_in int, fan_out int"),
+        "build_run": spark.createDataFrame([(9, 1, "r")], "id long, scan_id long, root string"),
+        "build_step": spark.createDataFrame([(9, 0, "configure", "passed", 0, 12, -1, -1, -1, "all")], "run_id long, ordinal int, name string, status string, exit_code int, duration_ms long, tests_total int, tests_failed int, tests_skipped int, target string"),
+    }
+    of = lambda v: [tuple(r) for r in views.logical_view(v, rel, 1).select(*snapshots.VIEWS[v].names).collect()]
+    assert of("files") == [("a.c", "C", 2, 5, -1, "h")]
+    assert of("symbols") == [("f", "a.c", 1, 2, "function", 1, 0, "u")]
+    assert of("functions") == [("f", "a.c", 1, 2, 3, 1, "u", -1, 0, 0)]
+    assert of("builds") == [(9, 1, "configure", "passed", 0, 12, -1, -1, -1, "all")]
+    with pytest.raises(ValueError, match="no relation symbol_reference"):
+        of("references")
+    with pytest.raises(ValueError, match="unknown table"):
+        views.logical_view("secrets", rel)
+    rel["file"] = rel["file"].withColumn("size", F.lit("18446744073709551615").cast("decimal(20,0)"))
+    with pytest.raises(PySparkException):
+        of("files")
+    rel["symbol"] = rel["symbol"].limit(0)
+    with pytest.raises(PySparkException, match="missing symbol"):
+        of("functions")
+    orphan = views.metrics_with_symbols(rel["function_metric"].withColumnRenamed("usr", "symbol_id"), rel["symbol"].withColumnRenamed("usr", "symbol_id"))
+    assert [(r.name, r.place) for r in orphan.collect()] == [("u", "")]
