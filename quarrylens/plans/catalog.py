@@ -6,6 +6,7 @@ symbols, line items as per-unit facts, documents as files, ...).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -435,7 +436,10 @@ def rebased_paths(spark, d):
     return p.select("page_id", inventory.rebase(F.col("url"), "https://m.", "/moved").alias("url"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, text, hex(encode(text)) AS x FROM documents),
+ s AS (SELECT doc_id, text, list_concat([14695981039346656037::HUGEINT], list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS HUGEINT))) AS l FROM b)
+ SELECT doc_id, 'fnv1a64-v1:' || format('{:016x}', CAST(list_reduce(l, lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) AS UBIGINT)) AS hash,
+ CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS lines FROM s""")
 def fnv_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", inventory.fnv1a64(F.col("text").cast("binary")).alias("hash"), inventory.line_count(F.col("text").cast("binary")).alias("lines"))
 
@@ -619,7 +623,13 @@ def change_counts(spark, d):
     return reports.status_counts(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
-@query()
+# The tokens without raw strings, which documents do not hold: their closing mark names the opening one.
+_RAW_STRING = re.compile(r'\|\(\?:u8\|u\|U\|L\)\?R"\(\?<delim>.*?\\k<delim>"')
+_PLAIN_TOKENS = _RAW_STRING.sub("", dataset.TOKENS).replace("*+", "*").replace(r"\w", r"[\p{L}\p{M}\p{N}\p{Pc}]")
+
+
+@query(f"""SELECT doc_id, sha256(CASE WHEN contains(text, '#') OR contains(text, chr(92) || chr(10)) OR contains(text, chr(92) || chr(13) || chr(10)) THEN text
+ ELSE array_to_string(list_filter(regexp_extract_all(text, '{_PLAIN_TOKENS.replace("'", "''")}'), lambda t: NOT starts_with(t, '//') AND NOT starts_with(t, '/*')), ' ') END) AS hash FROM documents""")
 def canonical_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", dataset.canonical_hash(F.col("text")).alias("hash"))
 
