@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quarrylens.operators.evaluation import confusion, score_summary
 from quarrylens.operators.facts import same_rows
 
 #: The modes of a run, and the parameters of a plan that all its runs share.
@@ -107,3 +108,72 @@ def detect(rows: DataFrame, detectors: dict[str, Detector]) -> DataFrame:
     p = F.col("probability")
     sure = F.when(p.isNull() | F.isnan(p) | ~p.between(0, 1), F.raise_error(F.concat(F.lit("a probability outside 0 to 1 for "), F.coalesce("sample_id", F.lit("?"))))).otherwise(p)
     return reduce(DataFrame.unionByName, found).withColumn("probability", sure)
+
+
+# Summaries -----------------------------------------------------------------------------------------------------------
+
+SCORED = ("precision", "recall", "f1", "accuracy")
+
+
+def localisation(rows: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3, 5), threshold: float = 0.5) -> DataFrame:
+    """``by`` and, for each k, the share of positives with known lines whose first k ranked lines hold one (``top_k``), and
+    that were also predicted (``end_to_end_top_k``); null where no row of ``by`` has a ranking, or none is eligible. Rows:
+    label, probability, truth (array), ranked (array or null)."""
+    eligible = (F.col("label") == 1) & (F.size("truth") > 0)
+    hit = lambda k: eligible & F.coalesce(F.arrays_overlap("truth", F.slice("ranked", 1, k)), F.lit(False))
+    found = F.col("probability") >= threshold
+    counts = [F.count_if(c).alias(n) for k in ks for c, n in ((hit(k), f"top_{k}"), (hit(k) & found, f"end_to_end_top_{k}"))]
+    out = rows.groupBy(*by).agg(F.count_if(eligible).alias("_n"), F.max(F.col("ranked").isNotNull()).alias("_ranked"), *counts)
+    share = lambda c: F.when(F.col("_ranked") & (F.col("_n") > 0), F.col(c) / F.col("_n")).alias(c)
+    return out.select(*by, *[share(f"{p}top_{k}") for p in ("", "end_to_end_") for k in ks])
+
+
+def summarize_runs(predictions: DataFrame, records: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Of runs over one test set: (mode, score, n, mean, std, least, most) over the seeds, and the cases. predictions: mode,
+    seed, sample_id, probability, ranked; records: sample_id, label, group_id, truth (array).
+
+    Cases: mode, sample_id, group_id, label, false_positive_runs, false_negative_runs, error_runs, total_runs and the
+    probabilities by seed. A sample that a run predicts twice or not at all, or that is no record, is an error when read.
+    """
+    n_records = records.count()
+    said = F.concat_ws(" ", F.lit("run"), "mode", F.col("seed").cast("string"), F.lit("does not predict each record once"))
+    counted = predictions.join(records.select("sample_id", F.lit(1).alias("_k")), "sample_id", "left").groupBy("mode", "seed").agg(F.count(F.lit(1)).alias("_n"), F.count("_k").alias("_known"), F.count_distinct("sample_id").alias("_d"))
+    sound = F.when((F.col("_n") != n_records) | (F.col("_known") != n_records) | (F.col("_d") != n_records), F.raise_error(said)).otherwise(F.col("mode"))
+    checked = predictions.join(counted.withColumn("_sure", sound), ["mode", "seed"]).withColumn("mode", F.col("_sure")).drop("_n", "_known", "_d", "_sure")
+    rows = checked.join(records, "sample_id")
+    scores = confusion(rows, threshold, ["mode", "seed"]).join(localisation(rows, ["mode", "seed"], threshold=threshold), ["mode", "seed"])
+    names = [c for c in scores.columns if c in SCORED or "top_" in c]
+    long = scores.select("mode", F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in names])).alias("x")).select("mode", "x.*")
+    wrong = (F.col("probability") >= threshold) != (F.col("label") == 1)
+    seeds = F.transform(F.array_sort(F.collect_list(F.struct("seed", "probability"))), lambda x: x["probability"])  # a value a seed
+    cases = rows.groupBy("mode", "sample_id").agg(
+        F.first("group_id").alias("group_id"), F.first("label").alias("label"), F.count_if(wrong & (F.col("label") != 1)).alias("false_positive_runs"), F.count_if(wrong & (F.col("label") == 1)).alias("false_negative_runs"),
+        F.count_if(wrong).alias("error_runs"), F.count(F.lit(1)).alias("total_runs"), seeds.alias("probabilities"),
+    )
+    return score_summary(long, ["mode", "score"], "value"), cases.orderBy("mode", F.desc("error_runs"), "sample_id")
+
+
+def summary_rows(models: DataFrame, scores: tuple[str, ...] = (*SCORED, "top_1", "end_to_end_top_1")) -> DataFrame:
+    """mode and its row of a Markdown table: mean and sample deviation of each score, ``unsupported`` without a mean."""
+    number = lambda c: F.format_string("%.3f", c)
+    shown = F.when(F.col("mean").isNull(), "unsupported").otherwise(F.concat(number("mean"), F.lit(" ± "), F.when(F.col("std").isNull(), "?").otherwise(number("std"))))
+    wide = models.groupBy("mode").agg(*[F.max(F.when(F.col("score") == c, shown)).alias(c) for c in scores])
+    safe = F.replace(F.replace(F.col("mode"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return wide.select("mode", F.concat(F.lit("| "), F.concat_ws(" | ", safe, *scores), F.lit(" |")).alias("line"))
+
+
+def audit_runs(predictions: DataFrame, reloaded: DataFrame, findings: DataFrame, stored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """What does not agree, as (problem, item): predictions (sample_id, file, probability, ranked) and the same after a reload;
+    those at or above the threshold and the findings (file, detector, confidence, line; of ``model``) of a scan, one a
+    file; the findings of each detector and the counts (detector, n) that were stored."""
+    said = lambda df, p, c: df.select(F.lit(p).alias("problem"), F.col(c).cast("string").alias("item"))
+    cols = ["sample_id", "file", "probability", "ranked"]
+    want = predictions.where(F.col("probability") >= threshold).select("file", F.col("probability").alias("p"), F.get("ranked", F.lit(0)).alias("l"))
+    both = want.join(findings.where("detector = 'model'"), "file", "full")
+    off = ~(F.col("p").eqNullSafe(F.col("confidence")) & F.col("l").eqNullSafe(F.col("line")))
+    counts = findings.groupBy("detector").agg(F.count(F.lit(1)).alias("found")).join(stored, "detector", "full")
+    found = [
+        said(same_rows(predictions.select(*cols), reloaded.select(*cols)), "changed by the reload", "sample_id"), said(predictions.groupBy("file").count().where("count > 1"), "several functions of a file", "file"),
+        said(both.where(off), "scan and prediction differ", "file"), said(counts.where(~F.col("found").eqNullSafe(F.col("n"))), "stored count differs", "detector"),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()

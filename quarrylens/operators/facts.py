@@ -188,13 +188,20 @@ def unit_reasons(covers_before: DataFrame, units_before: DataFrame, covers_after
     return rows.withColumn("r", reason).groupBy("file").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("ord"))).alias("unit_reason"), F.count(F.lit(1)).alias("contributors"))
 
 
+def _single(df: DataFrame, what: str) -> DataFrame:
+    """The one row of ``df``: an aggregate, so never more than one; an error when read if there were none or several."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_s"))
+    sure = F.when(F.col("_n") != 1, F.raise_error(F.lit(f"{what} need one row a scan"))).otherwise(F.col("_s"))
+    return one.select(sure.alias("_s")).select("_s.*")
+
+
 def absence_context(before: DataFrame, files_after: DataFrame, units_before: DataFrame, covers_before: DataFrame, units_after: DataFrame, covers_after: DataFrame, settings_before: DataFrame, settings_after: DataFrame) -> DataFrame:
     """What ``absence`` looks at, for each old issue (ord, file, rule_id): a row per ord, named b.
 
-    Units: unit, ord, status, fingerprint; covers: unit, file. Settings, one row a scan: policy, requested, configured,
-    disabled (array of rules), revision.
+    Units: unit, ord, status, fingerprint; covers: unit, file. Settings, one row a scan (else an error): policy, requested,
+    configured, disabled (array of rules), revision.
     """
-    old, new = (s.select(*[F.col(c).alias(f"{c}_{side}") for c in ("policy", "requested", "configured", "disabled", "revision")]) for s, side in ((settings_before, "before"), (settings_after, "after")))
+    old, new = (_single(s.select(*[F.col(c).alias(f"{c}_{side}") for c in ("policy", "requested", "configured", "disabled", "revision")]), f"the settings {side}") for s, side in ((settings_before, "before"), (settings_after, "after")))
     out = before.select(F.col("ord").alias("b"), "file", "rule_id").join(files_after.select("file").distinct().withColumn("_in", F.lit(True)), "file", "left")
     out = out.join(units_after.select(F.col("unit").alias("file"), F.col("status").alias("own_unit")), "file", "left")
     out = out.join(unit_reasons(covers_before, units_before, covers_after, units_after), "file", "left")

@@ -18,6 +18,7 @@ from quarrylens.operators.evaluation import group_links
 from quarrylens.operators.graph import components
 from quarrylens.operators.order import positions, positions_within
 from quarrylens.sources.shared import materialize
+from quarrylens.sources.sinks import write_with_manifest
 
 #: The classes and flow variants that are taken, how a candidate's file and its functions look, and why a
 #: candidate is rejected (the first that holds, in this order).
@@ -170,3 +171,26 @@ def pair_groups(extracted: DataFrame) -> DataFrame:
     keys = functions.select(F.col("family").alias("group_id"), F.explode(F.array(F.concat(F.lit("exact:"), "p.canonical_sha256"), F.concat(F.lit("clone:"), "p.template_sha256"))).alias("key"))
     found = components(group_links(keys, F.col("key")))
     return functions.select("family").distinct().join(found.select(F.col("node").alias("family"), F.col("root").alias("_c")), "family", "left").select("family", F.coalesce("_c", "family").alias("group"))
+
+
+def pair_tables(extracted: DataFrame, selection: DataFrame) -> dict[str, DataFrame]:
+    """What a corpus of the selected cases holds: ``functions`` (file, code), ``labels`` (sample_id, file, function, label,
+    group_id, family, source_file, cwe) and ``provenance`` (sample_id, source_file, original_function, its line, line_map,
+    renamed names and hashes)."""
+    chosen = extracted.join(selection.where("status = 'selected'").select("source_file"), "source_file", "left_semi")
+    rows = chosen.join(pair_groups(chosen), "family").select("source_file", "cwe", "family", "group", F.explode("pair").alias("p")).select("*", "p.*")
+    own = F.sha2(F.concat_ws(":", "source_file", "original_function"), 256)
+    rows = rows.withColumn("sample_id", own).withColumn("file", F.concat(F.lit("functions/"), F.substring(own, 1, 24), F.lit(".c")))
+    return {
+        "functions": rows.select("file", "code"),
+        "labels": rows.select("sample_id", "file", F.lit("process").alias("function"), "label", F.concat(F.lit("family-"), F.substring(F.sha2("group", 256), 1, 24)).alias("group_id"), "family", "source_file", "cwe"),
+        "provenance": rows.select("sample_id", "source_file", "original_function", "original_line", "line_map", "names", "canonical_sha256", "template_sha256", F.sha2("code", 256).alias("code_sha256")),
+    }
+
+
+def write_pairs(extracted: DataFrame, selection: DataFrame, folder: str, facts: dict | None = None) -> dict:
+    """The selected cases as a corpus with its manifest, whose facts count the cases by status; the rejected ones, with
+    their reasons, are a table of their own."""
+    counts = {r.status: r["count"] for r in selection.groupBy("status").count().collect()}  # three rows at most
+    tables = {**pair_tables(extracted, selection), "rejected": selection.where("status = 'rejected'").select("source_file", "cwe", "reason")}
+    return write_with_manifest(tables, folder, {"cases": counts, **(facts or {})})

@@ -121,3 +121,16 @@ def line_at(text: Column, offset: Column) -> Column:
     """The line, from 1, of a character offset."""
     before = F.substring(text, F.lit(1), offset.cast("int"))
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+#: The file that is looked for, how deep, and folders that are left out.
+COMMAND_FILE, COMMAND_DEPTH, NOT_SEARCHED = "compile_commands.json", 3, (".git", ".venv", ".venv-ml", "node_modules")
+
+
+def command_files(spark: SparkSession, root: str, depth: int = COMMAND_DEPTH) -> DataFrame:
+    """path of the compile-command files at most ``depth`` folders below ``root``, by Spark's own (parallel) listing. Files
+    without content hold no commands and are left out; a root without any gives no rows."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", COMMAND_FILE).load(root).select("path")
+    inner = F.regexp_replace(F.regexp_replace("path", r"^\w+:/+", "/"), "^" + re.escape(re.sub(r"^\w+:/+", "/", root.rstrip("/"))) + "/", "")
+    parts = F.split(inner, "/")
+    return found.where((F.size(parts) <= depth + 1) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in NOT_SEARCHED]))).orderBy("path")

@@ -79,3 +79,39 @@ def test_detectors_that_do_not_fit(spark):
         experiments.detect(rows, {"d": high}).collect()
     with pytest.raises(ValueError):
         experiments.detect(rows, {})
+
+
+def _runs(spark):
+    records = spark.createDataFrame([("a", 1, "g1", [3]), ("b", 1, "g1", []), ("c", 0, "g2", []), ("d", 0, "g3", [])], "sample_id string, label int, group_id string, truth array<int>")
+    probabilities = {("gnn", 1): [0.9, 0.2, 0.1, 0.7], ("gnn", 2): [0.8, 0.9, 0.2, 0.6], ("sequence", 1): [0.6, 0.6, 0.6, 0.6]}
+    rows = [(m, s, i, p, None if m == "sequence" else [s, 3]) for (m, s), ps in probabilities.items() for i, p in zip("abcd", ps, strict=True)]
+    return spark.createDataFrame(rows, "mode string, seed int, sample_id string, probability double, ranked array<int>"), records
+
+
+def test_runs_are_summarised_over_seeds(spark):
+    predictions, records = _runs(spark)
+    models, cases = experiments.summarize_runs(predictions, records)
+    got = {(r["mode"], r.score): (r.n, r.mean, r.std) for r in models.collect()}
+    assert got["gnn", "accuracy"] == (2, 0.625, pytest.approx(0.1767766952966369)) and got["gnn", "recall"][1] == 0.75
+    assert got["gnn", "top_1"][:2] == (2, 0) and got["gnn", "top_3"][:2] == (2, 1) and got["sequence", "top_1"] == (0, None, None)
+    case = {(r["mode"], r.sample_id): r for r in cases.collect()}
+    d, b = case["gnn", "d"], case["gnn", "b"]
+    assert (d.false_positive_runs, d.false_negative_runs, d.error_runs, d.total_runs, d.probabilities) == (2, 0, 2, 2, [0.7, 0.6])
+    assert (b.false_negative_runs, b.group_id) == (1, "g1")
+    assert [(r["mode"], r.sample_id) for r in cases.collect()] == [("gnn", "d"), ("gnn", "b"), ("gnn", "a"), ("gnn", "c"), ("sequence", "c"), ("sequence", "d"), ("sequence", "a"), ("sequence", "b")]
+    lines = {r["mode"]: r.line for r in experiments.summary_rows(models).collect()}
+    assert lines["sequence"] == "| sequence | 0.500 ± ? | 1.000 ± ? | 0.667 ± ? | 0.500 ± ? | unsupported | unsupported |" and lines["gnn"].startswith("| gnn | 0.")
+    for wrong in (predictions.where("sample_id != 'a' or seed = 2"), predictions.unionByName(predictions.limit(1)), predictions.withColumn("sample_id", F.concat("sample_id", F.lit("x")))):
+        with pytest.raises(Exception, match="each record once"):
+            experiments.summarize_runs(wrong, records)[0].collect()
+
+
+def test_an_audit_finds_what_differs(spark):
+    schema = "sample_id string, file string, probability double, ranked array<int>"
+    predictions = spark.createDataFrame([("a", "a.c", 0.9, [4]), ("b", "b.c", 0.2, [1]), ("c", "c.c", 0.7, [2, 1])], schema)
+    findings = spark.createDataFrame([("a.c", "model", 0.9, 4), ("c.c", "model", 0.7, 2), ("b.c", "rule", 1.0, 1)], "file string, detector string, confidence double, line int")
+    stored = spark.createDataFrame([("model", 2), ("rule", 1)], "detector string, n long")
+    assert experiments.audit_runs(predictions, predictions, findings, stored).collect() == []
+    other = predictions.withColumn("probability", F.when(F.col("sample_id") == "b", 0.21).otherwise(F.col("probability")))
+    got = experiments.audit_runs(predictions, other, findings.where("file != 'c.c'"), stored.where("n = 2"))
+    assert {tuple(r) for r in got.collect()} == {("changed by the reload", "b"), ("scan and prediction differ", "c.c"), ("stored count differs", "model"), ("stored count differs", "rule")}

@@ -63,3 +63,28 @@ def test_an_empty_table(spark, frames, tmp_path):
     summary = sinks.write_with_manifest({"graphs": frames[0].limit(0)}, f"file://{tmp_path}/none")
     assert summary["tables"]["graphs"]["rows"] == 0 and summary["tables"]["graphs"]["sha256"] is None
     assert sinks.read_verified(spark, f"file://{tmp_path}/none", "graphs", frames[0].schema).count() == 0
+
+
+def test_a_pair_corpus_and_its_manifest(spark, tmp_path):
+    from test_programs import CASE
+
+    from quarrylens.operators import pairs
+
+    rows = [(f"t/CWE121_Stack__x_01.c", 121, CASE), ("t/CWE121_Other__y_01.c", 121, "")]
+    extracted = pairs.extract_pairs(spark.createDataFrame(rows, "source_file string, cwe int, text string"))
+    selection = pairs.select_cases(extracted, 5)
+    summary = pairs.write_pairs(extracted, selection, f"file://{tmp_path}/c", {"seed": 42})
+    assert summary["cases"] == {"selected": 1, "rejected": 1} and {k: v["rows"] for k, v in summary["tables"].items()} == {"functions": 2, "labels": 2, "provenance": 2, "rejected": 1}
+    labels = sinks.read_verified(spark, f"file://{tmp_path}/c", "labels", "sample_id string, file string, label int, group_id string").collect()
+    code = {r.file: r.code for r in sinks.read_verified(spark, f"file://{tmp_path}/c", "functions", "file string, code string").collect()}
+    assert {r.label for r in labels} == {0, 1} and len({r.group_id for r in labels}) == 1 and all("void process(void)" in code[r.file] for r in labels)
+
+
+def test_command_files_near_the_root(spark, tmp_path):
+    from quarrylens.sources import inventory
+
+    for place in ("", "a/b/c", "a/b/c/d", ".git", "x/node_modules/y", "build"):
+        os.makedirs(tmp_path / place, exist_ok=True)
+        (tmp_path / place / "compile_commands.json").write_text("[]" if place else "")
+    got = [r.path.split(tmp_path.name, 1)[1] for r in inventory.command_files(spark, f"file://{tmp_path}").collect()]
+    assert got == ["/a/b/c/compile_commands.json", "/build/compile_commands.json"]
