@@ -52,6 +52,14 @@ def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def join_labels(graphs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Graphs with their labels on file and function, and on signature where the label gives one; those that match nothing
+    are left out (see ``labels_one_to_one``)."""
+    lab = labels.select(F.col("file").alias("_f"), F.col("function").alias("_n"), F.col("signature").alias("_s"), *[c for c in labels.columns if c not in ("file", "function", "signature")])
+    on = (F.col("file") == F.col("_f")) & (F.col("function") == F.col("_n")) & (F.col("_s").isNull() | (F.col("signature") == F.col("_s")))
+    return graphs.join(lab, on).drop("_f", "_n", "_s")
+
+
+def labels_one_to_one(graphs: DataFrame, labels: DataFrame) -> DataFrame:
     """Graphs with their labels on file and function, and on signature where the label gives one. Graphs and labels must
     match one to one: a graph without a label or with several, a label of several graphs (say its signature) or of none
     is an error when read. Null files or functions match nothing. Both sides are written once, numbered."""

@@ -99,7 +99,7 @@ def joined_labels(spark, d):
     labels = table(spark, d, "labels")
     graphs = table(spark, d, "documents").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("source").alias("file"), F.col("doc_id").cast("string").alias("function"), F.col("lang").alias("signature"))
     own = labels.join(table(spark, d, "documents"), "doc_id").select(F.col("source").alias("file"), F.col("doc_id").cast("string").alias("function"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("signature"), F.col("quality").alias("label"))
-    return dataset.join_labels(graphs, own).select("doc_id", "label")
+    return dataset.labels_one_to_one(graphs, own).select("doc_id", "label")
 
 
 _V = {"schema_version": 3, "node_fields": 5, "node_ids": 7, "explicit_edges": 11, "source_groups": 13, "split_group": 17, "duplicate_ids": 19, "canonical_hash": 23}

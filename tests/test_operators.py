@@ -202,17 +202,17 @@ def test_readers_and_checks(spark, tmp_path):
     assert [(r.signature, r.label) for r in dataset.join_labels(graphs, labels).collect()] == [("int a(int)", 1)]
 
 
-def test_join_labels_is_one_to_one(spark):
+def test_labels_one_to_one(spark):
     schema = "file string, function string, signature string"
     graphs = spark.createDataFrame([("a", "f", "f()"), ("a", "g", None), ("b", "f", "f()")], schema)
     lab = lambda rows: spark.createDataFrame(rows, schema + ", sample_id string, label int")
     good = [("a", "f", None, "1", 0), ("a", "g", None, "2", 1), ("b", "f", "f()", "3", 1)]
-    assert {(r.file, r.function, r.sample_id) for r in dataset.join_labels(graphs, lab(good)).collect()} == {("a", "f", "1"), ("a", "g", "2"), ("b", "f", "3")}
+    assert {(r.file, r.function, r.sample_id) for r in dataset.labels_one_to_one(graphs, lab(good)).collect()} == {("a", "f", "1"), ("a", "g", "2"), ("b", "f", "3")}
     for rows, message in ((good[:2], "without a label"), ([*good, good[0]], "several labels"), ([*good, ("z", "z", None, "4", 0)], "label without a graph")):
         with pytest.raises(Exception, match=message):
-            dataset.join_labels(graphs, lab(rows)).collect()
+            dataset.labels_one_to_one(graphs, lab(rows)).collect()
     with pytest.raises(Exception, match="label of several graphs"):
-        dataset.join_labels(graphs.unionByName(graphs.limit(1)), lab(good)).collect()
+        dataset.labels_one_to_one(graphs.unionByName(graphs.limit(1)), lab(good)).collect()
 
 
 def test_auc_of_many_distinct_scores_equals_its_ranks(spark):
