@@ -285,3 +285,17 @@ def test_project_duplicates_over_files(spark):
     got = lexical.project_duplicates(files).first()
     assert (got.n, got.duplicated, got.include_count) == (5, 2, 1)
     assert tuple(lexical.project_duplicates(files.limit(0)).first()) == (0, 0, 0)
+
+
+def test_settings_of_a_scan_are_one_row(spark):
+    one = spark.createDataFrame([(1, ["x"])], "a int, b array<string>")
+    assert [tuple(r) for r in facts._single(one, "the settings").collect()] == [(1, ["x"])]
+    for wrong in (one.limit(0), one.unionByName(one)):
+        with pytest.raises(Exception, match="one row a scan"):
+            facts._single(wrong, "the settings").collect()
+
+
+def test_error_cases_in_rank_order(spark):
+    rows = spark.createDataFrame([("a", 1, 0.1, 1), ("a", 2, 0.2, 1), ("b", 1, 0.9, 0), ("c", 1, 0.9, 1)], "sample_id string, seed int, probability double, label int")
+    got = [(r.sample_id, r.errors, r.fp, r["fn"], r.seeds) for r in evaluation.rank_errors(evaluation.error_cases(rows)).collect()]
+    assert got == [("a", 2, 0, 2, "1,2"), ("b", 1, 1, 0, "1")]
