@@ -207,10 +207,18 @@ def newest_builds(runs: DataFrame, steps: DataFrame, logs: bool = False, limit:
 
 
 def save_build(manifest: DataFrame, run: DataFrame, steps: DataFrame, folder: str) -> None:
-    """Append a build run and its steps; its scan must be saved for the same root."""
+    """Save a build run and its steps; its scan must be saved for the same root, and the run's id must be new. Steps go
+    first, to a folder of their run, and over what a broken attempt left there; the run, without which no reader sees
+    them, last. So a save that failed can be repeated."""
     if run.join(manifest, ["scan_id", "root"], "left_anti").limit(1).count():
         raise ValueError("the scan of a build run is not saved for its root")
-    steps.write.mode("append").parquet(f"{folder}/build_step")
+    try:
+        saved = run.sparkSession.read.schema(run.schema).parquet(f"{folder}/build_run")
+    except AnalysisException:
+        saved = run.limit(0)
+    if run.join(saved, "run_id", "left_semi").limit(1).count():
+        raise ValueError("a build run of this id is already saved")
+    steps.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{folder}/build_step")
     run.write.mode("append").parquet(f"{folder}/build_run")
 
 

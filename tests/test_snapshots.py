@@ -165,6 +165,24 @@ def test_build_needs_its_scan(spark, tmp_path):
         save_build(manifest, run("/other"), steps, str(tmp_path / "b"))
     save_build(manifest, run("/p"), steps, str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b/build_step")).count() == 1
+    with pytest.raises(ValueError, match="already saved"):
+        save_build(manifest, run("/p"), steps, str(tmp_path / "b"))
+
+
+def test_a_build_whose_run_was_not_written_can_be_saved_again(spark, tmp_path):
+    from quarrylens.sources.snapshots import builds_view, save_build
+
+    folder = str(tmp_path / "b")
+    manifest = spark.createDataFrame([(1, "/p")], "scan_id long, root string")
+    run = lambda i: spark.createDataFrame([(i, 1, "/p")], "run_id long, scan_id long, root string")
+    steps = lambda i, *names: spark.createDataFrame([(i, k, n) for k, n in enumerate(names)], "run_id long, ordinal long, stage string")
+    save_build(manifest, run(4), steps(4, "configure"), folder)
+    with pytest.raises(Exception):  # noqa: B017 (the run's write fails, its steps are there)
+        save_build(manifest, run(5).withColumn("run_id", F.when(F.rand() < 2, F.raise_error(F.lit("lost")).cast("long"))), steps(5, "configure", "build", "test"), folder)
+    spark.createDataFrame([(5, 9, "left over")], "run_id long, ordinal long, stage string").write.mode("append").partitionBy("run_id").parquet(f"{folder}/build_step")
+    save_build(manifest, run(5), steps(5, "configure", "build"), folder)
+    got = builds_view(spark.read.parquet(f"{folder}/build_run"), spark.read.parquet(f"{folder}/build_step"))
+    assert sorted((r.run_id, r.ordinal, r.stage) for r in got.collect()) == [(4, 0, "configure"), (5, 0, "configure"), (5, 1, "build")]
 
 
 def _tables(spark, files):
