@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import uuid
 import zlib
@@ -48,14 +49,14 @@ def _record(kind: str, headers: list[tuple[str, str]], body: bytes) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + _CRLF + body + _CRLF + _CRLF
 
 
-def _clean(url: str | None) -> str:
-    return re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}" if ord(m[0]) < 256 else " ", url or "")
+def _clean(url: str) -> str:
+    return re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}" if ord(m[0]) < 256 else " ", url)
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYTES, per_file: int = 64 << 20) -> DataFrame:
     """Write three records per page below ``folder``: a request, a response (or a revisit without payload), and a
-    metadata record with the page_id, url and payload size, the first and last concurrent to the second. Each
-    record is a gzip member of its own. Returns the manifest of files (Parquet below ``folder``); a file gets a
+    metadata record with the page_id, url (a JSON string; none if null) and payload size, the first and last concurrent to
+    the second. A target URI has its white space escaped; a null url has none. Each record is a gzip member of its own. Returns the manifest of files (Parquet below ``folder``); a file gets a
     fresh name at each attempt and only files in the manifest count.
     """
     spark = pages.sparkSession
@@ -71,9 +72,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYT
                     path, size, n = f"{root}/captures-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(path, compression=None)
                 kind = "response" if first is None else "revisit"
-                own, target = _urn(page_id, digest, kind), ("WARC-Target-URI", _clean(url))
+                own, target = _urn(page_id, digest, kind), [] if url is None else [("WARC-Target-URI", _clean(url))]
                 b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-                headers = [("WARC-Record-ID", own), target, ("WARC-Payload-Digest", f"sha1:{b32}")]
+                headers = [("WARC-Record-ID", own), *target, ("WARC-Payload-Digest", f"sha1:{b32}")]
                 if first is None:
                     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
                 else:
@@ -81,11 +82,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYT
                     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(first, digest, "response"))]
                 headers.append(("Content-Type", "application/http; msgtype=response"))
                 fields = f"page-id: {'null' if page_id is None else page_id}\r\npayload-bytes: {len(payload)}\r\n".encode()
+                if url is not None:
+                    fields += f"url: {json.dumps(url)}\r\n".encode()
                 linked = ("WARC-Concurrent-To", own)
                 for record in (
-                    _record("request", [("WARC-Record-ID", _urn(page_id, digest, "request")), target, linked, ("Content-Type", "application/http; msgtype=request")], f"GET {_clean(url)} HTTP/1.1\r\n\r\n".encode()),
+                    _record("request", [("WARC-Record-ID", _urn(page_id, digest, "request")), *target, linked, ("Content-Type", "application/http; msgtype=request")], f"GET {_clean(url or '/')} HTTP/1.1\r\n\r\n".encode()),
                     _record(kind, headers, body),
-                    _record("metadata", [("WARC-Record-ID", _urn(page_id, digest, "metadata")), target, linked, ("Content-Type", "application/warc-fields")], fields),
+                    _record("metadata", [("WARC-Record-ID", _urn(page_id, digest, "metadata")), *target, linked, ("Content-Type", "application/warc-fields")], fields),
                 ):
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = member.compress(record) + member.flush()
@@ -106,19 +109,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYT
 
 
 def _stream(file, step: int = 1 << 20):
-    """The uncompressed bytes of a file of gzip members, in parts."""
-    inflate = zlib.decompressobj(31)
+    """The uncompressed bytes of a file of gzip members, in parts. A file that ends within a member is an error."""
+    inflate, within = zlib.decompressobj(31), False
     while data := file.read(step):
         while data:
+            within = True
             if part := inflate.decompress(data):
                 yield part
             data = inflate.unused_data
             if inflate.eof:
-                inflate = zlib.decompressobj(31)
+                inflate, within = zlib.decompressobj(31), False
+    if within:
+        raise EOFError("the archive ends within a gzip member")
 
 
 def parse(parts):
-    """The records of a WARC stream given in parts, as (headers, body)."""
+    """The records of a WARC stream given in parts, as (headers, body). A stream that ends within a record is an error."""
     held = bytearray()
     parts = iter(parts)
 
@@ -133,28 +139,31 @@ def parse(parts):
     while True:
         while (end := held.find(b"\r\n\r\n")) < 0:
             if not fill(len(held) + 1):
+                if held:
+                    raise EOFError("the archive ends within the headers of a record")
                 return
         lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(headers.get("content-length", 0))
-        if not fill(end + 4 + size):
-            return
+        if not fill(end + 4 + size + 4):
+            raise EOFError(f"the archive ends within record {headers.get('warc-record-id')}")
         yield headers, bytes(held[end + 4 : end + 4 + size])
-        fill(end + 4 + size + 4)
         del held[: end + 4 + size + 4]
 
 
 def read_records(spark: SparkSession, folder: str, batch_bytes: int = 8 << 20) -> DataFrame:
     """A row per record of the archives in the manifest. ``body`` of a response is its payload, of the others
-    their whole block."""
+    their whole block. An archive that ends within a record, or holds other than three records for each capture of the
+    manifest (as one cut between two records does), is an error."""
 
     def run(batches):
         store, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for path, captures in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, size, n = [], 0, 0
                 with store.open_input_stream(path, compression=None) as file:
                     for h, body in parse(_stream(file)):
+                        n += 1
                         kind = h.get("warc-type")
                         if kind == "response":
                             body = body.partition(b"\r\n\r\n")[2]
@@ -163,10 +172,12 @@ def read_records(spark: SparkSession, folder: str, batch_bytes: int = 8 << 20) -
                         if size >= batch_bytes or len(rows) >= 5000:
                             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
                             rows, size = [], 0
+                if n != 3 * captures:
+                    raise EOFError(f"{path} holds {n} records, the manifest says {captures} captures of three")
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
-    manifest = spark.read.parquet(f"{folder}/manifest").select("path")
+    manifest = spark.read.parquet(f"{folder}/manifest").select("path", "captures")
     return manifest.repartition(max(1, manifest.count())).mapInArrow(run, RECORDS)  # a task per file
 
 
@@ -192,7 +203,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Write archives of all pages below the shared folder, read them back and assemble the captures.
 
-    Null html is an empty payload; a null page_id or url is written as such; repeated rows give a capture each;
+    Null html is an empty payload; a null page_id is written as such, a null url is left out; repeated rows give a capture each;
     other columns are ignored; an empty table gives no captures.
     """
     folder = new_folder(pages.sparkSession, "warc")
@@ -202,7 +213,7 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
 
 def digest(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to from captures as read. A response's size and
-    digest come from its payload; a revisit's from its metadata record and its digest header."""
+    digest come from its payload; a revisit's from its metadata record and its digest header. The url is the metadata's."""
     fields = F.decode(F.col("metadata.body"), "UTF-8")
     number = lambda name: F.regexp_extract(fields, rf"(?m)^{name}: (-?[0-9]+)", 1)
     is_response = F.col("response.record_type") == "response"
@@ -215,5 +226,5 @@ def digest(captures: DataFrame) -> DataFrame:
         F.when(is_response, F.sha1("response.body")).otherwise(hex_of).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         F.when(~is_response, F.regexp_extract("response.refers_to", r"capture:(-?[0-9]+):", 1).try_cast("long")).alias("refers_to"),
-        F.col("response.target_uri").alias("url"),
+        F.from_json(F.concat(F.lit('{"url":'), F.nullif(F.regexp_extract(fields, r"(?m)^url: (.*)$", 1), F.lit("")), F.lit("}")), "url string")["url"].alias("url"),
     )

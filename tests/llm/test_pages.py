@@ -1,5 +1,6 @@
 import hashlib
 import html as H
+import re
 
 import pytest
 from pyspark.sql import types as T
@@ -33,11 +34,36 @@ def test_captures_are_whole_transactions(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def test_urls_come_back_as_they_were(spark):
+    urls = [None, "", "http://a/b c", "http://a\r\n%20\tb", 'q"\\u0041', "é😀\u2028\u0085x", "{"]
+    got = warc.digest(warc.round_trip(pages(spark, [(i, u, "x") for i, u in enumerate(urls)]))).collect()
+    assert [r.url for r in sorted(got, key=lambda r: r.page_id)] == urls
+
+
+@pytest.mark.parametrize("members", [None, 60, 61, 119])
+def test_cut_archives_are_errors(spark, tmp_path, members):
+    """Cut within a member, after a whole capture, between two records of one, and before the last record."""
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(pages(spark, [(i, "u", f"text {i}") for i in range(40)]).coalesce(1), folder)
+    assert warc.read_records(spark, folder).count() == 120
+    (path,) = (tmp_path / "w").glob("*.warc.gz")
+    data = path.read_bytes()
+    heads = [m.start() for m in re.finditer(re.escape(data[:10]), data)]
+    assert len(heads) == 120
+    path.write_bytes(data[: heads[members] if members else heads[60] + 40])
+    with pytest.raises(Exception, match="ends within|captures"):
+        warc.read_records(spark, folder).collect()
+
+
 def test_parse_over_any_cuts():
     data = warc._record("response", [("WARC-Record-ID", "<a>")], b"x" * 10) + warc._record("metadata", [("WARC-Record-ID", "<b>")], b"")
     for step in (1, 3, 1000):
         got = list(warc.parse(data[i : i + step] for i in range(0, len(data), step)))
         assert [(h["warc-record-id"], b) for h, b in got] == [("<a>", b"x" * 10), ("<b>", b"")]
+    whole = {0, len(warc._record("response", [("WARC-Record-ID", "<a>")], b"x" * 10)), len(data)}
+    for end in set(range(len(data))) - whole:
+        with pytest.raises(EOFError):
+            list(warc.parse([data[:end]]))
 
 
 @pytest.mark.parametrize("seed", [11, 12])
