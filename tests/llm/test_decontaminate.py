@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -61,7 +62,7 @@ def test_copies_and_moved_passages_are_caught(make, items):
 
 
 def test_clean_rows_stay_whole(make, items, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(decontaminate, "ITEMS_A_ROW", 1)
     df = make(docs())
     out = decontaminate.keep_clean(df, items)
     assert out.columns == df.columns
@@ -72,3 +73,80 @@ def test_empty_tables(make, items):
     assert decontaminate.contaminated(make([]), items).count() == 0
     assert decontaminate.contaminated(make(docs()), items.limit(0)).count() == 0
     assert decontaminate.keep_clean(make(docs()), items.limit(0)).count() == len(docs())
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words_of(text):
+    return re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (text or "").translate(LOWER))
+
+
+def by_definition(docs, items):
+    """Every document and item, tiled word by word."""
+    out = []
+    for i, t in docs:
+        for k, x in items:
+            a, b = words_of(x), words_of(t)
+            if len(a) < 5:
+                continue
+            covered = greedy(a, b, 5)
+            if covered >= 0.6 * len(a):
+                out.append((i, k, covered, len(a)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_against_brute_force(spark, make, monkeypatch, seed):
+    """Few words, so that seeds recur within items, between items and in most documents; null ids, repeated rows, ties; in the
+    second and third run all seeds of three rows or more are hot."""
+    if seed:
+        monkeypatch.setattr(decontaminate, "SALT_ROWS", 2)
+        monkeypatch.setattr(decontaminate, "HOT_SHARE", 1 << 40)
+        monkeypatch.setattr(decontaminate, "ITEMS_A_ROW", seed)
+    r = random.Random(seed)
+    pool = ["one", "Two", "three", "é4"]
+    line = lambda n: [r.choice(pool[: r.choice((1, 2, 4))]) for _ in range(n)]
+    items = [(r.choice((None, 1, 2, 3)), " ".join(line(r.randint(0, 24)))) for _ in range(12)]
+    items += [items[0], (9, None), (9, "two " * 25)]
+    docs = []
+    for _ in range(25):
+        own = line(r.randint(0, 20))
+        if r.random() < 0.7:
+            w = words_of(r.choice(items)[1])
+            k = r.randint(0, len(w))
+            own += w[k:] + line(1) + w[:k] + line(2)
+        docs.append((r.choice((None, *range(9))), r.choice((" ", ", ", "\n")).join(own)))
+    docs += [docs[0], docs[1], (5, None), (5, ""), (6, docs[2][1])]
+    table = spark.createDataFrame([(*x, 0, "h") for x in items], "item_id long, text string, did int, seed string")
+    got = decontaminate.contaminated(make(docs), table).collect()
+    want = by_definition(docs, items)
+    assert want and sorted(((x.doc_id, x.item_id, x.covered, x.item_words) for x in got), key=str) == want
+    bad = {(i, t) for i, t in docs if by_definition([(i, t)], items)}
+    kept = decontaminate.keep_clean(make(docs), table)
+    assert kept.columns == make(docs).columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted((x for x in docs if x not in bad), key=str)
+
+
+def test_very_long_text(make, items):
+    """A million words that share seeds with the item everywhere, and the item itself at the end."""
+    w = ITEM.split()
+    near = (" ".join(w[:6]) + " clean ") * 143_000
+    got = decontaminate.contaminated(make([near, near + ITEM, near + " ".join(w[8:] + ["x"] + w[:8])]), items).collect()
+    assert sorted((r.doc_id, r.covered, r.n_tiles) for r in got) == [(1, 20, 1), (2, 20, 2)]
+
+
+def test_the_whole_query_against_brute_force(spark):
+    from quarrylens.llm.queries import op7_decontaminate
+
+    sf = "/root/testdata/sf0.001"
+    read = lambda name, key: [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/{name}.parquet").select(key, "text").collect()]
+    docs, items = read("documents", "doc_id"), read("benchmark", "item_id")
+    seeds = lambda t: {tuple(w[k : k + 5]) for w in (words_of(t),) for k in range(len(w) - 4)}
+    of_items = [(k, x, seeds(x)) for k, x in items]
+    want = []
+    for i, t in docs:
+        own = seeds(t)
+        want += by_definition([(i, t)], [(k, x) for k, x, s in of_items if own & s])
+    got = op7_decontaminate(spark, sf).collect()
+    assert want and sorted(((x.doc_id, x.item_id, x.covered, x.item_words) for x in got), key=str) == sorted(want, key=str)
