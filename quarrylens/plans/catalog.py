@@ -321,38 +321,52 @@ def compare_match(spark, d):
 # Graphs ----------------------------------------------------------------------------------------------------------
 
 
-def _calls(spark, d):
-    """Nations as functions: n calls n*n+1 and, every third, n/2 (modulo 25)."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
-    return n.select(F.col("n").alias("source"), ((F.col("n") * F.col("n") + 1) % 25).alias("target")).unionByName(n.where("n % 3 = 0").select(F.col("n").alias("source"), F.floor(F.col("n") / 2).cast("long").alias("target")))
+def _flow(spark, d):
+    """The lines of an order as the blocks of a function (lines of one number are one block): each goes on to the next line, and
+    a returned one back to the order's first returned line. Later blocks have smaller numbers."""
+    from pyspark.sql import Window as W
+
+    node = F.col("l_orderkey") * 10 - F.col("l_linenumber")
+    order = W.partitionBy("l_orderkey")
+    li = table(spark, d, "lineitem").select(node.alias("source"), F.lead(node).over(order.orderBy("l_linenumber")).alias("next"), F.when(F.col("l_returnflag") == "R", F.max(F.when(F.col("l_returnflag") == "R", node)).over(order)).alias("back"))
+    return li.select("source", F.explode(F.array_compact(F.array(F.nullif("next", "source"), "back"))).alias("target"))
 
 
-_CALLS_SQL = "e AS (SELECT CAST(n_nationkey AS BIGINT) AS s, CAST((n_nationkey * n_nationkey + 1) % 25 AS BIGINT) AS t FROM nation UNION SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey // 2 AS BIGINT) FROM nation WHERE n_nationkey % 3 = 0)"
-_CLOSURE = f"WITH RECURSIVE {_CALLS_SQL}, r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t)"
-_SCC = _CLOSURE + ", v AS (SELECT s AS n FROM e UNION SELECT t FROM e), c AS (SELECT v.n AS node, least(v.n, coalesce(min(r.t), v.n)) AS component FROM v LEFT JOIN (SELECT r.s, r.t FROM r JOIN r q ON q.s = r.t AND q.t = r.s) r ON r.s = v.n GROUP BY v.n)"
+_FLOW_SQL = """f AS (SELECT l_orderkey * 10 - l_linenumber AS s, lead(l_orderkey * 10 - l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nxt,
+ CASE WHEN l_returnflag = 'R' THEN max(l_orderkey * 10 - l_linenumber) FILTER (WHERE l_returnflag = 'R') OVER (PARTITION BY l_orderkey) END AS back FROM lineitem),
+ e AS (SELECT s, nxt AS t FROM f WHERE nxt <> s UNION SELECT s, back FROM f WHERE back IS NOT NULL)"""
+_SCC = f"""WITH RECURSIVE {_FLOW_SQL}, r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t), v AS (SELECT s AS n FROM e UNION SELECT t FROM e),
+ c AS (SELECT v.n AS node, least(v.n, coalesce(min(r.t), v.n)) AS component FROM v LEFT JOIN (SELECT r.s, r.t FROM r JOIN r q ON q.s = r.t AND q.t = r.s) r ON r.s = v.n GROUP BY v.n)"""
 
 
-@query(_CLOSURE + " SELECT DISTINCT t AS node FROM r WHERE s = 4 UNION SELECT 4")
+@query(f"WITH RECURSIVE {_FLOW_SQL}, r AS (SELECT l_orderkey * 10 - l_linenumber AS node FROM lineitem WHERE l_tax = 0 UNION SELECT e.t FROM r JOIN e ON e.s = r.node) SELECT node FROM r")
 def graph_reachable(spark, d):
-    roots = table(spark, d, "nation").where("n_nationkey = 4").select(F.col("n_nationkey").cast("long").alias("node"))
-    return graph.reachable(_calls(spark, d), roots).select("node")
+    roots = table(spark, d, "lineitem").where("l_tax = 0").select((F.col("l_orderkey") * 10 - F.col("l_linenumber")).alias("node"))
+    return graph.reachable(_flow(spark, d), roots).select("node")
 
 
 @query(_SCC + " SELECT node, component FROM c")
 def graph_strong_components(spark, d):
-    return graph.strong_components(_calls(spark, d))
+    return graph.strong_components(_flow(spark, d))
 
 
 @query(_SCC + " SELECT c.component, count(*) AS size FROM c GROUP BY 1 HAVING count(*) > 1 OR max(CAST(EXISTS (SELECT 1 FROM e WHERE e.s = c.node AND e.t = c.node) AS INT)) = 1")
 def graph_cycles(spark, d):
-    e = _calls(spark, d)
+    e = _flow(spark, d)
     return graph.cycles(e, graph.strong_components(e))
 
 
-@query("WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS t, CAST(n_nationkey // 2 AS BIGINT) AS s FROM nation WHERE n_nationkey > 0), l AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION ALL SELECT e.t, l.level + 1 FROM l JOIN e ON e.s = l.node) SELECT node, CAST(max(level) AS INT) AS level FROM l GROUP BY 1")
+@query("""WITH RECURSIVE f AS (SELECT l_orderkey * 10 + l_linenumber AS s, lead(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS a,
+ lead(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber) AS b FROM lineitem), e AS (SELECT s, a AS t FROM f WHERE a <> s UNION SELECT s, b FROM f WHERE b <> s),
+ l AS (SELECT s AS node, 0 AS level FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, l.level + 1 FROM l JOIN e ON e.s = l.node) SELECT node, CAST(max(level) AS INT) AS level FROM l GROUP BY 1""")
 def graph_levels(spark, d):
-    n = table(spark, d, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("n"))
-    return graph.topological_levels(n.select(F.floor(F.col("n") / 2).cast("long").alias("source"), F.col("n").alias("target")))
+    """A line comes before the order's next one with its return flag, and the next one with its line status."""
+    from pyspark.sql import Window as W
+
+    node = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    after = [F.nullif(F.lead(node).over(W.partitionBy("l_orderkey", c).orderBy("l_linenumber")), node) for c in ("l_returnflag", "l_linestatus")]
+    li = table(spark, d, "lineitem").select(node.alias("source"), F.array(*after).alias("after"))
+    return graph.topological_levels(li.select("source", F.explode(F.array_compact("after")).alias("target")))
 
 
 @query("SELECT o_custkey AS graph, o_orderkey AS node, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS position FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)")
