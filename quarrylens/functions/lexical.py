@@ -7,14 +7,19 @@ lines, declarations, uses and releases are rows, and rules are joins of them.
 from __future__ import annotations
 
 import bisect
+import functools
+import operator
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.functions.text import include_targets, normal_line, split_lines
+from quarrylens.sources.shared import materialize
 
 _HIDDEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\\?\Z)|'(?:\\.|[^'\\])*(?:'|\\?\Z)", re.S)
 _VISIBLE = re.compile(r"[^\n]")
@@ -59,7 +64,7 @@ def _functions(code: str) -> list[dict]:
     """name, start_line, end_line, complexity (1 and the branches), parameters, and where the body begins and ends, of each
     function head; one whose braces never close reaches to the end of the text. Braces, branches and lines are found in
     one pass each and looked up."""
-    heads = list(_HEAD.finditer(code))
+    heads = list(_HEAD.finditer(code)) if "{" in code else []
     if not heads:
         return []
     closes, open_at = {}, []
@@ -81,55 +86,106 @@ def _functions(code: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(_FUNCTIONS)
-def functions_of(code: pd.Series) -> pd.Series:
-    return code.map(_functions)
+def prepare(files: DataFrame) -> DataFrame:
+    """``files`` (file, text) with masked ``code`` and its ``functions``: one pass over few texts at a time, so that a task's
+    memory does not depend on how many come in a batch."""
+    kind = pa.list_(pa.struct([("name", pa.string()), *[(c, pa.int32()) for c in ("start_line", "end_line", "complexity", "parameters", "begin", "end")]]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                code = [mask_text(t or "") for t in part.column("text").to_pylist()]
+                yield pa.record_batch([*part.columns, pa.array(code, pa.string()), pa.array([_functions(c) for c in code], kind)], names=[*part.schema.names, "code", "functions"])
 
-def prepare(files: DataFrame) -> DataFrame:
-    """``files`` (file, text) with masked ``code`` and its ``functions``."""
-    return files.withColumn("code", masked("text")).withColumn("functions", functions_of("code"))
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("code", T.StringType()), T.StructField("functions", _FUNCTIONS)]))
+
+
+#: What a declaration looks like, and which pattern, groups (name, then size or index) and declaration each kind
+#: of mark has. Marks that only count where their name is declared are kept for the names that the file declares.
+_DECLARED = {"array": ARRAY_DECLARED, "memory": ALLOCATED, "null": NULL_DECLARED, "scalar": SCALAR_DECLARED, "file": FILE_OPENED}
+_MARKS = {
+    "call": (DANGEROUS_CALL, (1,), None), "condition": (CONDITION_ASSIGNED, (0,), None), "array": (ARRAY_DECLARED, (1, 2), "array"), "index": (ARRAY_USED, (1, 2), "array"),
+    "memory": (ALLOCATED, (1,), "memory"), "delete": (DELETED, (1,), "memory"), "free": (FREED, (1,), "memory"), "null": (NULL_DECLARED, (1,), "null"), "arrow": (ARROW_USED, (1,), "null"), "star": (STAR_USED, (1,), "null"),
+    "assigned": (POINTER_ASSIGNED, (1,), "null"), "scalar": (SCALAR_DECLARED, (1,), "scalar"), "used": (NAME_USED, (1,), "scalar"), **{f"stored{i}": (x, (1,), "scalar") for i, x in enumerate(NAME_STORED)},
+    "file": (FILE_OPENED, (1,), "file"), "close": (FILE_CLOSED, (1,), "file"),
+}
+#: Text that every match of a kind holds, one of these; most lines and files are told by it without a pattern.
+_NEEDLES = {"call": ("(",), "condition": ("=",), "array": ("[",), "memory": ("new", "alloc"), "null": ("nullptr", "NULL"), "scalar": (";",), "file": ("fopen",)}
+_MARK = "struct<kind:string,name:string,value:string,column:int>"
+
+
+def _may_hold(text: Column, kind: str) -> Column:
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(n)) for n in _NEEDLES[kind]])
+
+
+def _marks_of(code: Column, kind: str, names: dict[str, Column]) -> Column:
+    """The marks of one kind on a line. ``column`` is where the match starts, from 1: the pieces between matches give the
+    places, in one walk over them."""
+    pattern, groups, of = _MARKS[kind]
+    found = [F.regexp_extract_all(code, F.lit(pattern), F.lit(g)) for g in (0, *groups)]
+    zipped = F.arrays_zip(*[x.alias(n) for x, n in zip((*found, F.split(code, pattern, -1)), ("m", *("name", "value")[: len(groups)], "gap"), strict=True)])
+    none = F.array().cast(f"array<{_MARK}>")
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] + F.length(x["gap"])
+        keep = x["m"].isNotNull() if of is None else x["m"].isNotNull() & F.array_contains(names[of], x["name"])  # the last piece follows no match
+        mark = F.struct(F.lit(kind).alias("kind"), x["name"].alias("name"), (x["value"] if len(groups) > 1 else F.lit(None).cast("string")).alias("value"), (at + 1).alias("column"))
+        return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(keep, F.concat(s["out"], F.array(mark))).otherwise(s["out"]).alias("out"))
+
+    walk = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    wanted = _may_hold(code, kind) & code.rlike(pattern) if of is None else (F.size(names[of]) > 0) & code.rlike(pattern)
+    return F.when(wanted, walk).otherwise(none)
+
+
+def marked_lines(files: DataFrame, kinds: tuple[str, ...] = tuple(_MARKS)) -> DataFrame:
+    """A row per line of ``files`` (file, text) that holds a mark: id, file, line (from 1), original, end of its scope (the
+    first function that holds it, else the file) and marks (kind, name, value, column). Written, so that the files are read
+    and matched once for all rules; names that no declaration of their file needs are no marks."""
+    of = {_MARKS[k][2] for k in kinds} - {None}
+    held = functools.reduce(operator.or_, [_may_hold(F.col("code"), k) for k in sorted({_MARKS[k][2] or k for k in kinds})])
+    df = prepare(files.select("file", "text")).where(held)
+    df = df.withColumn("l", split_lines(F.col("text"))).withColumn("c", split_lines(F.col("code"))).withColumns({f"_may_{d}": _may_hold(F.col("code"), d) for d in sorted(of)})
+
+    def declared(d: str) -> Column:
+        here = F.filter("c", lambda x: _may_hold(x, d))
+        return F.when(F.col(f"_may_{d}"), F.array_distinct(F.flatten(F.transform(here, lambda x: F.regexp_extract_all(x, F.lit(_DECLARED[d]), F.lit(1)))))).otherwise(F.array().cast("array<string>"))
+
+    df = df.select("file", "functions", "l", "c", *[declared(d).alias(f"_{d}") for d in sorted(of)])
+    names = {d: F.col(f"_{d}") for d in of}
+    pairs = F.arrays_zip(F.col("l").alias("original"), F.col("c").alias("code"))
+
+    def line_of(x: Column, i: Column) -> Column:
+        code = F.coalesce(x["code"], F.lit(""))
+        return F.struct((i + 1).alias("line"), x["original"].alias("original"), F.concat(*[_marks_of(code, k, names) for k in kinds]).alias("marks"))
 
+    def scoped(x: Column) -> Column:
+        holding = F.filter("functions", lambda f: (f["start_line"] <= x["line"]) & (x["line"] <= f["end_line"]))
+        return F.struct(x["line"].alias("line"), x["original"].alias("original"), x["marks"].alias("marks"), F.coalesce(F.get(holding, 0)["end_line"], F.size("c")).alias("scope_end"))
 
-def lines(prepared: DataFrame) -> DataFrame:
-    """A row per line: file, line (from 1), original, code, total lines, and end of its scope: the first function that
-    holds it, else the file."""
-    pairs = F.arrays_zip(split_lines(F.col("text")).alias("original"), split_lines(F.col("code")).alias("code"))
-    rows = prepared.select("file", "functions", F.size(split_lines(F.col("code"))).alias("total"), F.posexplode(pairs).alias("at", "l"))
-    number = F.col("at") + 1
-    holding = F.filter("functions", lambda f: (f["start_line"] <= number) & (number <= f["end_line"]))
-    return rows.select("file", number.alias("line"), "total", F.col("l.original").alias("original"), F.coalesce(F.col("l.code"), F.lit("")).alias("code"), F.coalesce(F.get(holding, 0)["end_line"], F.col("total")).alias("scope_end"))
+    found = F.filter(F.transform(pairs, line_of), lambda x: F.size(x["marks"]) > 0)
+    rows = df.select("file", F.explode(F.transform(found, scoped)).alias("x")).select("file", "x.*")
+    return materialize(rows.withColumn("id", F.monotonically_increasing_id()), "marked")
 
 
-def matches(rows: DataFrame, pattern: str, names: dict[str, int], code: str = "code") -> DataFrame:
-    """A row per match on a line: ``names`` maps columns to groups; ``column`` is where the match starts, from 1.
-    The pieces between matches give the places."""
-    text = F.col(code)
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, *names.values())]
-    zipped = F.arrays_zip(*[x.alias(n) for x, n in zip(found, ("_m", *names), strict=True)])
-    out = rows.where(text.rlike(pattern)).withColumn("_b", F.split(text, pattern, -1)).withColumn("_z", zipped).select("*", F.posexplode("_z").alias("_i", "_x"))
-    sizes = F.transform(F.slice("_z", F.lit(1), F.col("_i")), lambda x: F.length(x["_m"]))
-    gaps = F.transform(F.slice("_b", F.lit(1), F.col("_i") + 1), F.length)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    return out.withColumn("column", total(sizes) + total(gaps) + 1).select(*rows.columns, *[F.col(f"_x.{n}").alias(n) for n in names], "column")
+def _of(marks: DataFrame, *kinds: str) -> DataFrame:
+    return marks.where(F.col("kind").isin(*kinds))
 
 
 def _finding(rows: DataFrame, rule: str, severity: str, confidence: float = 1.0) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), "file", "line", "column", F.trim("original").alias("evidence"), F.lit(confidence).alias("confidence"))
+    return rows.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), "column", F.lit(confidence).alias("confidence"), "id")
 
 
-def dangerous_calls(rows: DataFrame) -> DataFrame:
-    return _finding(matches(rows, DANGEROUS_CALL, {"call": 1}), "DG001", "high")
+def dangerous_calls(marks: DataFrame) -> DataFrame:
+    return _finding(_of(marks, "call"), "DG001", "high")
 
 
-def literal_bounds(rows: DataFrame) -> DataFrame:
+def literal_bounds(marks: DataFrame) -> DataFrame:
     """Literal indexes at or above the size in the last declaration of the name, not on that declaration's line."""
-    declared = matches(rows.where(F.contains("code", F.lit("["))), ARRAY_DECLARED, {"name": 1, "size": 2})
-    last = declared.groupBy("file", "name").agg(F.max_by(F.struct("size", "line"), F.struct("line", "column")).alias("d"))
-    used = matches(rows, ARRAY_USED, {"name": 1, "index": 2})
+    declared = _of(marks, "array").groupBy("file", "name").agg(F.max_by(F.struct(F.col("value").alias("size"), "line"), F.struct("line", "column")).alias("d"))
+    used = _of(marks, "index").join(declared, ["file", "name"])
     number = lambda c: F.col(c).cast("decimal(38,0)")
-    bad = used.join(last, ["file", "name"]).where((F.col("line") != F.col("d.line")) & (number("index") >= number("d.size")))
-    return _finding(bad, "DG002", "critical")
+    return _finding(used.where((F.col("line") != F.col("d.line")) & (number("value") >= number("d.size"))), "DG002", "critical")
 
 
 def _unreleased(opened: DataFrame, released: DataFrame) -> DataFrame:
@@ -139,52 +195,43 @@ def _unreleased(opened: DataFrame, released: DataFrame) -> DataFrame:
     return o.join(r, (F.col("o.file") == F.col("r.file")) & (F.col("o.name") == F.col("r.name")) & F.col("r.at").between(F.col("o.line"), F.col("o.scope_end")), "left_anti")
 
 
-def unreleased_memory(rows: DataFrame) -> DataFrame:
-    opened = matches(rows, ALLOCATED, {"name": 1})
-    deleted = matches(rows, DELETED, {"name": 1})
-    freed = matches(rows, FREED, {"name": 1})
-    return _finding(_unreleased(opened, deleted.unionByName(freed)), "DG003", "medium", 0.55)
+def unreleased_memory(marks: DataFrame) -> DataFrame:
+    return _finding(_unreleased(_of(marks, "memory"), _of(marks, "delete", "free")), "DG003", "medium", 0.55)
 
 
-def condition_assignments(rows: DataFrame) -> DataFrame:
-    found = matches(rows, CONDITION_ASSIGNED, {})
-    return _finding(found.groupBy("file", "line").agg(F.min("column").alias("column"), F.first("original").alias("original")), "DG004", "medium", 0.8)
+def condition_assignments(marks: DataFrame) -> DataFrame:
+    found = _of(marks, "condition").groupBy("file", "line").agg(F.min("column").alias("column"), F.min("id").alias("id"))
+    return _finding(found, "DG004", "medium", 0.8)
 
 
 def _first_use(declared: DataFrame, uses: DataFrame, kills: DataFrame) -> DataFrame:
     """The first use of each declaration's name after its line and within ``last``, unless a kill stands on an earlier
     or the same line."""
     d = declared.select("file", "name", F.col("line").alias("d_line"), F.col("column").alias("d_column"), "last")
-    events = uses.select("file", "name", "line", "column", "original", F.lit(1).alias("kind")).unionByName(kills.select("file", "name", "line", "column", "original", F.lit(0).alias("kind")))
+    events = uses.select("file", "name", "line", "column", "id", F.lit(1).alias("kind")).unionByName(kills.select("file", "name", "line", "column", "id", F.lit(0).alias("kind")))
     later = d.join(events, ["file", "name"]).where((F.col("line") > F.col("d_line")) & (F.col("line") <= F.col("last")))
-    first = later.groupBy("file", "name", "d_line", "d_column").agg(F.min(F.struct("line", "kind", "column", "original")).alias("f"))
-    return first.where("f.kind = 1").select("file", "f.line", "f.column", "f.original")
+    first = later.groupBy("file", "name", "d_line", "d_column").agg(F.min(F.struct("line", "kind", "column", "id")).alias("f"))
+    return first.where("f.kind = 1").select("file", "f.line", "f.column", "f.id")
 
 
-def null_dereferences(rows: DataFrame) -> DataFrame:
-    declared = matches(rows.where(F.col("code").rlike("=\\s*(?:nullptr|NULL)")), NULL_DECLARED, {"name": 1}).withColumn("last", F.col("scope_end"))
-    arrow = matches(rows, ARROW_USED, {"name": 1})
-    star = matches(rows, STAR_USED, {"name": 1})
-    kills = matches(rows, POINTER_ASSIGNED, {"name": 1})
-    return _finding(_first_use(declared, arrow.unionByName(star), kills), "DG005", "critical", 0.9)
+def null_dereferences(marks: DataFrame) -> DataFrame:
+    declared = _of(marks, "null").withColumn("last", F.col("scope_end"))
+    return _finding(_first_use(declared, _of(marks, "arrow", "star"), _of(marks, "assigned")), "DG005", "critical", 0.9)
 
 
-def uninitialised(rows: DataFrame) -> DataFrame:
-    declared = matches(rows, SCALAR_DECLARED, {"name": 1})
-    declared = declared.withColumn("last", F.least("scope_end", F.col("line") + 80))
-    uses = matches(rows, NAME_USED, {"name": 1})
-    stores = [matches(rows, p, {"name": 1}) for p in NAME_STORED]
-    return _finding(_first_use(declared, uses, stores[0].unionByName(stores[1]).unionByName(stores[2])), "DG006", "high", 0.75)
+def uninitialised(marks: DataFrame) -> DataFrame:
+    declared = _of(marks, "scalar").withColumn("last", F.least("scope_end", F.col("line") + 80))
+    return _finding(_first_use(declared, _of(marks, "used"), _of(marks, *[f"stored{i}" for i in range(len(NAME_STORED))])), "DG006", "high", 0.75)
 
 
-def unclosed_files(rows: DataFrame) -> DataFrame:
-    opened = matches(rows, FILE_OPENED, {"name": 1})
-    return _finding(_unreleased(opened, matches(rows, FILE_CLOSED, {"name": 1})), "DG007", "high", 0.8)
+def unclosed_files(marks: DataFrame) -> DataFrame:
+    return _finding(_unreleased(_of(marks, "file"), _of(marks, "close")), "DG007", "high", 0.8)
 
 
-#: rule id, severity, function
+#: rule id and function; rule id and severity; the kinds of marks that a rule looks at
 RULES = {"DG001": dangerous_calls, "DG002": literal_bounds, "DG003": unreleased_memory, "DG004": condition_assignments, "DG005": null_dereferences, "DG006": uninitialised, "DG007": unclosed_files}
 RULE_SEVERITY = {"DG001": "high", "DG002": "critical", "DG003": "medium", "DG004": "medium", "DG005": "critical", "DG006": "high", "DG007": "high"}
+_RULE_MARKS = {"DG001": ("call",), "DG002": ("array", "index"), "DG003": ("memory", "delete", "free"), "DG004": ("condition",), "DG005": ("null", "arrow", "star", "assigned"), "DG006": ("scalar", "used", *[f"stored{i}" for i in range(len(NAME_STORED))]), "DG007": ("file", "close")}
 
 
 def catalogue(spark) -> DataFrame:
@@ -194,11 +241,14 @@ def catalogue(spark) -> DataFrame:
 def inspect(files: DataFrame, rules: tuple[str, ...] | None = None, covered: DataFrame | None = None) -> DataFrame:
     """Findings of the enabled rules over ``files`` (file, text). ``covered``: (file, rule_id) that a native front end
     has inspected and whose lexical findings are dropped."""
-    rows = lines(prepare(files))
+    enabled = rules or tuple(RULES)
+    written = marked_lines(files, tuple(k for rule in enabled for k in _RULE_MARKS[rule]))
+    marks = written.select("id", "file", "line", "scope_end", F.inline("marks"))
     found = None
-    for rule in rules or tuple(RULES):
-        own = RULES[rule](rows)
+    for rule in enabled:
+        own = RULES[rule](marks)
         found = own if found is None else found.unionByName(own)
+    found = found.join(written.select("id", "file", "line", F.trim("original").alias("evidence")), "id").select("rule_id", "severity", "file", "line", "column", "evidence", "confidence")
     return found if covered is None else found.join(covered, ["file", "rule_id"], "left_anti")
 
 

@@ -11,7 +11,7 @@ from quarrylens.plans import catalog
 from quarrylens.plans.catalog import query
 from quarrylens.plans.select import select
 from quarrylens.sources import inventory, snapshots
-from quarrylens.sources.shared import table
+from quarrylens.sources.shared import spread, table
 
 # Comparison with the context of absences -------------------------------------------------------------------------
 
@@ -179,7 +179,7 @@ _TAIL = "CASE WHEN p_size % 7 = 0 THEN '' ELSE '}' || chr(10) END"
 @query("""SELECT p_partkey AS file, 'fn' || CAST(p_partkey AS VARCHAR) AS name, CAST(1 AS INT) AS start_line, CAST(2 + p_size % 5 + p_size % 3 AS INT) AS end_line, CAST(1 + 2 * (p_size % 5) AS INT) AS complexity, CAST(2 + p_size % 4 AS INT) AS parameters FROM part""")
 def function_heads(spark, d):
     """Functions with branches, ternaries and function-pointer parameters; every seventh size never closes."""
-    p, size = table(spark, d, "part"), F.col("p_size")
+    p, size = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey"), F.col("p_size")
     lines = [F.lit("int fn"), F.col("p_partkey").cast("string"), F.lit("(int a, void (*cb)(int)"), F.repeat(F.lit(", int b"), size % 4), F.lit(") {\n"), F.repeat(F.lit("  if (a && a) a++;\n"), size % 5), F.repeat(F.lit("  x = a ? 1 : 2;\n"), size % 3), F.when(size % 7 == 0, "").otherwise("}\n")]
     prepared = lexical.prepare(p.select(F.col("p_partkey").alias("file"), F.concat(*lines).alias("text")))
     return prepared.select("file", F.explode("functions").alias("f")).select("file", *[f"f.{c}" for c in ("name", "start_line", "end_line", "complexity", "parameters")])
@@ -197,7 +197,8 @@ _SOURCE = (
 def rule_findings(spark, d):
     """Pattern rules over a source for each part, whose lines depend on its size."""
     body = [F.lit("void f() {"), F.lit("char buf[8];"), *[F.when(F.expr(when), F.lit(f"  {code}")).otherwise(F.lit(_OK)) for code, when, _, _ in _SOURCE], F.lit("}")]
-    sources = table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.concat_ws("\n", *body).alias("text"))
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    sources = parts.select(F.col("p_partkey").alias("file"), F.concat_ws("\n", *body).alias("text"))
     return lexical.inspect(sources).select("file", "rule_id", F.col("line").cast("int").alias("line"), "evidence")
 
 

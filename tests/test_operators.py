@@ -299,3 +299,17 @@ def test_error_cases_in_rank_order(spark):
     rows = spark.createDataFrame([("a", 1, 0.1, 1), ("a", 2, 0.2, 1), ("b", 1, 0.9, 0), ("c", 1, 0.9, 1)], "sample_id string, seed int, probability double, label int")
     got = [(r.sample_id, r.errors, r.fp, r["fn"], r.seeds) for r in evaluation.rank_errors(evaluation.error_cases(rows)).collect()]
     assert got == [("a", 2, 0, 2, "1,2"), ("b", 1, 1, 0, "1")]
+
+
+def test_rules_read_and_mark_each_line_once(spark, monkeypatch):
+    """A long line in a file without declarations is written once, for its call alone; a declared name is marked with its column."""
+    words = "word " * 2000
+    df = spark.createDataFrame([("prose", f"{words}strcpy(a, b); {words}"), ("code", f"int x;\nint y;\n{words}x {words}y\n"), ("none", None)], "file string, text string")
+    written = {(r.file, r.line): [(m.kind, m.name, m.column) for m in r.marks] for r in lexical.marked_lines(df).collect()}
+    assert written == {("prose", 1): [("call", "strcpy", 10001)], ("code", 1): [("scalar", "x", 1), ("used", "x", 5)], ("code", 2): [("scalar", "y", 1), ("used", "y", 5)], ("code", 3): [("used", "x", 10001), ("used", "y", 20003)]}
+    got = {(r.file, r.rule_id, r.line, r.column, r.evidence[-7:]) for r in lexical.inspect(df).collect()}
+    assert got == {("prose", "DG001", 1, 10001, "rd word"), ("code", "DG006", 3, 10001, " word y"), ("code", "DG006", 3, 20003, " word y")}
+    reads = []
+    monkeypatch.setattr(lexical, "prepare", lambda files, f=lexical.prepare: reads.append(files) or f(files))
+    lexical.inspect(df)
+    assert len(reads) == 1
