@@ -48,10 +48,16 @@ def html_text(c: Column) -> Column:
     return out
 
 
+#: Fixed value: beyond this, milliseconds are no timestamp of 64-bit microseconds.
+_MOST_MILLIS = 9_223_372_036_854_000
+
+
 def scan_time(c: Column) -> Column:
-    """Epoch milliseconds as UTC text; other text passes through."""
-    ms = F.when(c.rlike(r"^-?[0-9]{1,15}$"), c.try_cast("long"))
-    return F.coalesce(F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")), c)
+    """Epoch milliseconds as UTC text, years after 9999 without a sign; text that is no number, or beyond what a timestamp holds,
+    passes through."""
+    ms = F.when(c.rlike(r"^-?[0-9]{1,19}$"), c.try_cast("long"))
+    shown = F.date_format(F.timestamp_millis(F.when(ms.between(-_MOST_MILLIS, _MOST_MILLIS), ms)), "yyyy-MM-dd HH:mm:ss")
+    return F.coalesce(F.concat(F.ltrim(shown, F.lit("+")), F.lit(" UTC")), c)
 
 
 def short_evidence(c: Column, most: int = 500) -> Column:

@@ -313,3 +313,11 @@ def test_rules_read_and_mark_each_line_once(spark, monkeypatch):
     monkeypatch.setattr(lexical, "prepare", lambda files, f=lexical.prepare: reads.append(files) or f(files))
     lexical.inspect(df)
     assert len(reads) == 1
+
+
+def test_scan_times_of_late_years(spark):
+    """Years after 9999 have no sign, as in SQL; numbers of 16 digits are times, those that no timestamp holds pass through."""
+    cases = {"0": "1970-01-01 00:00:00 UTC", "253402300800000": "10000-01-01 00:00:00 UTC", "777601107000000": "26611-03-14 19:30:00 UTC", "4665606642000000": "149817-03-10 21:00:00 UTC",
+             "9223372036854775807": "9223372036854775807", "99999999999999999999": "99999999999999999999", "-9223372036854775808": "-9223372036854775808", "2026-09-13T00:00:00Z": "2026-09-13T00:00:00Z"}
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", text.scan_time(F.col("c")).alias("t")).collect()
+    assert {r.c: r.t for r in got} == cases
