@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.sources.shared import materialize
+from quarrylens.sources.shared import materialize, spread
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:
@@ -111,33 +113,59 @@ def topological_levels(edges: DataFrame, most_rounds: int = 100_000) -> DataFram
     raise RuntimeError("too many rounds")
 
 
+def _least_first(links: list[tuple]) -> list:
+    """The order that always takes the least ready node; empty where there is a cycle."""
+    after, waits = defaultdict(set), defaultdict(int)
+    for s, t in links:
+        waits[s] += 0
+        if t not in after[s]:
+            after[s].add(t)
+            waits[t] += 1
+    ready = [n for n, k in waits.items() if k == 0]
+    heapq.heapify(ready)
+    order = []
+    while ready:
+        n = heapq.heappop(ready)
+        order.append(n)
+        for t in after[n]:
+            waits[t] -= 1
+            if waits[t] == 0:
+                heapq.heappush(ready, t)
+    return order if len(order) == len(waits) else []
+
+
 def topological_orders(edges: DataFrame, graph: str = "graph") -> DataFrame:
     """graph, node and position in the order that always takes the least ready node, for many small graphs; graphs
-    with a cycle give no rows. A graph is one group: use ``topological_levels`` for one large graph."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        after, waits = defaultdict(set), defaultdict(int)
-        for s, t in zip(pdf["source"], pdf["target"], strict=True):
-            waits[s] += 0
-            if t not in after[s]:
-                after[s].add(t)
-                waits[t] += 1
-        ready = [n for n, k in waits.items() if k == 0]
-        heapq.heapify(ready)
-        order = []
-        while ready:
-            n = heapq.heappop(ready)
-            order.append(n)
-            for t in after[n]:
-                waits[t] -= 1
-                if waits[t] == 0:
-                    heapq.heappush(ready, t)
-        if len(order) < len(waits):
-            order = []
-        return pd.DataFrame({graph: pd.Series([pdf[graph].iloc[0]] * len(order), dtype=pdf[graph].dtype), "node": pd.Series(order, dtype=pdf["source"].dtype), "position": range(len(order))})
+    with a cycle give no rows. A task streams its graphs, sorted, and holds one at a time: use ``topological_levels``
+    for one large graph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, name, done = [], None, ([], [], [])
+
+        def end() -> None:
+            order = _least_first(links)
+            for column, new in zip(done, ([name] * len(order), order, range(len(order))), strict=True):
+                column.extend(new)
+            links.clear()
+
+        kinds = None
+        for batch in batches:
+            kinds = [*[batch.schema.field(c).type for c in (graph, "source")], pa.int64()]
+            for g, s, t in zip(*[batch.column(c).to_pylist() for c in (graph, "source", "target")], strict=True):
+                if links and g != name:
+                    end()
+                name = g
+                links.append((s, t))
+            if len(done[0]) >= 10_000:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(done, kinds, strict=True)], names=[graph, "node", "position"])
+                done = ([], [], [])
+        if kinds:
+            end()
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(done, kinds, strict=True)], names=[graph, "node", "position"])
 
     kind = dict(edges.dtypes)
-    return edges.groupBy(graph).applyInPandas(run, f"{graph} {kind[graph]}, node {kind['source']}, position long")
+    own = spread(edges.select(graph, "source", "target"), graph).sortWithinPartitions(graph)
+    return own.mapInArrow(run, f"{graph} {kind[graph]}, node {kind['source']}, position long")
 
 
 def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -321,3 +321,11 @@ def test_scan_times_of_late_years(spark):
              "9223372036854775807": "9223372036854775807", "99999999999999999999": "99999999999999999999", "-9223372036854775808": "-9223372036854775808", "2026-09-13T00:00:00Z": "2026-09-13T00:00:00Z"}
     got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", text.scan_time(F.col("c")).alias("t")).collect()
     assert {r.c: r.t for r in got} == cases
+
+
+def test_topological_orders_need_no_group_a_graph(spark):
+    """Graphs that go on in the next Arrow batch, and a null name; the plan has no pandas group."""
+    rows = [(g if g else None, n, n + 1) for g in range(300) for n in range(g, g + 90)]
+    got = graph.topological_orders(spark.createDataFrame(rows, "graph long, source long, target long"))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert {(r.graph, r.node, r.position) for r in got.collect()} == {(g if g else None, g + k, k) for g in range(300) for k in range(91)}
