@@ -6,6 +6,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,8 +56,135 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """node and component (its least node) by forward-backward colouring.
+#: Fixed value: edges that a task contracts at a time.
+BLOCK_EDGES = 1 << 19
+
+
+def strong_components(edges: DataFrame, most_rounds: int = 10_000, block: int = BLOCK_EDGES) -> DataFrame:
+    """node and component (its least node).
+
+    Edges are sorted by their sources and contracted in blocks of neighbours, inside tasks (see ``_contracted``). Of a
+    weak component of a block that shares no node with another block, nothing is open. What is open is a graph of the
+    contracted nodes, each named by its least node, and goes through rounds of forward-backward colouring.
+    """
+    edges = materialize(edges.select("source", "target"), "edges")
+    pieces = materialize(_contracted(edges, block), "pieces")
+    shared = pieces.where("border").select("node").distinct()
+    open_ = materialize(pieces.join(shared, "node", "left_semi").select("weak").distinct(), "open")
+    closed = pieces.join(open_, "weak", "left_anti").select("node", F.col("label").alias("component"))
+    names = materialize(pieces.join(open_, "weak", "left_semi").groupBy("node").agg(F.min("label").alias("name")), "names")
+    if names.isEmpty():
+        return closed
+    s, t = (names.select(F.col("node").alias(c), F.col("name").alias(f"{c}_name")) for c in ("source", "target"))
+    rest = edges.join(s, "source").join(t, "target").select(F.col("source_name").alias("source"), F.col("target_name").alias("target"))
+    found = _coloured(rest, most_rounds).withColumnRenamed("node", "name")
+    return closed.unionByName(names.join(found, "name").select("node", "component"))
+
+
+def _contracted(edges: DataFrame, block: int) -> DataFrame:
+    """The nodes of each block of ``edges``: node, label (the least node of its strong component within the block), weak
+    (that of its weak component) and border, true at a node whose edges may lie in other blocks too.
+
+    Blocks are ranges of sources, so a node in two blocks lies outside the sources of at least one of them. A source
+    with more edges than a block is cut, and then at the border of each.
+    """
+    kinds = dict(edges.dtypes)
+
+    def pieces(source: np.ndarray, target: np.ndarray, cut: bool, types: list) -> pa.RecordBatch:
+        values, codes = np.unique(np.concatenate([source, target]), return_inverse=True)
+        s, t = codes[: len(source)], codes[len(source) :]
+        at = np.arange(len(values))
+        border = (at < s[0]) | (at > s[-1]) | (cut & (at == s[-1]))
+        columns = [values, values[_strong_labels(len(values), s, t)], values[_weak_labels(len(values), s, t)]]
+        return pa.record_batch([*[pa.array(c, types[0]) for c in columns], pa.array(border)], names=["node", "label", "weak", "border"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cut, types = None, False, None
+        for batch in batches:
+            types = batch.schema.types
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            while len(held[0]) > block:
+                source, target = held
+                whole = int(np.argmax(source == source[-1]))  # its last source may go on
+                goes_on = whole == 0 or cut and source[0] == source[whole - 1]
+                end = whole or len(source)
+                yield pieces(source[:end], target[:end], goes_on, types)
+                held, cut = [source[end:], target[end:]], whole == 0
+                if not len(held[0]):
+                    break
+        if held is not None and len(held[0]):
+            yield pieces(*held, cut, types)
+
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.repartitionByRange(parts, "source").sortWithinPartitions("source")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kinds['source']}" for c in ("node", "label", "weak")) + ", border boolean")
+
+
+def _weak_labels(n: int, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The least node of each node's undirected component."""
+    label = np.arange(n)
+    while True:
+        a, b = label[s], label[t]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _strong_labels(n: int, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The least node of each node's strong component: edges that cannot lie on a cycle are trimmed, Tarjan's algorithm
+    takes the rest."""
+    label = np.arange(n)
+    for _ in range(16):
+        keep = (np.bincount(t, minlength=n)[s] > 0) & (np.bincount(s, minlength=n)[t] > 0) & (s != t)
+        if keep.all():
+            break
+        s, t = s[keep], t[keep]
+    order = np.argsort(s, kind="stable")
+    first = np.searchsorted(s[order], np.arange(n + 1)).tolist()
+    nexts, place, low, stack, index = t[order].tolist(), [0] * n, [0] * n, [], 0
+    for root in np.unique(s).tolist():
+        if place[root]:
+            continue
+        path = [root]
+        index += 1
+        place[root] = low[root] = index
+        at = {root: first[root]}
+        stack.append(root)
+        while path:
+            v = path[-1]
+            i = at[v]
+            if i < first[v + 1]:
+                at[v] = i + 1
+                w = nexts[i]
+                if not place[w]:
+                    index += 1
+                    place[w] = low[w] = index
+                    at[w] = first[w]
+                    stack.append(w)
+                    path.append(w)
+                elif low[v] > place[w]:
+                    low[v] = place[w]
+                continue
+            path.pop()
+            if path and low[path[-1]] > low[v]:
+                low[path[-1]] = low[v]
+            if low[v] == place[v]:
+                k = len(stack) - 1
+                while stack[k] != v:
+                    k -= 1
+                least = min(stack[k:])
+                for w in stack[k:]:
+                    label[w] = least
+                    place[w] = n + 2  # left the stack: no longer lowers others
+                del stack[k:]
+    return label
+
+
+def _coloured(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """Strong components by rounds over the whole graph.
 
     Every node takes the least node that reaches it (its colour). Those that reach their colour's own node within
     the colour are that node's component; they leave, and the rest are coloured again.
@@ -91,9 +219,10 @@ def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame, components_: DataFrame) -> DataFrame:
     """Components of several nodes, or of one with an edge to itself."""
-    loops = edges.where("source = target").select(F.col("source").alias("node")).distinct().withColumn("_loop", F.lit(True))
-    joined = components_.join(loops, "node", "left")
-    return joined.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max(F.coalesce("_loop", F.lit(False))).alias("_loop")).where("size > 1 or _loop").select("component", "size")
+    # an edge to itself only tells where the component is that node alone, and then the node is its name
+    loops = edges.where("source = target").select(F.col("source").alias("component"), F.lit(0).alias("n"), F.lit(True).alias("_loop"))
+    rows = components_.select("component", F.lit(1).alias("n"), F.lit(False).alias("_loop")).unionByName(loops)
+    return rows.groupBy("component").agg(F.sum("n").alias("size"), F.max("_loop").alias("_loop")).where("size > 1 or size = 1 and _loop").select("component", "size")
 
 
 def topological_levels(edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:

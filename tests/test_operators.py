@@ -329,3 +329,44 @@ def test_topological_orders_need_no_group_a_graph(spark):
     got = graph.topological_orders(spark.createDataFrame(rows, "graph long, source long, target long"))
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     assert {(r.graph, r.node, r.position) for r in got.collect()} == {(g if g else None, g + k, k) for g in range(300) for k in range(91)}
+
+
+def plain_components(pairs):
+    after = {}
+    for s, t in pairs:
+        after.setdefault(s, set()).add(t)
+        after.setdefault(t, set())
+
+    def reach(n):
+        seen, todo = {n}, [n]
+        while todo:
+            new = after[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    far = {n: reach(n) for n in after}
+    return {(n, min(m for m in far[n] if n in far[m])) for n in after}
+
+
+@pytest.mark.parametrize("block", [7, 1 << 19])
+def test_strong_components_in_blocks(spark, block):
+    """Rings that lie in one block, rings over several, a source with more edges than a block, and edges at random."""
+    import random
+
+    rnd = random.Random(5)
+    pairs = [(i, i - i % 4 + (i + 1) % 4) for i in range(1000, 1100)] + [(i, i + 1) for i in range(200, 240)] + [(240, 200)] + [(500, n) for n in range(501, 540)] + [(539, 500), (500, 500), (3, 3)]
+    pairs += [(rnd.randrange(60), rnd.randrange(60)) for _ in range(75)] + [(1003, 230), (77, 78), (77, 78)]
+    e = spark.createDataFrame(pairs, "source long, target long")
+    got = graph.strong_components(e, block=block)
+    assert sorted((r.node, r.component) for r in got.collect()) == sorted(plain_components(pairs))
+
+
+def test_components_of_neighbours_need_no_rounds(spark, monkeypatch):
+    """Graphs whose nodes lie side by side are contracted inside tasks; the rounds see those at the ends of blocks only."""
+    rounds = []
+    monkeypatch.setattr(graph, "_coloured", lambda rest, most, f=graph._coloured: rounds.append(rest.count()) or f(rest, most))
+    e = spark.range(40_000).selectExpr("id AS source", "id - id % 8 + (id + 1) % 8 AS target")
+    got = graph.strong_components(e, block=1000)
+    assert got.where("component != node - node % 8").count() == 0 and got.count() == 40_000
+    assert sum(rounds) < 4_000
