@@ -44,8 +44,7 @@ def change_statuses(spark, d):
     covers_after = covers_before.where(F.col("unit").cast("long") % 31 != 7)
     files_after = s.where(k % 17 != 3).select(name.alias("file"))
     settings = spark.createDataFrame([("scope", True, True, ["A"], "r1")], "policy string, requested boolean, configured boolean, disabled array<string>, revision string")
-    context = facts.absence_context(before, files_after, units_before, covers_before, units_after, covers_after, settings, settings)
-    return facts.change_status(facts.match_issues(before, after), context).select("b", "a", "status")
+    return facts.change_statuses(facts.match_issues(before, after), files_after, units_before, covers_before, units_after, covers_after, settings, settings).select("b", "a", "status")
 
 
 # References and graphs -------------------------------------------------------------------------------------------

@@ -370,3 +370,12 @@ def test_components_of_neighbours_need_no_rounds(spark, monkeypatch):
     got = graph.strong_components(e, block=1000)
     assert got.where("component != node - node % 8").count() == 0 and got.count() == 40_000
     assert sum(rounds) < 4_000
+
+
+def test_matching_deals_issues_by_their_key_once(spark):
+    """One exchange and no join: sites, pairs and lonely ones of a key lie together. Keys with a null match nothing."""
+    m = facts.match_issues(spark.createDataFrame([issue(1)], ISSUE), spark.createDataFrame([issue(7)], ISSUE))
+    plan = m._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    nulls = [("R", None, "f", "d", "a[2]", 2, 20, 1, False), ("R", "api.h", "f", "d", "a[2]", None, 20, 2, False)]
+    assert match(spark, nulls, [(*x[:7], x[7] + 10, False) for x in nulls]) == [(1, None), (2, None), (None, 11), (None, 12)]
