@@ -388,3 +388,13 @@ def test_few_rules_are_no_shuffle_key(spark):
     got = facts.native_findings(seen, spark.createDataFrame([("f",)], "file string"), rules)
     assert "hashpartitioning(rule_id" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.file, r.rule_id, r.severity, r.confidence) for r in got.collect()) == [("f", "R", "high", 1.0)] * 2
+
+
+def test_metrics_hold_few_texts_at_a_time(spark):
+    """Masks and functions come from one pass over slices of a batch; no step takes all of a batch's texts as a series."""
+    df = spark.createDataFrame([(str(i), None if i % 100 == 7 else f"int f{i}() {{ // x\n}}\n") for i in range(300)], "file string, text string")
+    prepared = lexical.prepare(df)
+    plan = prepared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    got = {r.file: (r.code, [f.name for f in r.functions]) for r in prepared.collect()}
+    assert got == {str(i): ("", []) if i % 100 == 7 else (f"int f{i}() {{     \n}}\n", [f"f{i}"]) for i in range(300)}
