@@ -42,3 +42,26 @@ def test_odd_texts(pair):
 @given(st.lists(st.text(st.sampled_from("abEÉéſK 's.,!\n\t\r  012_#&日😀́İΣ-"), max_size=40), min_size=1, max_size=4))
 def test_any_text(pair, texts):
     check(pair, texts)
+
+
+class Counting:
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, run):
+        self.asked.append(run)
+        return self.model.tokenize(run)
+
+
+def test_words_are_encoded_once_and_recurring_ones_stay(monkeypatch):
+    """Marks after a word do not make it a new one; where too many words are remembered, those of one slice alone go."""
+    path = str(public_tokenizers.path(FILES["word"]))
+    whole, enc = Tokenizer.from_file(path), ChunkEncoder(path, "word")
+    enc.model = Counting(enc.model)
+    right = lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    monkeypatch.setattr("quarrylens.llm._encode._ROOM", 50)
+    for k in range(30):
+        texts = ["the, THE. the; été, été. " + "y" * 70 + ",", "", " ".join(letters(10_000 + 20 * k + i) for i in range(20))]
+        assert enc.encode(texts) == [right(t) for t in texts]
+    assert enc.model.asked.count("the") == 1
