@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -30,17 +31,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for a while."""
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage, survives lost
     executors, and is computed once however often it is used. The write's own shuffle files are freed when it ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    held = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
-    try:
+    with setting(spark, _FREE, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_FREE) if held is None else spark.conf.set(_FREE, held)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ import statistics
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarrylens.llm._shared import materialize
+from quarrylens.llm._shared import materialize, setting
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -236,7 +236,15 @@ def fit(stats: DataFrame) -> DataFrame:
 
     All passing rows come first (their prior has their medians and the spread of their quartiles), then each language with that estimate
     as its prior, then each source of a language with the language's. No group size changes the rule.
+
+    The steps are many short jobs over narrow rows. They run without whole-stage code, which the driver would generate and
+    compile for every stage of every step.
     """
+    with setting(stats.sparkSession, "spark.sql.codegen.wholeStage", "false"):
+        return _fit(stats)
+
+
+def _fit(stats: DataFrame) -> DataFrame:
     passing = stats.where(~F.col("base_failed")).select("gl", "gs", *FEATURES)
     whole = F.array().cast("array<string>")
     quartiles = passing.agg(F.count(F.lit(1)).alias("n"), F.array(*_quartiles()).alias("q")).where("n > 0")

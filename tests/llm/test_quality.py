@@ -140,3 +140,12 @@ def test_repeated_lines_alone_reject(make):
     found = {x.doc_id: x for x in quality.judge(make(own)).collect()}
     assert not any(x.base_failed for x in found.values()) and found[120].n_dup_lines == 32
     assert [i for i, x in found.items() if not x.kept] == [120]
+
+
+def test_estimates_run_without_whole_stage_code(spark, monkeypatch):
+    """The driver compiles no code for the many steps of the estimates; the session's setting is as before after them."""
+    key, seen = "spark.sql.codegen.wholeStage", []
+    monkeypatch.setattr(quality, "_fit", lambda stats: seen.append(spark.conf.get(key)) or stats, raising=False)
+    before = spark.conf.get(key)
+    quality.fit(spark.range(1))
+    assert seen == ["false"] and spark.conf.get(key) == before
